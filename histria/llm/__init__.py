@@ -1,6 +1,6 @@
 """Operators for large-scale training-data pipelines. Nothing else in the library imports this subpackage."""
 
-from . import chat, decontam, sharding
+from . import chat, decontam, packing, sharding
 
-QUERIES = {"op2_chat_format": chat.query, "op4_shard_bytes": sharding.query, "op5_decontaminate": decontam.query}
+QUERIES = {"op2_chat_format": chat.query, "op3_pack": packing.query, "op4_shard_bytes": sharding.query, "op5_decontaminate": decontam.query}
 ORACLES = {"op2_chat_format": chat.ORACLE, "op5_decontaminate": decontam.ORACLE}
