@@ -20,7 +20,8 @@ END_ID = 2
 #: Lengths are put into classes of this many tokens, so the linear program has TOKENS / UNIT rows at any corpus size.
 UNIT = 8
 #: Distinct strings kept with their ids by a worker; beyond that the store starts anew.
-CACHE_STRINGS = 400_000
+CACHE_STRINGS = 600_000
+SLICE_BYTES = 4 << 20
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -45,7 +46,14 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): those of text i are ids[offsets[i]:offsets[i + 1]]."""
-        parts = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))  # a copy: ascii_lower misreads slices
+        # The tokenizer lowers letters and parts a run of marks from a word anyway; done first, there are fewer strings.
+        # The names of special tokens are matched before that, so texts with their brackets stay as they are.
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z0-9])([.,;:!?]+)([ \n]|$)", r"\1 \2\3")
+        special = pc.match_substring(texts, "<|").to_pylist()
+        if any(special):
+            plain = pa.array([(a if x else b).as_py() for x, a, b in zip(special, texts, plain)], pa.large_string())
+        parts = pc.ascii_split_whitespace(plain)
         off = np.asarray(parts.offsets) - parts.offsets[0].as_py()
         coded = parts.flatten().dictionary_encode()
         strings = coded.dictionary.to_pylist()
@@ -66,6 +74,16 @@ class Encoder:
         return self.ids[K.ragged(self.start[at], length)], ends[off]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's own, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 _CUT = "doc_id long, doc_tokens long, crcs array<long>, cls int, rank long, full_rank long, chunk long"
 
 
@@ -74,10 +92,10 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, unit: int) -> DataF
     running numbers inside its chunk (the task that wrote it) of its class and of its full pieces."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, chunk, fulls, ranks = Encoder(path), uuid.uuid4().int >> 66, 0, np.zeros(capacity // unit + 2, np.int64)
-        for s in K.text_slices(it, "text"):
+        chunk, fulls, ranks = uuid.uuid4().int >> 66, 0, np.zeros(capacity // unit + 2, np.int64)
+        for s in K.text_slices(it, "text", SLICE_BYTES):
             texts = s.rows.column(1)
-            ids, off = encoder.encode(texts.fill_null("") if texts.null_count else texts)
+            ids, off = encoder(path).encode(texts.fill_null("") if texts.null_count else texts)
             crcs, cls, rank, full = [], [], [], []
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
                 raw = ids[a:b].tobytes() + END_ID.to_bytes(4, "little")
