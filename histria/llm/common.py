@@ -76,3 +76,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components: no fixed point")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).distinct()
+
+
+def crc_of(key: str):
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About `rows` rows, chosen by a hash of the key; all if there are no more."""
+    total = df.count()
+    return df if total <= rows else df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000_000)) < int(rows / total * 1e9))
