@@ -265,6 +265,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = S
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
     key = ["dim", "shard", "block"]
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both come from places: told apart for the cogroup
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(ask, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
