@@ -38,12 +38,33 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each). Strings of lower-case letters are one token word each, so they are encoded as
+        one text and cut where token words end; the others one by one."""
+        plain = [s.isalpha() and s.islower() for s in new]
+        words, others = [s for s, x in zip(new, plain) if x], [s for s, x in zip(new, plain) if not x]
+        flat = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.ends_word[flat]) + 1 if len(flat) else np.zeros(0, np.int64)
+        if len(ends) != len(words):
+            others, words, flat, ends = new, [], flat[:0], ends[:0]
+            plain = [False] * len(new)
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        rest = np.fromiter((i for x in got for i in x), np.uint32, sum(map(len, got)))
+        plain = np.array(plain, bool)
+        n, start = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        n[plain], n[~plain] = np.diff(np.r_[0, ends]), [len(x) for x in got]
+        start[plain] = ends - n[plain]
+        start[~plain] = len(flat) + np.cumsum(n[~plain]) - n[~plain]
+        return np.concatenate([flat, rest])[K.ragged(start, n)], n
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): those of text i are ids[offsets[i]:offsets[i + 1]]."""
         texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))  # a copy: ascii_lower misreads slices
@@ -61,12 +82,11 @@ class Encoder:
             self.clear()
         new = [s for s in strings if s not in self.known]
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            n = np.array([len(x) for x in got], np.int64)
+            ids, n = self._encode_new(new)
             self.known.update(zip(new, range(len(self.length), len(self.length) + len(new))))
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
             self.length = np.concatenate([self.length, n])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))])
+            self.ids = np.concatenate([self.ids, ids])
         at = np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))
         at = at[coded.indices.to_numpy()] if len(strings) else at
         length = self.length[at]
