@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a key-only side is small enough (16 bytes each) to be broadcast; larger ones are shuffled.
@@ -86,3 +86,24 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About `rows` rows, chosen by a hash of the key; all if there are no more."""
     total = df.count()
     return df if total <= rows else df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000_000)) < int(rows / total * 1e9))
+
+
+def tiles(members: DataFrame, tile: int, band: Column, reach: int, salt: str) -> DataFrame:
+    """members (cluster and more) once for every tile (bi, bj) they have to be in, with their own block.
+
+    A cluster of up to `tile` members is one block. A larger one is cut by band (a size class of the member) and, within
+    a band, by a hash of the salt column into blocks of about `tile`; each two blocks meet in a tile unless their bands
+    are more than `reach` apart. Sizes come from counts per (cluster, band): no task holds a cluster.
+    """
+    banded = members.withColumn("band", band)
+    total = banded.groupBy("cluster").agg(F.count("*").alias("total"))
+    per = banded.groupBy("cluster", "band").agg(F.count("*").alias("cnt")).join(total, "cluster")
+    per = per.select("cluster", "band", F.when(F.col("total") <= tile, 0).otherwise(F.ceil(F.col("cnt") / tile)).cast("int").alias("parts"))
+    per = materialize(per, "bands")
+    whole = per.where("parts = 0").select("cluster", "band", F.lit(0).alias("part"), F.lit("0").alias("bi"), F.lit("0").alias("bj"), F.lit("0").alias("block"))
+    cut = per.where("parts > 0").select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("block", F.concat_ws(".", "band", "part"))
+    other = cut.select("cluster", F.col("band").alias("band2"), F.col("block").alias("block2"))
+    met = cut.join(other, "cluster").where(F.abs(F.col("band") - F.col("band2")) <= reach)
+    met = met.select("cluster", "band", "part", F.least("block", "block2").alias("bi"), F.greatest("block", "block2").alias("bj"), "block")
+    placed = banded.join(per, ["cluster", "band"]).withColumn("part", F.when(F.col("parts") <= 1, 0).otherwise(F.pmod(F.xxhash64(salt), F.greatest("parts", F.lit(1)))).cast("int"))
+    return placed.join(whole.unionByName(met), ["cluster", "band", "part"]).drop("band", "part", "parts")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, materialize, small, table
+from .common import components, materialize, small, table, tiles
 
 SHINGLE = 5
 PERCENT = 75
@@ -269,25 +269,6 @@ def _small_bitmap(v: np.ndarray, words: int) -> np.ndarray:
     return np.packbits((np.bincount((v % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def tiles(members: DataFrame, tile: int, percent: int) -> DataFrame:
-    """members (cluster, key, key2, rep, n) with the tiles (bi, bj) each has to be in, and its own block.
-
-    A cluster of up to `tile` members is one block. A larger one is cut by size band and, within a band, by a hash into
-    blocks of about `tile`; two blocks meet unless their bands are too far apart to hold a link."""
-    banded = members.withColumn("band", F.floor(F.ln("n") / math.log(100 / percent) * _BANDS).cast("int"))
-    total = banded.groupBy("cluster").agg(F.count("*").alias("total"))
-    per = banded.groupBy("cluster", "band").agg(F.count("*").alias("cnt")).join(total, "cluster")
-    per = per.select("cluster", "band", F.when(F.col("total") <= tile, 0).otherwise(F.ceil(F.col("cnt") / tile)).cast("int").alias("parts"))
-    whole = per.where("parts = 0").select("cluster", "band", F.lit(0).alias("part"), F.lit("0").alias("bi"), F.lit("0").alias("bj"), F.lit("0").alias("block")).distinct()
-    cut = per.where("parts > 0").select("cluster", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("block", F.concat_ws(".", "band", "part"))
-    other = cut.select("cluster", F.col("band").alias("band2"), F.col("block").alias("block2"))
-    met = cut.join(other, "cluster").where(F.abs(F.col("band") - F.col("band2")) <= _BANDS + 1)
-    met = met.select("cluster", "band", "part", F.least("block", "block2").alias("bi"), F.greatest("block", "block2").alias("bj"), "block")
-    where = whole.unionByName(met)
-    placed = banded.join(per, ["cluster", "band"]).withColumn("part", F.when(F.col("parts") <= 1, 0).otherwise(F.pmod(F.xxhash64("rep"), F.greatest("parts", F.lit(1)))).cast("int"))
-    return placed.join(where, ["cluster", "band", "part"]).select("cluster", "bi", "bj", "block", "key", "key2", "rep")
-
-
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE, long_list: int = LIST) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs.
 
@@ -336,7 +317,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     sets = texts.mapInArrow(arrays, "key long, key2 long, shingles binary")
-    links = tiles(members, tile, percent).join(sets, ["key", "key2"]).groupBy("cluster", "bi", "bj").applyInArrow(link, "a long, b long")
+    links = tiles(members, tile, F.floor(F.ln("n") / math.log(100 / percent) * _BANDS).cast("int"), _BANDS + 1, "rep").join(sets, ["key", "key2"]).groupBy("cluster", "bi", "bj").applyInArrow(link, "a long, b long")
     found = components(links)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     named = named.where("copies > 1 or component_id <> rep").select("key", "key2", "component_id")
