@@ -1,9 +1,10 @@
 """Operators for large-scale training-data pipelines. Nothing else in the library imports this subpackage."""
 
-from . import chat, decontam, hnsw, jaccard, langid, linededup, packing, quality, sharding
+from . import chat, decontam, hnsw, jaccard, langid, linededup, packing, quality, sharding, suffix
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.query, "op2_chat_format": chat.query, "op3_pack": packing.query, "op4_shard_bytes": sharding.query,
-    "op5_decontaminate": decontam.query, "op6_line_dedup": linededup.query, "op7_language_id": langid.query, "op8_hnsw": hnsw.query, "op10_quality": quality.query,
+    "op5_decontaminate": decontam.query, "op6_line_dedup": linededup.query, "op7_language_id": langid.query, "op8_hnsw": hnsw.query,
+    "op9_suffix_dedup": suffix.query, "op10_quality": quality.query,
 }
 ORACLES = {"op1_ngram_jaccard": jaccard.ORACLE, "op2_chat_format": chat.ORACLE, "op5_decontaminate": decontam.ORACLE}
