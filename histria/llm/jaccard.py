@@ -4,8 +4,9 @@
    frequent within stretches of the input. Equal sets form a class; from here on a class is one node.
 2. Any two sets with Jaccard >= t share one of the first n - ceil(t n) + 1 shingles in any common order. The order here
    puts frequent shingles last. A second scan deals these prefixes to buckets.
-3. In a bucket, nodes that share a shingle become candidate pairs, or, where a shingle's list is long, are tied together
-   per size band without naming pairs. Pairs whose bitmaps already bound the overlap too low are dropped.
+3. In a bucket, nodes that share a shingle become candidate pairs. Where a shingle's list is long, the sets with such
+   shingles in their prefixes are dealt once more with these put last too; nodes of lists that are long even then are
+   tied together per size band without naming pairs. Pairs whose bitmaps bound the overlap too low are dropped.
 4. The candidate graph's components are cut into size-banded tiles of bounded size. A tile holds its sets as sorted
    arrays, skips pairs by size, by bitmap bound and where both are known to be connected, and intersects the rest exactly.
 5. Components over the found links.
@@ -28,17 +29,20 @@ SHINGLE = 5
 PERCENT = 75
 #: How many frequent shingles the order knows. They are only put last: more or fewer change cost, never results.
 FREQUENT = 1 << 16
+#: How many long lists' shingles are put last at once; if there are more, that is done for one block of them after the other.
+HOT_BLOCK = 1 << 20
 FREQUENT_LOCAL = 6
 FLUSH = 2_000_000
 BUCKET_POSTINGS = 1_000_000
 LIST = 32
 TILE = 1200
 _POSTING = np.dtype([("s", "<u4"), ("k", "<i8"), ("b", "u1")])
-_BANDS = 16  # size bands per factor 1 / t
+_BANDS = 4  # size bands per factor 1 / t
 
 
 def band_of(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.minimum(np.floor(np.log(np.maximum(n, 1)) / math.log(100 / percent) * _BANDS), 255 if percent < 94 else 1e9).astype(np.int64)
+    """A size class; linked sets are at most _BANDS + 1 classes apart. (All sets of over 10**7 shingles are the last class.)"""
+    return np.minimum(np.floor(np.log(np.maximum(n, 1)) / math.log(100 / percent) * _BANDS), 255).astype(np.int64)
 
 
 def shingle_sets(s: K.Slice, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -84,26 +88,34 @@ def fold(b: np.ndarray, words: int) -> np.ndarray:
 
 
 def may_link(a: int, b, differ, percent: int):
-    """Upper bound of the overlap from bit counts: 2 |A & B| <= a + b - differ."""
-    inter = (a + b - differ) // 2
+    """Upper bound of the overlap from sizes and bit counts: |A & B| <= min(a, b) and 2 |A & B| <= a + b - differ."""
+    inter = np.minimum((a + b - differ) // 2, np.minimum(a, b))
     return 100 * inter >= percent * (a + b - inter)
 
 
-def prefix_mask(v: np.ndarray, off: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+def among(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(x), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+
+
+def prefix_mask(hot: np.ndarray, off: np.ndarray, percent: int) -> np.ndarray:
+    """The first n - ceil(t n) + 1 shingles of each text, in the order of their hashes with the hot ones last."""
     n = np.diff(off)
     length = n - -(-n * percent // 100) + 1
-    hot = np.zeros(len(v), bool)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, v), len(frequent) - 1)
-        hot = frequent[at] == v
     doc = K.segments_of(off)
     c = np.r_[0, np.cumsum(~hot)]
     cold_before = c[:-1] - c[off[:-1]][doc]
     cold = (c[off[1:]] - c[off[:-1]])[doc]
-    rank = np.where(hot, cold + np.arange(len(v)) - off[:-1][doc] - cold_before, cold_before)
+    rank = np.where(hot, cold + np.arange(len(hot)) - off[:-1][doc] - cold_before, cold_before)
     return rank < length[doc]
 
 
+def list_id(v: np.ndarray, buckets: int) -> np.ndarray:
+    """bucket << 32 | low bits: what tells lists of postings apart (shingles that share one only add candidates)."""
+    return ((v >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | (v & np.uint64(0xFFFFFFFF))
+
+
 _SCAN = "doc_id long, n long, key long, key2 long, bits binary, frequent long, cnt long"
 
 
@@ -139,17 +151,20 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCAN)
 
 
-def postings(docs: DataFrame, frequent: np.ndarray, buckets: int, percent: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def postings(docs: DataFrame, frequent: np.ndarray, buckets: int, percent: int, long_lists: np.ndarray | None = None) -> DataFrame:
+    """bucket, blob: prefixes of the sets that are new to a task. With long_lists (ids, sorted): only of sets of which
+    the prefix has a shingle of these lists, and with these shingles put last as well."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, long_lists))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, long_lists = shared.value
         seen: set[int] = set()
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            bucket, rec = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(bucket, kind="stable")
-            bucket, rec = bucket[order], rec[order]
+            ids, rec = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(ids, kind="stable")
+            bucket, rec = ids[order], rec[order]
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array([x.tobytes() for x in np.split(rec, first[1:])], pa.binary())], ["bucket", "blob"])
 
@@ -162,11 +177,17 @@ def postings(docs: DataFrame, frequent: np.ndarray, buckets: int, percent: int)
                     seen.add(k)
                     new[i] = True
             doc = K.segments_of(off)
-            take = prefix_mask(v, off, shared.value, percent) & new[doc]
+            hot, ids = among(frequent, v), list_id(v, buckets)
+            take = prefix_mask(hot, off, percent)
+            if long_lists is not None:
+                long = among(long_lists, ids)
+                new &= np.bincount(doc[take & long], minlength=len(k1)) > 0
+                take = prefix_mask(hot | long, off, percent)
+            take &= new[doc]
             rec = np.empty(int(take.sum()), _POSTING)
-            rec["s"], rec["k"], rec["b"] = v[take] & np.uint64(0xFFFFFFFF), k1[doc[take]], band_of(np.diff(off), percent)[doc[take]]
+            rec["s"], rec["k"], rec["b"] = ids[take] & np.uint64(0xFFFFFFFF), k1[doc[take]], band_of(np.diff(off), percent)[doc[take]]
             if len(rec):
-                held.append((((v[take] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), rec))
+                held.append(((ids[take] >> np.uint64(32)).astype(np.int64), rec))
                 size += len(rec)
             if size >= 400_000:
                 yield flush()
@@ -177,8 +198,12 @@ def postings(docs: DataFrame, frequent: np.ndarray, buckets: int, percent: int)
     return docs.select("text").mapInArrow(run, "bucket int, blob binary")
 
 
-def candidates(posted: DataFrame, long_list: int = LIST) -> DataFrame:
-    """a, b, tie: nodes that share a prefix shingle. tie: from a long list, linking band leaders instead of naming pairs."""
+PAIR, TIE, LONG = 0, 1, 2
+
+
+def candidates(posted: DataFrame, long_list: int, tie: bool) -> DataFrame:
+    """a, b, kind. PAIR: nodes that share a prefix shingle. Of a list longer than long_list either its id (LONG) or, if
+    tie, edges to and between the leaders of its size bands (TIE), which hold its nodes together without naming pairs."""
 
     def run(t: pa.Table) -> pa.Table:
         rec = np.concatenate([np.frombuffer(x.as_py(), _POSTING) for x in t.column("blob")])
@@ -195,28 +220,32 @@ def candidates(posted: DataFrame, long_list: int = LIST) -> DataFrame:
             i = np.flatnonzero(listed[: len(s) - d] & (run_of[: len(s) - d] == run_of[d:])) if len(s) > d else np.zeros(0, int)
             if not len(i):
                 break
-            edges.append(_distinct(k[i], k[i + d], b[i + d] - b[i] <= _BANDS + 1, False))
+            edges.append(_distinct(k[i], k[i + d], b[i + d] - b[i] <= _BANDS + 1, PAIR))
+        long = np.flatnonzero(count > long_list)
+        if len(long) and not tie:
+            ids = (t.column("bucket")[0].as_py() << 32) + s[first[long]].astype(np.int64)
+            edges.append(pa.table({"a": pa.array(ids), "b": pa.array(count[long]), "kind": pa.array(np.full(len(long), LONG, np.int32))}))
         far = np.flatnonzero(np.repeat(count > long_list, count))
-        if len(far):
+        if len(far) and tie:
             lead = np.r_[True, (run_of[far][1:] != run_of[far][:-1]) | (b[far][1:] != b[far][:-1])]
             leader = far[lead][np.cumsum(lead) - 1]
-            edges.append(_distinct(k[leader], k[far], np.ones(len(far), bool), True))
+            edges.append(_distinct(k[leader], k[far], np.ones(len(far), bool), TIE))
             heads = far[lead]
             near = (run_of[heads][1:] == run_of[heads][:-1]) & (b[heads][1:] - b[heads][:-1] <= _BANDS + 1)
-            edges.append(_distinct(k[heads[:-1]], k[heads[1:]], near, True))
+            edges.append(_distinct(k[heads[:-1]], k[heads[1:]], near, TIE))
         if not edges:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "tie": pa.array([], pa.bool_())})
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "kind": pa.array([], pa.int32())})
         return pa.concat_tables(edges)
 
-    return posted.groupBy("bucket").applyInArrow(run, "a long, b long, tie boolean")
+    return posted.groupBy("bucket").applyInArrow(run, "a long, b long, kind int")
 
 
-def _distinct(a: np.ndarray, b: np.ndarray, ok: np.ndarray, tie: bool) -> pa.Table:
+def _distinct(a: np.ndarray, b: np.ndarray, ok: np.ndarray, kind: int) -> pa.Table:
     a, b = np.minimum(a, b)[ok & (a != b)], np.maximum(a, b)[ok & (a != b)]
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-    return pa.table({"a": pa.array(a[new]), "b": pa.array(b[new]), "tie": pa.array(np.full(int(new.sum()), tie))})
+    return pa.table({"a": pa.array(a[new]), "b": pa.array(b[new]), "kind": pa.array(np.full(int(new.sum()), kind, np.int32))})
 
 
 def bounded_by_bits(pairs: DataFrame, percent: int) -> DataFrame:
@@ -228,7 +257,7 @@ def bounded_by_bits(pairs: DataFrame, percent: int) -> DataFrame:
             for na, nb, x, y in zip(*(t.column(c).to_pylist() for c in ("na", "nb", "ba", "bb"))):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 words = min(len(x), len(y))
-                keep.append(may_link(na, nb, int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()), percent))
+                keep.append(bool(may_link(na, nb, int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum()), percent)))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, "a long, b long")
@@ -285,9 +314,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE
     classes = of_doc.where("n > 0").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes, "classes")
     total = classes.agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
-    posted = postings(docs, frequent, max(1, -(-int(total) // BUCKET_POSTINGS)), percent)
-    pairs = materialize(candidates(posted, long_list), "pairs").groupBy("a", "b").agg(F.max("tie").alias("tie"))
-    pairs = materialize(pairs, "pairs")
+    buckets = max(1, -(-int(total) // BUCKET_POSTINGS))
+    met = materialize(candidates(postings(docs, frequent, buckets, percent), long_list, tie=False), "met")
+    pairs = met.where(F.col("kind") == PAIR)
+    long = met.where(F.col("kind") == LONG).select("a").distinct()
+    blocks = -(-long.count() // HOT_BLOCK)
+    for k in range(blocks):
+        ids = np.sort(np.array([r["a"] for r in long.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == k).collect()], np.int64).view(np.uint64))
+        again = candidates(postings(docs, frequent, buckets, percent, ids), long_list, tie=True)
+        pairs = pairs.unionByName(materialize(again, "met"))
+    pairs = materialize(pairs.groupBy("a", "b").agg((F.max("kind") == TIE).alias("tie")), "pairs")
     bits = rows.where("bits is not null").groupBy("key", "n").agg(F.first("bits").alias("bits"))
     ends = pairs.where("not tie").join(bits.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba")), "a")
     ends = ends.join(bits.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes worked on at once. A longer text is a slice of its own; texts are never cut.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _BASE = pow(0x9E3779B97F4A7C15, 3, 1 << 64) | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
