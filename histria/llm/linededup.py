@@ -9,6 +9,7 @@ match. Lines that meet are compared by a banded bit-parallel edit distance.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -16,20 +17,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, materialize, small, table, tiles
+from .common import BROADCAST_KEYS, components, materialize, small, table, tiles
 
 TAU = 2
 #: Shorter lines stay as they are: two edits would make most of them equal.
 MIN_CHARS = 24
 LIST = 32
 TILE = 1200
-BUCKET_ENTRIES = 1_000_000
 _ENTRY = np.dtype([("s", "<u4"), ("k", "<i8"), ("f", "u1")])
 INDEX, PROBE = 1, 2
 _BASE = 0xA24BAED4963EE407
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
+def _value(cp: np.ndarray, salt: int) -> np.ndarray:
+    return K.mix(cp * np.uint64(0x9FB21C651E98DF25) + np.uint64(salt))
+
+
+_LOW, _LOW2 = (_value(np.arange(1 << 14, dtype=np.uint64), salt) for salt in (1, 2))
+
+
 class Lines:
     """The lines of a slice as code points, with prefix hashes for any substring."""
 
@@ -45,8 +52,17 @@ class Lines:
         self.doc = K.segments_of(self.off)
         self.number = np.arange(len(self.start)) - self.off[:-1][self.doc]
         self.n = self.end - self.start
-        self.c = np.zeros(len(self.cp) + 1, np.uint64)
-        np.cumsum(K.mix(self.cp.astype(np.uint64) + np.uint64(1)) * K.powers(_BASE, len(self.cp)), out=self.c[1:])
+
+    @cached_property
+    def c(self) -> np.ndarray:
+        c = np.zeros(len(self.cp) + 1, np.uint64)
+        np.cumsum(self._values(_LOW, 1) * K.powers(_BASE, len(self.cp)), out=c[1:])
+        return c
+
+    def _values(self, known: np.ndarray, salt: int) -> np.ndarray:
+        if not len(self.cp) or self.cp.max() < len(known):
+            return known[self.cp]
+        return _value(self.cp.astype(np.uint64), salt)
 
     def raw(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.c[b] - self.c[a]) * K.powers(_BASE_INV, len(self.c))[a]
@@ -54,7 +70,8 @@ class Lines:
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of each line (the second of other values of its code points)."""
         h = self.raw(self.start, self.end)
-        d = np.r_[np.uint64(0), np.cumsum(K.mix(self.cp.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + np.uint64(7)) * K.powers(_BASE, len(self.cp)), dtype=np.uint64)]
+        d = np.zeros(len(self.cp) + 1, np.uint64)
+        np.cumsum(self._values(_LOW2, 2) * K.powers(_BASE, len(self.cp)), out=d[1:])
         g = (d[self.end] - d[self.start]) * K.powers(_BASE_INV, len(self.c))[self.start]
         n = self.n.astype(np.uint64)
         return K.mix(h ^ n).view(np.int64), K.mix(g + n).view(np.int64)
@@ -95,22 +112,13 @@ def entries(lines: Lines, at: np.ndarray, key: np.ndarray, tau: int, buckets: in
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), rec
 
 
-def occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, text_hash, line, chars, key, key2: every line of at least min_chars code points."""
+_SCAN = "doc_id long, text_hash long, line int, chars int, key long, key2 long, bucket int, blob binary"
+_NAMES = [x.split()[0] for x in _SCAN.split(", ")]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in K.text_slices(it, "text"):
-            x = Lines(s)
-            k1, k2 = x.keys()
-            at = np.flatnonzero(x.n >= min_chars)
-            doc = pa.array(x.doc[at])
-            yield pa.RecordBatch.from_arrays([s.rows.column(0).take(doc), s.rows.column(1).take(doc), pa.array(x.number[at].astype(np.int32)), pa.array(x.n[at].astype(np.int32)), pa.array(k1[at]), pa.array(k2[at])], ["doc_id", "text_hash", "line", "chars", "key", "key2"])
-
-    return docs.mapInArrow(run, "doc_id long, text_hash long, line int, chars int, key long, key2 long")
 
-
-def deal(docs: DataFrame, tau: int, min_chars: int, buckets: int) -> DataFrame:
-    """bucket, blob: index and probe entries of the lines that are new to a task."""
+def scan(docs: DataFrame, tau: int, min_chars: int, buckets: int) -> DataFrame:
+    """Two kinds of rows: every line of at least min_chars code points (bucket null), and, as blobs, the index and probe
+    entries of the lines that are new to a task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -121,16 +129,18 @@ def deal(docs: DataFrame, tau: int, min_chars: int, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             bucket, rec = bucket[order], rec[order]
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array([r.tobytes() for r in np.split(rec, first[1:])], pa.binary())], ["bucket", "blob"])
+            long, int_ = pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int32())
+            return pa.RecordBatch.from_arrays([long, long, int_, int_, long, long, pa.array(bucket[first].astype(np.int32)), pa.array([r.tobytes() for r in np.split(rec, first[1:])], pa.binary())], _NAMES)
 
         for s in K.text_slices(it, "text"):
             x = Lines(s)
-            key, _ = x.keys()
+            key, key2 = x.keys()
             at = np.flatnonzero(x.n >= min_chars)
+            doc = pa.array(x.doc[at])
+            yield pa.RecordBatch.from_arrays([s.rows.column(0).take(doc), s.rows.column(1).take(doc), pa.array(x.number[at].astype(np.int32)), pa.array(x.n[at].astype(np.int32)), pa.array(key[at]), pa.array(key2[at]), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], _NAMES)
             _, firsts = np.unique(key[at], return_index=True)
             at = at[np.sort(firsts)]
-            new = np.array([k not in seen for k in key[at].tolist()], bool)
-            at = at[new]
+            at = at[np.array([k not in seen for k in key[at].tolist()], bool)]
             seen.update(key[at].tolist())
             if len(at):
                 held.append(entries(x, at, key, tau, buckets))
@@ -141,7 +151,7 @@ def deal(docs: DataFrame, tau: int, min_chars: int, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "bucket int, blob binary")
+    return docs.mapInArrow(run, _SCAN)
 
 
 def meet(dealt: DataFrame, long_list: int) -> DataFrame:
@@ -240,24 +250,19 @@ def link_lines(key: np.ndarray, texts: list[np.ndarray], tau: int, cross: np.nda
     return out
 
 
-def near_lines(docs: DataFrame, classes: DataFrame, tau: int, min_chars: int, long_list: int, tile: int) -> DataFrame:
+def near_lines(docs: DataFrame, dealt: DataFrame, classes: DataFrame, tau: int, long_list: int, tile: int) -> DataFrame:
     """node, component over line keys."""
-    n = classes.count()
-    pairs = meet(deal(docs, tau, min_chars, max(1, -(-n * len(probes(tau)) // BUCKET_ENTRIES))), long_list)
-    clusters = components(pairs)
-    members = classes.select("key", "key2", "chars").join(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")), "key")
+    clusters = components(meet(dealt, long_list))
+    members = classes.join(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")), "key").select("cluster", "key", "key2", "chars", "first")
     members = materialize(members, "members")
-    wanted = small(members.select("key", "key2").distinct())
+    wanted = members.groupBy("first.doc_id", "first.text_hash").agg(F.collect_set("first.line").alias("lines"))
+    wanted = small(materialize(wanted, "wanted"))
 
     def texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for s in K.text_slices(it, "text"):
             x = Lines(s)
+            at = np.concatenate([x.off[i] + np.array(sorted(y), np.int64) for i, y in enumerate(s.rows.column("lines").to_pylist())])
             k1, k2 = x.keys()
-            at = np.flatnonzero(x.n >= min_chars)
-            _, firsts = np.unique(k1[at], return_index=True)
-            at = np.array([i for i in at[firsts].tolist() if k1[i] not in seen], int)
-            seen.update(k1[at].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(k1[at]), pa.array(k2[at]), pa.array([x.cp[a:b].tobytes() for a, b in zip(x.start[at], x.end[at])], pa.binary())], ["key", "key2", "cps"])
 
     def link(t: pa.Table) -> pa.Table:
@@ -268,8 +273,9 @@ def near_lines(docs: DataFrame, classes: DataFrame, tau: int, min_chars: int, lo
         found = link_lines(np.array([k for k, _ in got], np.int64), [x for _, x in got.values()], tau, cross)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    lines = docs.select("text").mapInArrow(texts, "key long, key2 long, cps binary").join(wanted, ["key", "key2"], "left_semi")
-    placed = tiles(members, tile, F.floor(F.col("chars") / 8).cast("int"), -(-tau // 8), "key")
+    found = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]) & docs["text_hash"].eqNullSafe(wanted["text_hash"]))
+    lines = found.select("text", "lines").mapInArrow(texts, "key long, key2 long, cps binary")
+    placed = tiles(members.drop("first"), tile, F.floor(F.col("chars") / 8).cast("int"), -(-tau // 8), "key")
     links = placed.join(lines, ["key", "key2"]).groupBy("cluster", "bi", "bj").applyInArrow(link, "a long, b long")
     return components(links)
 
@@ -286,16 +292,22 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, lon
     t = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     t = t.withColumn("doc_id", F.col("row.doc_id").cast("long")).withColumn("text", F.col("row.text")).withColumn("text_hash", F.xxhash64("text"))
     plain = t.select("doc_id", "text_hash", "text")
-    seen = materialize(occurrences(plain, min_chars), "lines")
+    # About 4 MB of text a bucket.
+    buckets = 1 + (plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (4 << 20)
+    rows = materialize(scan(plain, tau, min_chars, int(buckets)), "lines")
+    seen = rows.where("bucket is null").drop("bucket", "blob")
+    dealt = rows.where("bucket is not null").select("bucket", "blob")
     classes = materialize(seen.groupBy("key", "key2").agg(F.first("chars").alias("chars"), F.min(F.struct("doc_id", "text_hash", "line")).alias("first"), F.count("*").alias("cnt")), "classes")
-    near = near_lines(plain, classes, tau, min_chars, long_list, tile)
+    near = near_lines(plain, dealt, classes, tau, long_list, tile)
     named = classes.join(near.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = materialize(named, "named")
     groups = near.select("component").distinct().join(named, "component").groupBy("component").agg(F.min("first").alias("best"))
     named = named.join(groups, "component", "left").select("key", "key2", F.coalesce("best", "first").alias("best"), "cnt", F.col("best").isNotNull().alias("near"))
     several = materialize(named.where("cnt > 1 or near").select("key", "key2", "best"), "several")
     gone = seen.join(several, ["key", "key2"]).where(~F.struct("doc_id", "text_hash", "line").eqNullSafe(F.col("best")))
-    gone = gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone"))
+    gone = materialize(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone")), "gone")
+    if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= 2 * BROADCAST_KEYS:
+        gone = F.broadcast(gone)
     both = t.join(gone, t["doc_id"].eqNullSafe(gone["doc_id"]) & t["text_hash"].eqNullSafe(gone["text_hash"]), "left").select("row", "text", "gone")
     lines = F.split("text", "\n", -1)
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n"))
