@@ -50,7 +50,7 @@ def date_words(c: Column) -> Column:
     return F.try_to_timestamp(c, F.lit("MM d, yyyy")).cast("date")
 
 
-def goodreads_epoch(c: Column) -> Column:
+def local_epoch(c: Column) -> Column:
     """Seconds of `Fri Nov 17 11:37:35 -0800 2017` read as UTC: the offset is dropped, not applied."""
     plain = F.regexp_replace(c, r"^\w{3} (\w{3}) (\d{2}) (\d{2}:\d{2}:\d{2}) [+-]\d{4} (\d{4})$", "$4 $1 $2 $3")
     return F.unix_timestamp(F.try_to_timestamp(plain, F.lit("yyyy MMM dd HH:mm:ss")))

@@ -43,8 +43,8 @@ def test_dataset_statistics(spark):
 
 
 def test_retention(spark):
-    df = spark.createDataFrame([("ras1", 1, 20), ("ras99", 99, 80), ("minds1", 1, 25), ("minds99", 99, 100)], "data string, scale_percent int, observed_items int")
-    assert {r["data"]: r["retention_percent"] for r in profile.retention(df).collect()} == {"ras1": 25, "ras99": 100, "minds1": 25, "minds99": 100}
+    df = spark.createDataFrame([("alpha1", 1, 20), ("alpha99", 99, 80), ("beta1", 1, 25), ("beta99", 99, 100)], "data string, scale_percent int, observed_items int")
+    assert {r["data"]: r["retention_percent"] for r in profile.retention(df).collect()} == {"alpha1": 25, "alpha99": 100, "beta1": 25, "beta99": 100}
 
 
 def test_target_frequency(spark):

@@ -38,7 +38,7 @@ def test_answers_and_ids(spark):
 
 def test_dates(spark):
     df = spark.createDataFrame([("Fri Nov 17 11:37:35 -0800 2017", "06 3, 2013")], "g string, a string")
-    r = df.select(X.goodreads_epoch(F.col("g")).alias("g"), X.date_words(F.col("a")).alias("a")).first()
+    r = df.select(X.local_epoch(F.col("g")).alias("g"), X.date_words(F.col("a")).alias("a")).first()
     assert r["g"] == 1510918655 and str(r["a"]) == "2013-06-03"
 
 
