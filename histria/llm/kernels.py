@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -45,8 +47,22 @@ class Slice(NamedTuple):
     off: np.ndarray  # int64, where each text begins, and the end
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[Slice]:
+#: What a Python worker holds from task to task, and how to let go of it. Workers serve all operators in turn.
+held: dict[str, Callable[[], None]] = {}
+
+
+def let_go(keep: str | None = None) -> None:
+    """Drop what other operators hold, and give freed memory back to the machine."""
+    for name in [n for n in held if n != keep]:
+        held.pop(name)()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, keep: str | None = None) -> Iterator[Slice]:
     """Consecutive rows with at most `limit` bytes of text in that column (null: empty)."""
+    let_go(keep)
     for batch in batches:
         col = batch.column(column)
         if col.null_count:
@@ -60,6 +76,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
             to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield Slice(batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at])
             at = to
+    let_go(keep)
 
 
 class Words(NamedTuple):
@@ -80,12 +97,11 @@ def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((c[end] - c[start]) * powers(_BASE_INV, len(c))[start])
 
 
-def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> Words:
-    """Maximal runs of bytes that is_word (256 booleans) marks, never across texts."""
+def runs(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the maximal runs of bytes that is_word (256 booleans) marks, never across texts."""
     n = len(data)
     if not n:
-        z = np.zeros(0, np.int64)
-        return Words(np.zeros(0, U64), z, z, np.zeros(len(off), np.int64))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     mask = is_word[data]
     begins = mask.copy()
     begins[1:] &= ~mask[:-1]
@@ -94,7 +110,11 @@ def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> Words:
     cut = off[(off > 0) & (off < n)]
     begins[cut] = mask[cut]
     ends[cut - 1] = mask[cut - 1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def words(data: np.ndarray, off: np.ndarray, is_word: np.ndarray) -> Words:
+    start, end = runs(data, off, is_word)
     return Words(span_hash(byte_prefix(data, True), start, end), start, end, np.searchsorted(start, off))
 
 

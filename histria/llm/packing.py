@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +18,10 @@ TOKENS = 4096
 END_ID = 2
 #: Lengths are put into classes of this many tokens, so the linear program has TOKENS / UNIT rows at any corpus size.
 UNIT = 8
-#: Distinct strings kept with their ids by a worker; beyond that the store starts anew.
-CACHE_STRINGS = 600_000
-SLICE_BYTES = 4 << 20
+#: Distinct strings kept with their ids by a worker (about 30 bytes each); beyond that the store starts anew.
+CACHE_STRINGS = 1_000_000
+_MARKS = np.isin(np.arange(256), list(b".,;:!?"))
+_ALNUM = K.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -32,7 +32,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Token ids of whole texts. White space never is part of a token here, so each white-space-free string is encoded once."""
+    """Token ids of whole texts. White space never is part of a token here, so each white-space-free string is encoded once.
+
+    Strings are known by 64-bit hashes with A-Z lowered (the tokenizer lowers letters itself); those with a special
+    token's bracket, which is matched before lowering, by hashes of their very bytes."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -43,8 +46,28 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.known = np.zeros(0, np.uint64)
+        self.start, self.length, self.ids = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+
+    def strings(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, hash): runs without ASCII white space, up to eight marks at the end parted from a letter or digit
+        before them, as the tokenizer parts them anyway."""
+        start, end = K.runs(data, off, K.SPACED)
+        cut = end.copy()
+        for _ in range(8):
+            cut -= (cut > start) & _MARKS[data[np.maximum(cut - 1, 0)]]
+        ok = (cut > start) & (cut < end)
+        ok[ok] = _ALNUM[data[cut[ok] - 1]]
+        start, end = np.sort(np.concatenate([start, cut[ok]])), np.sort(np.concatenate([end, cut[ok]]))
+        h = K.span_hash(K.byte_prefix(data, True), start, end)
+        opens = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C)) if len(data) > 1 else np.zeros(0, np.int64)
+        if len(opens):
+            own = np.unique(np.searchsorted(start, opens, "right") - 1)
+            h[own] = ~K.span_hash(K.byte_prefix(data, False), start[own], end[own])
+            self.special = set(h[own].tolist())
+        else:
+            self.special = set()
+        return start, end, h
 
     def _encode_new(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each). Strings of lower-case letters are one token word each, so they are encoded as
@@ -65,33 +88,28 @@ class Encoder:
         start[~plain] = len(flat) + np.cumsum(n[~plain]) - n[~plain]
         return np.concatenate([flat, rest])[K.ragged(start, n)], n
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): those of text i are ids[offsets[i]:offsets[i + 1]]."""
-        texts = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))  # a copy: ascii_lower misreads slices
-        # The tokenizer lowers letters and parts a run of marks from a word anyway; done first, there are fewer strings.
-        # The names of special tokens are matched before that, so texts with their brackets stay as they are.
-        plain = pc.replace_substring_regex(pc.ascii_lower(texts), r"([a-z0-9])([.,;:!?]+)([ \n]|$)", r"\1 \2\3")
-        special = pc.match_substring(texts, "<|").to_pylist()
-        if any(special):
-            plain = pa.array([(a if x else b).as_py() for x, a, b in zip(special, texts, plain)], pa.large_string())
-        parts = pc.ascii_split_whitespace(plain)
-        off = np.asarray(parts.offsets) - parts.offsets[0].as_py()
-        coded = parts.flatten().dictionary_encode()
-        strings = coded.dictionary.to_pylist()
-        if len(self.known) > CACHE_STRINGS:
+        start, end, h = self.strings(data, off)
+        values, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.known) + len(values) > max(CACHE_STRINGS, len(values)):
             self.clear()
-        new = [s for s in strings if s not in self.known]
-        if new:
-            ids, n = self._encode_new(new)
-            self.known.update(zip(new, range(len(self.length), len(self.length) + len(new))))
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(n) - n])
-            self.length = np.concatenate([self.length, n])
+        at = np.searchsorted(self.known, values)
+        new = np.ones(len(values), bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] != values
+        if new.any():
+            raw = data.tobytes()
+            texts = [(raw[a:b] if x in self.special else raw[a:b].lower()).decode() for a, b, x in zip(start[first[new]].tolist(), end[first[new]].tolist(), values[new].tolist())]
+            ids, n = self._encode_new(texts)
+            place = at[new]
+            self.known = np.insert(self.known, place, values[new])
+            self.start = np.insert(self.start, place, (len(self.ids) + np.cumsum(n) - n).astype(np.uint32))
+            self.length = np.insert(self.length, place, n.astype(np.uint32))
             self.ids = np.concatenate([self.ids, ids])
-        at = np.fromiter(map(self.known.__getitem__, strings), np.int64, len(strings))
-        at = at[coded.indices.to_numpy()] if len(strings) else at
-        length = self.length[at]
+            at = np.searchsorted(self.known, values)
+        at = at[back]
+        length = self.length[at].astype(np.int64)
         ends = np.r_[0, np.cumsum(length)]
-        return self.ids[K.ragged(self.start[at], length)], ends[off]
+        return self.ids[K.ragged(self.start[at].astype(np.int64), length)], ends[np.searchsorted(start, off)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -101,6 +119,7 @@ def encoder(path: str) -> Encoder:
     """The worker's own, kept from task to task."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    K.held["encoder"] = _encoders.clear
     return _encoders[path]
 
 
@@ -113,9 +132,8 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, unit: int) -> DataF
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, fulls, ranks = uuid.uuid4().int >> 66, 0, np.zeros(capacity // unit + 2, np.int64)
-        for s in K.text_slices(it, "text", SLICE_BYTES):
-            texts = s.rows.column(1)
-            ids, off = encoder(path).encode(texts.fill_null("") if texts.null_count else texts)
+        for s in K.text_slices(it, "text", keep="encoder"):
+            ids, off = encoder(path).encode(s.data, s.off)
             crcs, cls, rank, full = [], [], [], []
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
                 raw = ids[a:b].tobytes() + END_ID.to_bytes(4, "little")
