@@ -97,6 +97,16 @@ def mark(s: K.Slice, index: Index) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(w.off), pa.int64()), spans, names], schema=_SCHEMA)
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).where("item is not null")
+    return bench, max(1, -(-int(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+
+
+def _shared(bench: DataFrame, blocks: int, b: int, window: int, gram: int):
+    rows = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
+    return bench.sparkSession.sparkContext.broadcast(Index(rows, window, gram))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (hit word ranges, end exclusive), items (ids as strings, sorted): one row per row of docs.
 
@@ -109,13 +119,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     Null texts have no words; items without words, or with null id, hit nothing; repeated items and documents are
     harmless; an empty benchmark marks nothing; extra columns are ignored.
     """
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).where("item is not null")
-    blocks = max(1, -(-int(bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    bench, blocks = _blocks(benchmark, block_bytes)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = []
     for b in range(blocks):
-        rows = [tuple(r) for r in bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()]
-        shared = docs.sparkSession.sparkContext.broadcast(Index(rows, window, gram))
+        shared = _shared(bench, blocks, b, window, gram)
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for s in K.text_slices(it, "text"):
@@ -148,11 +156,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without contaminated rows, decided row by row in one scan. With several blocks of benchmark text the verdicts
+    are joined by id and word count instead."""
+    bench, blocks = _blocks(benchmark, block_bytes)
+    if blocks > 1:
+        bad = materialize(verdict(contamination(docs, benchmark, block_bytes=block_bytes)).where("contaminated").select("doc_id").distinct(), "contaminated")
+        return docs.join(small(bad), docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    shared = _shared(bench, 1, 0, WINDOW, GRAM)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in K.text_slices(it, "text"):
+            probe = pa.RecordBatch.from_arrays([pa.array(np.zeros(s.rows.num_rows, np.int64))], ["doc_id"])
+            found = mark(K.Slice(probe, s.data, s.off), shared.value)
+            hit = [sum(x["end"] - x["start"] for x in spans) for spans in found.column("spans").to_pylist()]
+            yield s.rows.filter(pa.array([not (h and 20 * h >= n) for h, n in zip(hit, found.column("n_words").to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the contaminated ones."""
-    bad = verdict(contamination(docs, table(spark, sf_dir, "benchmark"))).where("contaminated").select("doc_id").distinct()
-    bad = materialize(bad, "contaminated")
-    return docs.join(small(bad), "doc_id", "left_anti").select(docs.columns)
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -20,7 +20,11 @@ def brute(rows):
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 root = [root[j] if x == root[i] else x for x in root]
     ids = [[d for (d, _), r in zip(rows, root) if r == c and d is not None] for c in root]
-    return sorted(((d, len(s), min(x) if x else None) for (d, _), s, x in zip(rows, sets, ids)), key=str)
+    same = [[d for (d, _), t in zip(rows, sets) if t == s and d is not None] if s else [d] for (d, _), s in zip(rows, sets)]
+    kinds = {frozenset(s) for s in sets if s}
+    links = [sum(100 * len(s & t) >= 75 * len(s | t) for t in kinds if t != s) if s else 0 for s in sets]
+    least = lambda x: min((d for d in x if d is not None), default=None)
+    return sorted(((d, len(s), least(x), least(y), n) for (d, _), s, x, y, n in zip(rows, sets, ids, same, links)), key=str)
 
 
 def corpus(seed, groups=12):
@@ -74,5 +78,5 @@ def test_stage_keeps_one_of_each_group(spark):
     rows = list(enumerate(texts)) + [(0, texts[0])]
     df = spark.createDataFrame([(d, t, "en") for d, t in rows], "doc_id long, text string, lang string")
     kept = J.stage(spark, df, "").collect()
-    want = {d for d, _, c in brute(rows) if d == c}
+    want = {d for d, _, c, _, _ in brute(rows) if d == c}
     assert sorted(r["doc_id"] for r in kept) == sorted(want) and kept[0].asDict().keys() == {"doc_id", "text", "lang"}
