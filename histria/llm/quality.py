@@ -148,7 +148,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_DOCS) -> Mo
     got = sorted((r["quality"], bytes(r["x"])) for r in got)
     parts = [np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for _, x in got]
     off = np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int64)
-    return fit(np.concatenate([np.zeros((0, N_FEATURES), np.float32), *parts]).astype(np.float64), off, np.array([q for q, _ in got], float))
+    model = fit(np.concatenate([np.zeros((0, N_FEATURES), np.float32), *parts]).astype(np.float64), off, np.array([q for q, _ in got], float))
+    K.let_go()
+    return model
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
