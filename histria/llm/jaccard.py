@@ -8,7 +8,8 @@
    shingles in their prefixes are dealt once more with these put last too; nodes of lists that are long even then are
    tied together per size band without naming pairs. Pairs whose bitmaps bound the overlap too low are dropped.
 4. The candidate graph's components are cut into size-banded tiles of bounded size. A tile holds its sets as sorted
-   arrays, skips pairs by size, by bitmap bound and where both are known to be connected, and intersects the rest exactly.
+   arrays, skips pairs by size and by bitmap bound, and intersects the rest exactly; it returns each set's number of
+   links and enough links to connect what they connect, never all pairs.
 5. Components over the found links.
 """
 
@@ -263,34 +264,41 @@ def bounded_by_bits(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def link_tile(rep: np.ndarray, sets: list[np.ndarray], block: np.ndarray, cross: bool, percent: int) -> list[tuple[int, int]]:
-    """Links that join sets not yet connected: all such pairs of one block, or of two blocks if cross."""
-    order = np.lexsort((rep, [len(x) for x in sets]))
-    rep, block, sets = rep[order], block[order], [sets[i] for i in order]
+def link_tile(key: np.ndarray, sets: list[np.ndarray], block: np.ndarray, cross: bool, percent: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(links that join sets not connected before, number of links of each set): over all pairs of one block, or of two
+    blocks if cross. Pairs out of size or bitmap bounds are never intersected."""
+    order = np.lexsort((key, [len(x) for x in sets]))
+    key, block, sets = key[order], block[order], [sets[i] for i in order]
     n = np.array([len(x) for x in sets])
+    off = np.r_[0, np.cumsum(n)]
+    # Sorted arrays over the tile's own dense numbering: an intersection is a look-up of one array in the other's marks.
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    marks = np.zeros(len(values), bool)
     words = max(1, min(1 << max(0, int(n.max() - 1).bit_length() - 6), 64))
     bits = np.stack([_small_bitmap(x, words) for x in sets])
-    root = np.arange(len(sets))
-    out = []
+    root, counts, out = np.arange(len(sets)), np.zeros(len(sets), np.int64), []
     hi = np.searchsorted(n, n * 100 // percent, "right")
     for i in range(len(sets)):
         j = np.arange(i + 1, hi[i])
-        j = j[root[j] != root[i]]
         if cross:
             j = j[block[j] != block[i]]
+        j = j[may_link(n[i], n[j], np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64), percent)] if len(j) else j
         if not len(j):
             continue
-        j = j[may_link(n[i], n[j], np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64), percent)]
+        mine = flat[off[i] : off[i + 1]]
+        marks[mine] = True
+        inter = np.add.reduceat(marks[flat[K.ragged(off[j], n[j])]], np.r_[0, np.cumsum(n[j])[:-1]], dtype=np.int64)
+        marks[mine] = False
+        j = j[100 * inter >= percent * (n[i] + n[j] - inter)]
+        counts[i] += len(j)
+        counts[j] += 1
         for k in j.tolist():
-            if root[k] == root[i]:
-                continue
-            small_set, large = (sets[i], sets[k]) if n[i] <= n[k] else (sets[k], sets[i])
-            at = np.minimum(np.searchsorted(large, small_set), len(large) - 1)
-            inter = int((large[at] == small_set).sum())
-            if 100 * inter >= percent * (n[i] + n[k] - inter):
-                out.append((int(rep[i]), int(rep[k])))
+            if root[k] != root[i]:
+                out.append((int(key[i]), int(key[k])))
                 root[root == root[k]] = root[i]
-    return out
+    back = np.empty_like(counts)
+    back[order] = counts
+    return out, back
 
 
 def _small_bitmap(v: np.ndarray, words: int) -> np.ndarray:
@@ -298,19 +306,25 @@ def _small_bitmap(v: np.ndarray, words: int) -> np.ndarray:
     return np.packbits((np.bincount((v % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def numbers(column: DataFrame) -> np.ndarray:
+    """A bounded column of hashes on the driver, sorted, 8 bytes each."""
+    return np.sort(column.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE, long_list: int = LIST) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of docs.
+    """doc_id, n_shingles, component_id, class_id, n_links: one row per row of docs.
 
     Two documents link when 100 |A & B| >= percent |A | B| over their distinct 5-word shingles (64-bit hashes of words
-    `[^\\x20\\x09-\\x0D]+` with A-Z lowered); component_id is the smallest doc_id reachable by links. Fewer than five
+    `[^\\x20\\x09-\\x0D]+` with A-Z lowered); component_id is the smallest doc_id reachable by links,
+    class_id the smallest with an equal set, n_links the number of other sets (classes) linked with it. Fewer than five
     words: the whole sequence is one shingle. Null or empty texts, or without words, have an empty set and link with
     nothing. Repeated rows and equal texts fall in one class and meet no pair work; a row with null doc_id links like any
     other but is nobody's smallest id (alone, its component is null). No rows give no rows; extra columns are ignored.
     """
     rows = materialize(scan(docs), "scan")
     of_doc = rows.where("key is not null").select("doc_id", "n", "key", "key2")
-    top = rows.where("frequent is not null").groupBy("frequent").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "frequent").limit(FREQUENT).collect()
-    frequent = np.sort(np.array([r["frequent"] for r in top], np.int64).view(np.uint64))
+    top = rows.where("frequent is not null").groupBy("frequent").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "frequent").limit(FREQUENT)
+    frequent = numbers(top.select("frequent"))
     classes = of_doc.where("n > 0").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes, "classes")
     total = classes.agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
@@ -320,7 +334,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE
     long = met.where(F.col("kind") == LONG).select("a").distinct()
     blocks = -(-long.count() // HOT_BLOCK)
     for k in range(blocks):
-        ids = np.sort(np.array([r["a"] for r in long.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == k).collect()], np.int64).view(np.uint64))
+        ids = numbers(long.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == k))
         again = candidates(postings(docs, frequent, buckets, percent, ids), long_list, tie=True)
         pairs = pairs.unionByName(materialize(again, "met"))
     pairs = materialize(pairs.groupBy("a", "b").agg((F.max("kind") == TIE).alias("tie")), "pairs")
@@ -329,7 +343,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE
     ends = ends.join(bits.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb")), "b")
     kept = bounded_by_bits(ends.select("a", "b", "na", "nb", "ba", "bb"), percent)
     clusters = components(kept.unionByName(pairs.where("tie").select("a", "b")))
-    members = classes.where("rep is not null").join(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")), "key")
+    members = classes.join(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")), "key")
     members = materialize(members.select("cluster", "key", "key2", "rep", "n"), "members")
     wanted = small(members.select(F.col("rep").alias("doc_id")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
@@ -341,24 +355,32 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE
             yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array([v[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary())], ["key", "key2", "shingles"])
 
     def link(t: pa.Table) -> pa.Table:
-        at, block, rep, sets = {}, [], [], []
-        for k, k2, b, r, x in zip(*(t.column(c).to_pylist() for c in ("key", "key2", "block", "rep", "shingles"))):
-            if (k, k2) not in at:
-                at[k, k2] = 1
+        seen, block, key, sets = set(), [], [], []
+        for k, k2, b, x in zip(*(t.column(c).to_pylist() for c in ("key", "key2", "block", "shingles"))):
+            if (k, k2) not in seen:
+                seen.add((k, k2))
                 block.append(b)
-                rep.append(r)
+                key.append(k)
                 sets.append(np.frombuffer(x, np.uint64))
         cross = t.column("bi")[0].as_py() != t.column("bj")[0].as_py()
-        found = link_tile(np.array(rep, np.int64), sets, np.array(block, object), cross, percent)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+        found, counts = link_tile(np.array(key, np.int64), sets, np.array(block, object), cross, percent)
+        some = counts > 0
+        a = np.concatenate([np.array([x for x, _ in found], np.int64), np.array(key, np.int64)[some]])
+        b = pa.array([y for _, y in found] + [None] * int(some.sum()), pa.int64())
+        return pa.table({"a": pa.array(a), "b": b, "links": pa.array([0] * len(found) + counts[some].tolist(), pa.int64())})
 
     sets = texts.mapInArrow(arrays, "key long, key2 long, shingles binary")
-    links = tiles(members, tile, F.floor(F.ln("n") / math.log(100 / percent) * _BANDS).cast("int"), _BANDS + 1, "rep").join(sets, ["key", "key2"]).groupBy("cluster", "bi", "bj").applyInArrow(link, "a long, b long")
-    found = components(links)
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    named = named.where("copies > 1 or component_id <> rep").select("key", "key2", "component_id")
+    links = tiles(members, tile, F.floor(F.ln("n") / math.log(100 / percent) * _BANDS).cast("int"), _BANDS + 1, "rep").join(sets, ["key", "key2"]).groupBy("cluster", "bi", "bj").applyInArrow(link, "a long, b long, links long")
+    links = materialize(links, "links")
+    found = components(links.where("b is not null").select("a", "b"))
+    counts = links.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("n_links"))
+    named = classes.join(found.withColumnRenamed("node", "key"), "key", "left").join(counts, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    named = materialize(named.where("copies > 1 or n_links > 0"), "named")
+    named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
+    named = named.select("key", "key2", "component_id", "n_links", F.col("rep").alias("class_id"))
     out = of_doc.withColumnRenamed("n", "n_shingles").join(named, ["key", "key2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = lambda c: F.when(F.col("n_shingles") > 0, F.coalesce(c, "doc_id")).otherwise(F.col("doc_id")).alias(c)
+    return out.select("doc_id", "n_shingles", own("component_id"), own("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,6 +409,8 @@ links AS (
 ), reach AS (
   SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
 )
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(min(reach.b), d.doc_id) AS component_id
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n
+, c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM (SELECT doc_id, sha256(string_agg(g, chr(1) ORDER BY g)) AS k FROM s GROUP BY doc_id)),
+l AS (SELECT a AS doc_id, count(DISTINCT y.class_id) AS n_links FROM links JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE x.class_id <> y.class_id GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(min(reach.b), d.doc_id) AS component_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(l.n_links, 0)::BIGINT AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n, c.class_id, l.n_links
 """
