@@ -155,22 +155,21 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, unit: int) -> DataF
 
 def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """Unbounded knapsack by dynamic programming: the best pattern under these dual prices."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    worth, place = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    worth[sizes], place[sizes] = values, np.arange(len(sizes))
+    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for c in range(1, capacity + 1):
-        n = int(np.searchsorted(sizes, c, "right"))
-        best[c] = best[c - 1]
-        if n:
-            gain = best[c - sizes[:n]] + values[:n]
-            k = int(gain.argmax())
-            if gain[k] > best[c] + 1e-12:
-                best[c], took[c] = gain[k], k
+        gain = best[:c][::-1] + worth[1 : c + 1]  # of taking a size 1..c last; sizes that are not there are worth nothing
+        k = int(gain.argmax())
+        if gain[k] > best[c - 1] + 1e-12:
+            best[c], took[c] = gain[k], k + 1
+        else:
+            best[c] = best[c - 1]
     pattern, c = np.zeros(len(sizes)), capacity
     while c > 0:
-        if took[c] < 0:
-            c -= 1
-        else:
-            pattern[took[c]] += 1
-            c -= sizes[took[c]]
+        if took[c]:
+            pattern[place[took[c]]] += 1
+        c -= max(1, int(took[c]))
     return float(best[capacity]), pattern
 
 
