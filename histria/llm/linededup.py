@@ -20,7 +20,7 @@ from . import kernels as K
 from .common import BROADCAST_KEYS, components, materialize, small, table, tiles
 
 TAU = 2
-#: Shorter lines stay as they are: two edits would make most of them equal.
+#: Shorter lines are no part of the edit join (two edits would make most of them equal); only their exact copies count.
 MIN_CHARS = 24
 LIST = 32
 TILE = 1200
@@ -34,6 +34,7 @@ def _value(cp: np.ndarray, salt: int) -> np.ndarray:
     return K.mix(cp * np.uint64(0x9FB21C651E98DF25) + np.uint64(salt))
 
 
+_BLANK = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 _LOW, _LOW2 = (_value(np.arange(1 << 14, dtype=np.uint64), salt) for salt in (1, 2))
 
 
@@ -59,6 +60,12 @@ class Lines:
         np.cumsum(self._values(_LOW, 1) * K.powers(_BASE, len(self.cp)), out=c[1:])
         return c
 
+    def blank(self, at: np.ndarray) -> np.ndarray:
+        """Which of these lines are of white space only, or of nothing."""
+        off = np.r_[0, np.cumsum(self.n[at])]
+        ink = np.r_[0, np.cumsum(~np.isin(self.cp[K.ragged(self.start[at], self.n[at])], _BLANK))]
+        return ink[off[1:]] == ink[off[:-1]]
+
     def _values(self, known: np.ndarray, salt: int) -> np.ndarray:
         if not len(self.cp) or self.cp.max() < len(known):
             return known[self.cp]
@@ -116,9 +123,9 @@ _SCAN = "doc_id long, text_hash long, line int, chars int, key long, key2 long,
 _NAMES = [x.split()[0] for x in _SCAN.split(", ")]
 
 
-def scan(docs: DataFrame, tau: int, min_chars: int, buckets: int) -> DataFrame:
-    """Two kinds of rows: every line of at least min_chars code points (bucket null), and, as blobs, the index and probe
-    entries of the lines that are new to a task."""
+def scan(docs: DataFrame, tau: int, min_chars: int, buckets: int, short: bool) -> DataFrame:
+    """Two kinds of rows: every line of at least min_chars code points, and with `short` every shorter one that is not
+    blank (bucket null); and, as blobs, the index and probe entries of the long lines that are new to a task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -129,15 +136,20 @@ def scan(docs: DataFrame, tau: int, min_chars: int, buckets: int) -> DataFrame:
             order = np.argsort(bucket, kind="stable")
             bucket, rec = bucket[order], rec[order]
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            long, int_ = pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int32())
-            return pa.RecordBatch.from_arrays([long, long, int_, int_, long, long, pa.array(bucket[first].astype(np.int32)), pa.array([r.tobytes() for r in np.split(rec, first[1:])], pa.binary())], _NAMES)
+            none, int_ = pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int32())
+            return pa.RecordBatch.from_arrays([none, none, int_, int_, none, none, pa.array(bucket[first].astype(np.int32)), pa.array([r.tobytes() for r in np.split(rec, first[1:])], pa.binary())], _NAMES)
 
         for s in K.text_slices(it, "text"):
             x = Lines(s)
             key, key2 = x.keys()
-            at = np.flatnonzero(x.n >= min_chars)
+            long = x.n >= min_chars
+            at = np.flatnonzero(long)
+            if short:
+                less = np.flatnonzero(~long)
+                at = np.union1d(at, less[~x.blank(less)])
             doc = pa.array(x.doc[at])
             yield pa.RecordBatch.from_arrays([s.rows.column(0).take(doc), s.rows.column(1).take(doc), pa.array(x.number[at].astype(np.int32)), pa.array(x.n[at].astype(np.int32)), pa.array(key[at]), pa.array(key2[at]), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], _NAMES)
+            at = at[long[at]]
             _, firsts = np.unique(key[at], return_index=True)
             at = at[np.sort(firsts)]
             at = at[np.array([k not in seen for k in key[at].tolist()], bool)]
@@ -280,12 +292,12 @@ def near_lines(docs: DataFrame, dealt: DataFrame, classes: DataFrame, tau: int,
     return components(links)
 
 
-def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, long_list: int = LIST, tile: int = TILE) -> DataFrame:
+def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, long_list: int = LIST, tile: int = TILE, short: bool = False) -> DataFrame:
     """row (all columns of docs, as a struct), n_lines, n_removed (long) and kept: the text without its repeated lines.
 
     Lines (between line ends) of at least min_chars code points are one class when they are equal or linked by pairs
     within tau edits; of a class the first occurrence by (doc_id, text hash, line number) stays and the others go, with
-    one line end each. Shorter lines stay. A null text has no lines and stays null; an empty one has one empty line.
+    one line end each. Shorter lines stay or, with `short`, are one class when they are equal; blank ones stay. A null text has no lines and stays null; an empty one has one empty line.
     Rows of equal id and equal text count as one document (each keeps what the first keeps); a null id comes first in
     the order. No rows give no rows; further columns are carried in `row` whatever their names.
     """
@@ -294,7 +306,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, lon
     plain = t.select("doc_id", "text_hash", "text")
     # About 4 MB of text a bucket.
     buckets = 1 + (plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (4 << 20)
-    rows = materialize(scan(plain, tau, min_chars, int(buckets)), "lines")
+    rows = materialize(scan(plain, tau, min_chars, int(buckets), short), "lines")
     seen = rows.where("bucket is null").drop("bucket", "blob")
     dealt = rows.where("bucket is not null").select("bucket", "blob")
     classes = materialize(seen.groupBy("key", "key2").agg(F.first("chars").alias("chars"), F.min(F.struct("doc_id", "text_hash", "line")).alias("first"), F.count("*").alias("cnt")), "classes")
@@ -315,11 +327,11 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, lon
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents"), short=True)
     return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"), F.coalesce(F.length("kept"), F.lit(0)).cast("long").alias("kept_chars"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines; a document of which nothing but white space is left goes."""
-    out = dedup_lines(docs).where("n_removed = 0 or trim(kept) <> ''")
+    out = dedup_lines(docs, short=True).where((F.col("n_removed") == 0) | F.col("kept").rlike(r"(?U)\S"))
     return out.select(*[F.col("kept").alias("text") if c == "text" else F.length("kept").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -99,3 +99,17 @@ def test_dedup_lines_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert L.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_exact_copies_of_short_lines_go_from_query_and_stage(spark, tmp_path):
+    a, b = "a line of more than twenty-four characters", "another one of quite as many characters as that"
+    texts = [f"Menu\n{a}\n\n \t\nMenu", f"Menu\n\n{b}\nMenü\nx", "Menu\r\nRead more\nx", "Menu\n\u3000\nx", None, "", "\n", "y" * 24 + "\n" + "z" * 23, "z" * 23 + "\n" + "y" * 23]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    want = [f"Menu\n{a}\n\n \t", f"\n{b}\nMenü\nx", "Menu\r\nRead more", "\u3000", None, "", "\n", texts[7], "y" * 23]
+    kept = {r["row"]["doc_id"]: r["kept"] for r in L.dedup_lines(docs, short=True).collect()}
+    assert kept == dict(enumerate(want))
+    got = {r["doc_id"]: (r["n_removed"], r["kept_chars"]) for r in L.query(spark, str(tmp_path)).collect()}
+    assert got == {i: (0 if t is None else t.count("\n") - w.count("\n"), len(w or "")) for i, (t, w) in enumerate(zip(texts, want))}
+    # Document 3 has nothing but white space left.
+    assert {r["doc_id"]: r["text"] for r in L.stage(spark, docs, "").collect()} == {i: w for i, w in enumerate(want) if i != 3}
