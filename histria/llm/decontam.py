@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,30 +115,53 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     run of at least `window` words shares a fingerprint; runs of windows with a known fingerprint are then compared
     window by window (64-bit hashes of all words), and consecutive hits join to spans. An item of fewer words is one
     window of its own length. The index of a block of at most `block_bytes` benchmark text is broadcast; documents are
-    scanned once a block, with no shuffle, and several blocks' results meet per document.
+    scanned once a block, with no shuffle; of several blocks, the hits meet per text (a digest) and go back to each row.
 
     Null texts have no words; items without words, or with null id, hit nothing; repeated items and documents are
     harmless; an empty benchmark marks nothing; extra columns are ignored.
     """
     bench, blocks = _blocks(benchmark, block_bytes)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = []
+    if blocks == 1:
+        return slim.mapInArrow(_marker(_shared(bench, 1, 0, window, gram)), _OUT)
+    rows, hits = _block_hits(slim, bench, blocks, window, gram)
+    both = rows.join(small(hits.drop("n_words")), "digest", "left")
+    return both.select("doc_id", "n_words", *[F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c) for c in ("spans", "items")])
+
+
+def _marker(shared):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in K.text_slices(it, "text"):
+            yield mark(s, shared.value)
+
+    return run
+
+
+def _digest():
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def _block_hits(slim: DataFrame, bench: DataFrame, blocks: int, window: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_words, digest of each row; digest, n_words, spans, items of each text that a block hits). What hits a
+    row depends on its text alone."""
+    keyed = slim.select("doc_id", "text", _digest().alias("digest"))
+    found = None
     for b in range(blocks):
         shared = _shared(bench, blocks, b, window, gram)
 
-        def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(it: Iterator[pa.RecordBatch], shared=shared, b=b) -> Iterator[pa.RecordBatch]:
             for s in K.text_slices(it, "text"):
-                yield mark(s, shared.value)
+                got = pa.RecordBatch.from_arrays([*mark(s, shared.value).columns, s.rows.column(2)], [*_SCHEMA.names, "digest"])
+                # Each row once, from the first block; of the others its hits only.
+                yield got if b == 0 else got.filter(pc.greater(pc.list_value_length(got.column(2)), 0))
 
-        found.append(slim.mapInArrow(run, _OUT))
-    if blocks == 1:
-        return found[0]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    # With several blocks, rows of equal id and word count count as one document.
-    merged = out.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "n_words", _join_spans(F.col("spans")).alias("spans"), "items")
+        one = keyed.mapInArrow(run, f"{_OUT}, digest string").withColumn("block", F.lit(b))
+        found = one if found is None else found.unionByName(one)
+    found = materialize(found, "found")
+    # Copies of a text have equal hits in each block, so the sets hold one value a block at most.
+    hits = found.where(F.size("spans") > 0).groupBy("digest", "n_words").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    hits = materialize(hits.withColumn("spans", _join_spans(F.col("spans"))), "hits")
+    return found.where("block = 0").select("doc_id", "n_words", "digest"), hits
 
 
 def _join_spans(spans):
@@ -157,12 +181,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs without contaminated rows, decided row by row in one scan. With several blocks of benchmark text the verdicts
-    are joined by id and word count instead."""
+    """docs without contaminated rows, decided row by row, in one scan. With several blocks of benchmark text the verdicts
+    of the texts that they hit are joined by digest instead."""
     bench, blocks = _blocks(benchmark, block_bytes)
     if blocks > 1:
-        bad = materialize(verdict(contamination(docs, benchmark, block_bytes=block_bytes)).where("contaminated").select("doc_id").distinct(), "contaminated")
-        return docs.join(small(bad), docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+        _, hits = _block_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bench, blocks, WINDOW, GRAM)
+        bad = materialize(verdict(hits).where("contaminated").select("digest"), "contaminated")
+        return docs.join(small(bad), _digest() == bad["digest"], "left_anti")
     shared = _shared(bench, 1, 0, WINDOW, GRAM)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

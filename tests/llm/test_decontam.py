@@ -56,3 +56,26 @@ def test_empty_tables(spark):
     assert D.contamination(d, b.where("false")).first()["items"] == []
     assert D.contamination(d.where("false"), b).count() == 0
     assert D.contamination(d, b).first()["spans"][0].asDict() == {"start": 0, "end": 3}
+
+
+def test_blocks_decide_row_by_row_like_one(spark):
+    r = random.Random(4)
+    vocab = [f"w{i}" for i in range(500)]
+    say = lambda n: " ".join(r.choice(vocab) for _ in range(n))
+    bench = [(i, say(30)) for i in range(12)]
+    # Null and repeated ids, all of 30 words: clean ones, ones that one or two items hit, and whole copies of rows.
+    mixed = " ".join(bench[1][1].split()[:15] + bench[7][1].split()[:15])
+    texts = [say(30), bench[2][1], mixed, say(30), mixed, bench[2][1], "", None]
+    docs = [(d, t) for d in (None, 5) for t in texts] + [(6, say(30)), (7, mixed)]
+    df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, digest int")
+    bf = spark.createDataFrame(bench, "item_id long, text string")
+    assert D._blocks(bf, 300)[1] > 5
+    shown = lambda size: sorted((str(tuple(x)) for x in D.contamination(df, bf, block_bytes=size).collect()))
+    assert shown(300) == shown(D.BLOCK_BYTES) and len(shown(300)) == len(docs)
+    got = D.verdict(D.contamination(df, bf, block_bytes=300)).collect()
+    assert sorted(((x["doc_id"], x["n_words"], x["n_hit"], x["items"]) for x in got), key=str) == brute(docs, bench)
+    bad = {mixed, bench[2][1]}
+    for size in (300, D.BLOCK_BYTES):
+        kept = D.clean_documents(df, bf, block_bytes=size)
+        assert kept.columns == df.columns
+        assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str) == sorted(((d, t) for d, t in docs if t not in bad), key=str)
