@@ -118,9 +118,17 @@ def list_id(v: np.ndarray, buckets: int) -> np.ndarray:
 
 
 _SCAN = "doc_id long, n long, key long, key2 long, bits binary, frequent long, cnt long"
+DIGEST = "digest"
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def digest():
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
+def scan(docs: DataFrame, told: bool = False) -> DataFrame:
+    """told: also each text's digest."""
+    names = [x.split()[0] for x in _SCAN.split(", ")] + [DIGEST] * told
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size, seen = 0, set()
@@ -129,7 +137,7 @@ def scan(docs: DataFrame) -> DataFrame:
             v, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
             v, c = v[c >= FREQUENT_LOCAL].view(np.int64), c[c >= FREQUENT_LOCAL]
             none = pa.nulls(len(v), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(v), pa.binary()), pa.array(v), pa.array(c)], ["doc_id", "n", "key", "key2", "bits", "frequent", "cnt"])
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(v), pa.binary()), pa.array(v), pa.array(c), *[pa.nulls(len(v), pa.string())] * told], names)
 
         for s in K.text_slices(it, "text"):
             v, off = shingle_sets(s)
@@ -142,14 +150,15 @@ def scan(docs: DataFrame) -> DataFrame:
                     held.append(v[a:b])
                     size += b - a
             none = pa.nulls(len(k1), pa.int64())
-            yield pa.RecordBatch.from_arrays([s.rows.column(0).cast(pa.int64()), pa.array(np.diff(off)), pa.array(k1), pa.array(k2), pa.array(bits, pa.binary()), none, none], ["doc_id", "n", "key", "key2", "bits", "frequent", "cnt"])
+            yield pa.RecordBatch.from_arrays([s.rows.column(0).cast(pa.int64()), pa.array(np.diff(off)), pa.array(k1), pa.array(k2), pa.array(bits, pa.binary()), none, none, *s.rows.columns[2:]], names)
             if size >= FLUSH:
                 yield flush()
                 held, size = [], 0
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCAN)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[digest().alias(DIGEST)] * told)
+    return slim.mapInArrow(run, _SCAN + f", {DIGEST} string" * told)
 
 
 def postings(docs: DataFrame, frequent: np.ndarray, buckets: int, percent: int, long_lists: np.ndarray | None = None) -> DataFrame:
@@ -321,8 +330,16 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE
     nothing. Repeated rows and equal texts fall in one class and meet no pair work; a row with null doc_id links like any
     other but is nobody's smallest id (alone, its component is null). No rows give no rows; extra columns are ignored.
     """
-    rows = materialize(scan(docs), "scan")
-    of_doc = rows.where("key is not null").select("doc_id", "n", "key", "key2")
+    out = grouped(docs, percent, tile, long_list)
+    own = lambda c: F.when(F.col("n_shingles") > 0, F.coalesce(c, "doc_id")).otherwise(F.col("doc_id")).alias(c)
+    return out.select("doc_id", "n_shingles", own("component_id"), own("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def grouped(docs: DataFrame, percent: int = PERCENT, tile: int = TILE, long_list: int = LIST, told: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id, n_links of each row, the latter ones null for sets without copies or
+    links; told: also component (a number, null likewise, of the group even if no row of it has an id) and the text's digest."""
+    rows = materialize(scan(docs, told), "scan")
+    of_doc = rows.where("key is not null").select("doc_id", "n", "key", "key2", *[DIGEST] * told)
     top = rows.where("frequent is not null").groupBy("frequent").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "frequent").limit(FREQUENT)
     frequent = numbers(top.select("frequent"))
     classes = of_doc.where("n > 0").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -345,8 +362,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE
     clusters = components(kept.unionByName(pairs.where("tie").select("a", "b")))
     members = classes.join(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")), "key")
     members = materialize(members.select("cluster", "key", "key2", "rep", "n"), "members")
-    wanted = small(members.select(F.col("rep").alias("doc_id")).distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    # A null id stands for the classes that no row with an id is in.
+    wanted = small(members.select("rep").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
     def arrays(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in K.text_slices(it, "text"):
@@ -370,17 +388,15 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE
         return pa.table({"a": pa.array(a), "b": b, "links": pa.array([0] * len(found) + counts[some].tolist(), pa.int64())})
 
     sets = texts.mapInArrow(arrays, "key long, key2 long, shingles binary")
-    links = tiles(members, tile, F.floor(F.ln("n") / math.log(100 / percent) * _BANDS).cast("int"), _BANDS + 1, "rep").join(sets, ["key", "key2"]).groupBy("cluster", "bi", "bj").applyInArrow(link, "a long, b long, links long")
+    links = tiles(members, tile, F.floor(F.ln("n") / math.log(100 / percent) * _BANDS).cast("int"), _BANDS + 1, "key").join(sets, ["key", "key2"]).groupBy("cluster", "bi", "bj").applyInArrow(link, "a long, b long, links long")
     links = materialize(links, "links")
     found = components(links.where("b is not null").select("a", "b"))
     counts = links.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("n_links"))
     named = classes.join(found.withColumnRenamed("node", "key"), "key", "left").join(counts, "key", "left").withColumn("component", F.coalesce("component", "key"))
     named = materialize(named.where("copies > 1 or n_links > 0"), "named")
     named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component")
-    named = named.select("key", "key2", "component_id", "n_links", F.col("rep").alias("class_id"))
-    out = of_doc.withColumnRenamed("n", "n_shingles").join(named, ["key", "key2"], "left")
-    own = lambda c: F.when(F.col("n_shingles") > 0, F.coalesce(c, "doc_id")).otherwise(F.col("doc_id")).alias(c)
-    return out.select("doc_id", "n_shingles", own("component_id"), own("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = named.select("key", "key2", "component_id", "n_links", F.col("rep").alias("class_id"), *["component"] * told)
+    return of_doc.withColumnRenamed("n", "n_shingles").join(named, ["key", "key2"], "left").drop("key", "key2")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -388,12 +404,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; empty texts are no copies of each other."""
-    groups = materialize(jaccard_components(docs), "groups")
-    drop = groups.where("component_id <> doc_id or (component_id is not null and doc_id is null)").select("doc_id").distinct()
-    out = docs.join(small(drop), docs["doc_id"].eqNullSafe(drop["doc_id"]), "left_anti")
-    repeated = groups.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
-    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    """Of each group of near copies one row stays, that with the smallest id (null ids last; of one id, that with the
+    smallest digest of its text); empty texts are no copies of each other. Rows are told apart by id and text."""
+    groups = grouped(docs, told=True).where("n_shingles > 0 and component is not null")
+    texts = groups.groupBy("component", "doc_id", DIGEST).agg(F.count("*").alias("c"))
+    texts = materialize(texts.withColumn("at", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", DIGEST)), "texts")
+    best = texts.groupBy("component").agg(F.min("at").alias("best"))
+    # Groups of one text and id that is there once drop nothing.
+    marked = texts.join(best, "component").select(F.col("doc_id").alias("id_"), F.col(DIGEST).alias("digest_"), (F.col("at") == F.col("best")).alias("stays"), "c")
+    marked = materialize(marked.where("not stays or c > 1"), "marked")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (digest() == F.col("digest_"))
+    out = docs.join(small(marked.select("id_", "digest_")), same, "left_anti")
+    repeated = marked.where("stays").select("id_", "digest_")
+    if repeated.isEmpty():
+        return out
+    return out.unionByName(docs.join(small(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 ORACLE = r"""

@@ -80,3 +80,17 @@ def test_stage_keeps_one_of_each_group(spark):
     kept = J.stage(spark, df, "").collect()
     want = {d for d, _, c, _, _ in brute(rows) if d == c}
     assert sorted(r["doc_id"] for r in kept) == sorted(want) and kept[0].asDict().keys() == {"doc_id", "text", "lang"}
+
+
+def test_stage_drops_rows_not_ids(spark):
+    r = random.Random(6)
+    say = lambda: " ".join(f"w{r.randrange(900)}" for _ in range(30))
+    a, b, c, d, e, f, g = (say() for _ in range(7))
+    rows = [(2, a), (None, a + " x"), (None, b), (5, c), (5, a), (7, d), (7, d), (None, e), (None, e), (None, e + " y"), (None, f), (7, g), (None, ""), (None, ""), (9, None)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, digest int")
+    kept = J.stage(spark, df, "")
+    assert kept.columns == df.columns
+    got = sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str)
+    one = [x for x in got if x[1] in (e, e + " y")]
+    assert len(one) == 1
+    assert got == sorted([(2, a), (None, b), (5, c), (7, d), *one, (None, f), (7, g), (None, ""), (None, ""), (9, None)], key=str)
