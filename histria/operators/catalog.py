@@ -86,15 +86,22 @@ def deletable(rows: DataFrame, host: str, alive: list[int]) -> DataFrame:
     return rows.where((F.col("host") == host) & gone & F.coalesce(F.size("metrics") <= 0, F.lit(True)))
 
 
-def resolve_aliases(entries: DataFrame, max_steps: int = 16) -> DataFrame:
-    """name, target after following alias chains (entries: name, alias or null); cycles and chains over max_steps resolve to null.
+def resolve_aliases(entries: DataFrame, max_steps: int | None = None) -> DataFrame:
+    """name, target after following alias chains (entries: name, alias or null) of any length, or of up to about max_steps;
+    cycles and chains to missing entries resolve to null.
 
-    Pointer doubling: log2(max_steps) joins."""
+    Pointer doubling until no target changes (cycles: until the steps reach the number of entries): a join a round."""
     now = entries.select("name", F.coalesce("alias", "name").alias("target"))
+    most = entries.count() if max_steps is None else max_steps
+    shared = entries.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
     steps = 1
-    while steps < max_steps:
+    while steps < most:
         hop = now.select(F.col("name").alias("target"), F.col("target").alias("next"))
-        now = now.join(hop, "target", "left").select("name", F.coalesce("next", "target").alias("target"))
+        both = now.join(hop, "target", "left").select("name", F.coalesce("next", "target").alias("target"), F.coalesce(F.col("next") != F.col("target"), F.lit(False)).alias("moved"))
+        both = both.checkpoint() if shared else both.localCheckpoint()
+        now = both.drop("moved")
+        if both.where("moved").isEmpty():
+            break
         steps *= 2
     ends = entries.where("alias is null").select(F.col("name").alias("target"), F.lit(True).alias("real"))
     return now.join(ends, "target", "left").select("name", F.when(F.col("real"), F.col("target")).alias("target"))

@@ -259,3 +259,10 @@ def test_parsers():
 def test_alias_chains(spark):
     df = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", None), ("x", "y"), ("y", "x")], "name string, alias string")
     assert {r["name"]: r["target"] for r in catalog.resolve_aliases(df).collect()} == {"a": "c", "b": "c", "c": "c", "x": None, "y": None}
+
+
+def test_alias_chains_of_any_length(spark):
+    chain = [(i, i - 1 if i else None) for i in range(101)]
+    rows = chain + [(200, 201), (201, 202), (202, 200), (300, 999), (301, 300), (400, 400)]
+    got = {r["name"]: r["target"] for r in catalog.resolve_aliases(spark.createDataFrame(rows, "name long, alias long")).collect()}
+    assert got == {**{i: 0 for i in range(101)}, **dict.fromkeys([200, 201, 202, 300, 301, 400])}
