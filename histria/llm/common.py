@@ -9,11 +9,14 @@ from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a key-only side is small enough (16 bytes each) to be broadcast; larger ones are shuffled.
-BROADCAST_KEYS = 1_000_000
+from . import kernels as K
+
+#: Bytes up to which a key-only side is small enough to be broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 16_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,9 +81,23 @@ def drop_tables(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_KEYS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows; unchanged (so shuffled) otherwise."""
-    return F.broadcast(df) if df.count() <= rows else df
+def small(df: DataFrame, width: int = 16, arrays: tuple[str, ...] = ()) -> DataFrame:
+    """df with a broadcast hint if its rows, of `width` bytes each and 4 for each element of the named arrays, stay below
+    BROADCAST_BYTES; unchanged (so shuffled) otherwise."""
+    size = F.lit(width).cast("long")
+    for a in arrays:
+        size += 4 * F.size(a)
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
+
+
+def numbers(column: DataFrame) -> np.ndarray:
+    """A bounded column of hashes on the driver, sorted, 8 bytes each."""
+    return np.sort(column.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+
+
+def digest_sum(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent prefix sums: span_hash over both gives a span's 128-bit digest."""
+    return K.byte_prefix(data, False), K.byte_prefix(255 - data, False)
 
 
 def parts(df: DataFrame) -> int:

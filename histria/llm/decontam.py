@@ -125,7 +125,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     if blocks == 1:
         return slim.mapInArrow(_marker(_shared(bench, 1, 0, window, gram)), _OUT)
     rows, hits = _block_hits(slim, bench, blocks, window, gram)
-    both = rows.join(small(hits.drop("n_words")), "digest", "left")
+    both = rows.join(small(hits.drop("n_words"), 96, ("spans", "spans", "items", "items", "items", "items")), "digest", "left")
     return both.select("doc_id", "n_words", *[F.coalesce(c, F.array().cast(hits.schema[c].dataType)).alias(c) for c in ("spans", "items")])
 
 
@@ -187,7 +187,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BL
     if blocks > 1:
         _, hits = _block_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), bench, blocks, WINDOW, GRAM)
         bad = materialize(verdict(hits).where("contaminated").select("digest"), "contaminated")
-        return docs.join(small(bad), _digest() == bad["digest"], "left_anti")
+        return docs.join(small(bad, 80), _digest() == bad["digest"], "left_anti")
     shared = _shared(bench, 1, 0, WINDOW, GRAM)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

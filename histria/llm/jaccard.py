@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, materialize, small, table, tiles
+from .common import components, materialize, numbers, small, table, tiles
 
 SHINGLE = 5
 PERCENT = 75
@@ -315,11 +315,6 @@ def _small_bitmap(v: np.ndarray, words: int) -> np.ndarray:
     return np.packbits((np.bincount((v % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def numbers(column: DataFrame) -> np.ndarray:
-    """A bounded column of hashes on the driver, sorted, 8 bytes each."""
-    return np.sort(column.toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
-
-
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, tile: int = TILE, long_list: int = LIST) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id, n_links: one row per row of docs.
 
@@ -414,11 +409,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marked = texts.join(best, "component").select(F.col("doc_id").alias("id_"), F.col(DIGEST).alias("digest_"), (F.col("at") == F.col("best")).alias("stays"), "c")
     marked = materialize(marked.where("not stays or c > 1"), "marked")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (digest() == F.col("digest_"))
-    out = docs.join(small(marked.select("id_", "digest_")), same, "left_anti")
+    out = docs.join(small(marked.select("id_", "digest_"), 88), same, "left_anti")
     repeated = marked.where("stays").select("id_", "digest_")
     if repeated.isEmpty():
         return out
-    return out.unionByName(docs.join(small(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out.unionByName(docs.join(small(repeated, 88), same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 ORACLE = r"""

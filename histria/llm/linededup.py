@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import BROADCAST_KEYS, components, materialize, small, table, tiles
+from .common import components, materialize, small, table, tiles
 
 TAU = 2
 #: Shorter lines are no part of the edit join (two edits would make most of them equal); only their exact copies count.
@@ -268,7 +268,7 @@ def near_lines(docs: DataFrame, dealt: DataFrame, classes: DataFrame, tau: int,
     members = classes.join(clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")), "key").select("cluster", "key", "key2", "chars", "first")
     members = materialize(members, "members")
     wanted = members.groupBy("first.doc_id", "first.text_hash").agg(F.collect_set("first.line").alias("lines"))
-    wanted = small(materialize(wanted, "wanted"))
+    wanted = small(materialize(wanted, "wanted"), 40, ("lines",))
 
     def texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in K.text_slices(it, "text"):
@@ -318,8 +318,7 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, lon
     several = materialize(named.where("cnt > 1 or near").select("key", "key2", "best"), "several")
     gone = seen.join(several, ["key", "key2"]).where(~F.struct("doc_id", "text_hash", "line").eqNullSafe(F.col("best")))
     gone = materialize(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone")), "gone")
-    if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= 2 * BROADCAST_KEYS:
-        gone = F.broadcast(gone)
+    gone = small(gone, 40, ("gone",))
     both = t.join(gone, t["doc_id"].eqNullSafe(gone["doc_id"]) & t["text_hash"].eqNullSafe(gone["text_hash"]), "left").select("row", "text", "gone")
     lines = F.split("text", "\n", -1)
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n"))

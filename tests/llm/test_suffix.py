@@ -36,10 +36,21 @@ def test_against_brute_force(spark):
         rows.append((i, "".join(parts)))
     rows += [(100, None), (101, ""), (102, "a" * 1500), (103, "ab" * 300), (104, rows[3][1]), (4, rows[4][1]), (None, rows[5][1] + "x"), (105, "short"), (106, "short"), (107, noise(70_000))]
     df = spark.createDataFrame([(d, t, "k") for d, t in rows], "doc_id long, text string, key string")
-    for length in (200, 120):
-        for blocks in (S.BLOCK_BYTES, 3000):
-            got = S.remove_repeats(df, length, blocks)
-            assert sorted((tuple(x) for x in got.drop("spans").collect()), key=str) == brute(rows, length), (length, blocks)
+    for length, blocks, hot in ((200, S.BLOCK_BYTES, S.HOT), (120, 3000, S.HOT), (200, 3000, 3), (120, S.BLOCK_BYTES, 1)):
+        got = S.remove_repeats(df, length, blocks, hot)
+        assert sorted((tuple(x) for x in got.drop("spans").collect()), key=str) == brute(rows, length), (length, blocks, hot)
+
+
+def test_passage_in_a_third_of_all_texts(spark):
+    """One passage (its anchors are hot, and its edges differ in every text), a periodic text and an edge shared by few."""
+    r = random.Random(9)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, edge = noise(500), noise(30)
+    rows = [(i, noise(r.randrange(50, 400)) + (edge if i % 12 == 0 else "") + passage[r.randrange(40) :] + noise(r.randrange(300))) if i % 3 == 0 else (i, noise(r.randrange(100, 700))) for i in range(240)]
+    rows += [(300 + i, noise(40 + i) + "na na. " * (100 + i)) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot in (S.HOT, 20, 4):
+        assert sorted((tuple(x) for x in S.remove_repeats(df, 200, 20_000, hot).drop("spans").collect()), key=str) == brute(rows, 200), hot
 
 
 def test_empty_table(spark):
