@@ -106,7 +106,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text"))
     back = parse_chat(format_chat(convs.unionByName(extra)))
-    said = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    masked = F.transform("loss_spans", lambda s: F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int")))
+    said = F.array_join(F.transform(masked, unescape), "")
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
