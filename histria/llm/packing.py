@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+import json
+import logging
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ CACHE_STRINGS = 1_000_000
 _MARKS = np.isin(np.arange(256), list(b".,;:!?"))
 _ALNUM = K.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
 TOKENIZER = "word_bpe_49k.json"
+#: How the tokenizer has to normalize and split texts for strings to be encoded one by one (fixed values of its file).
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+log = logging.getLogger(__name__)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -41,8 +48,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        normal, split = (made.get("normalizer") or {}).get("normalizers", []), (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if [x["type"] for x in normal] != NORMALIZERS or not split or split[0].get("pattern") != {"Regex": SPLIT} or made["model"].get("end_of_word_suffix") != WORD_END:
+            raise ValueError(f"{path}: a tokenizer that splits texts in another way")
         size = self.tokenizer.get_vocab_size()
-        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith(WORD_END) for i in range(size)])
         self.clear()
 
     def clear(self) -> None:
@@ -128,10 +139,10 @@ _CUT = "doc_id long, doc_tokens long, crcs array<long>, cls int, rank long, full
 
 def cut_documents(docs: DataFrame, path: str, capacity: int, unit: int) -> DataFrame:
     """Per document: token count, checksum of each piece (full ones of `capacity`, then the rest), class of the rest, and
-    running numbers inside its chunk (the task that wrote it) of its class and of its full pieces."""
+    running numbers inside its chunk (the partition it is in) of its class and of its full pieces."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, fulls, ranks = uuid.uuid4().int >> 66, 0, np.zeros(capacity // unit + 2, np.int64)
+        chunk, fulls, ranks = TaskContext.get().partitionId(), 0, np.zeros(capacity // unit + 2, np.int64)
         for s in K.text_slices(it, "text", keep="encoder"):
             ids, off = encoder(path).encode(s.data, s.off)
             crcs, cls, rank, full = [], [], [], []
@@ -173,21 +184,25 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), pattern
 
 
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int = 4000) -> list[tuple[np.ndarray, int]]:
-    """Patterns (items of each size) and how often each is used; together they hold exactly the demand.
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int = 4000) -> tuple[list[tuple[np.ndarray, int]], float]:
+    """Patterns (items of each size) and how often each is used, which together hold exactly the demand; and a number
+    of uses that no packing stays below.
 
     A revised simplex over patterns: the knapsack prices columns by the dual values until none improves (or max_columns
-    were added, which costs fill, never items). The optimum is rounded down; what it leaves (fewer items than
+    were added, which costs fill, never items: the bound tells how much). The optimum is rounded down; what it leaves (fewer items than
     sizes x capacity, whatever the demand) is packed first-fit decreasing.
     """
     m = len(sizes)
     if not m:
-        return []
+        return [], 0.0
+    bound = 0.0
     columns = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1 / np.diag(columns))
     x = inverse @ demand
     for _ in range(max_columns):
-        value, new = price(inverse.sum(0), sizes, capacity)
+        duals = inverse.sum(0)
+        value, new = price(duals, sizes, capacity)
+        bound = max(bound, float(duals @ demand) / max(value, 1.0))  # duals / value are feasible
         if value <= 1 + 1e-7:
             break
         d = inverse @ new
@@ -221,7 +236,7 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, max_colu
                 bins.append(np.zeros(m, np.int64))
             bins[b][k] += 1
             free[b] -= sizes[k]
-    return out + [(b, 1) for b in bins]
+    return out + [(b, 1) for b in bins], bound
 
 
 class Plan:
@@ -259,13 +274,15 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = TOKENS, unit:
     hold any share of all rows: no task gathers a class. Offsets inside a sequence sum at most `capacity` tokens.
 
     A null or empty text is the end id alone; repeated rows are packed as often as they occur; no rows give no rows;
-    extra columns are ignored.
+    extra columns are ignored. Numbers are those of the input's partitions, so the same files give the same sequences.
     """
     cut = materialize(cut_documents(docs, path or tokenizer_path(), capacity, unit), "cut")
     counts = materialize(cut.groupBy("chunk", "cls").agg(F.count("*").alias("n"), F.sum(F.expr(f"doc_tokens div {capacity}")).alias("fulls")), "counts")
     histogram = {r["cls"]: r["n"] for r in counts.where("cls > 0").groupBy("cls").agg(F.sum("n").alias("n")).collect()}  # at most capacity / unit rows
     sizes = np.array(sorted(histogram), np.int64)
-    plan = Plan(sizes, cutting_stock(sizes, np.array([histogram[c] for c in sizes.tolist()], float), capacity // unit))
+    patterns, least = cutting_stock(sizes, np.array([histogram[c] for c in sizes.tolist()], float), capacity // unit)
+    plan = Plan(sizes, patterns)
+    log.info("rests fill %d sequences, at least %.1f are needed", plan.sequences, least)
     shared = docs.sparkSession.sparkContext.broadcast(plan)
     before = Window.partitionBy("cls").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("chunk", "cls", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank0"))  # one row a task and class
@@ -292,4 +309,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """pack() of all rows: every one is kept, null and empty texts as an end id, repeated ones each."""
     return pack(docs)

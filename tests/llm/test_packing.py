@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from histria.llm import kernels as K
@@ -58,7 +59,18 @@ def test_cutting_stock_holds_the_demand_with_little_waste():
     sizes = np.arange(1, 65)
     demand = np.where(sizes < 24, r.integers(0, 400, 64), 0).astype(float)
     keep = demand > 0
-    patterns = P.cutting_stock(sizes[keep], demand[keep], 64)
+    patterns, least = P.cutting_stock(sizes[keep], demand[keep], 64)
     total = sum(p * n for p, n in patterns)
     assert (total == demand[keep]).all() and all((p * sizes[keep]).sum() <= 64 for p, _ in patterns)
+    assert (sizes * demand).sum() / 64 - 1e-6 <= least <= sum(n for _, n in patterns) <= least + keep.sum()
     assert sum(n for _, n in patterns) * 64 <= (sizes * demand).sum() * 1.02 + 64
+
+
+def test_numbers_are_stable_and_other_tokenizers_refused(spark, tmp_path):
+    spark.createDataFrame([(i, "word " * (i % 40)) for i in range(300)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    one, two = (sorted(map(tuple, P.query(spark, str(tmp_path)).collect())) for _ in range(2))
+    assert one == two and len(one) == 300
+    other = tmp_path / "other.json"
+    other.write_text(open(P.tokenizer_path()).read().replace('"Lowercase"', '"Strip", "strip_left": true, "strip_right": true'))
+    with pytest.raises(ValueError):
+        P.Encoder(str(other))
