@@ -9,4 +9,7 @@ QUERIES = {
     "op9_suffix_dedup": suffix.query, "op10_quality": quality.query,
 }
 QUERIES = {name: at_home(f) for name, f in QUERIES.items()}
-ORACLES = {"op1_ngram_jaccard": jaccard.ORACLE, "op2_chat_format": chat.ORACLE, "op5_decontaminate": decontam.ORACLE}
+ORACLES = {
+    "op1_ngram_jaccard": jaccard.ORACLE, "op2_chat_format": chat.ORACLE, "op4_shard_bytes": sharding.ORACLE, "op5_decontaminate": decontam.ORACLE,
+    "op9_suffix_dedup": suffix.ORACLE,
+}

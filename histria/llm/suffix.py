@@ -455,3 +455,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: Windows hashed by steps of 5, 5 and 8 places: 200 bytes.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT r, unnest(regexp_extract_all(x, '..')) AS v, generate_subscripts(regexp_extract_all(x, '..'), 1) AS i FROM d),
+h3 AS (SELECT r, i, v, hash(v, lead(v, 1) OVER w, lead(v, 2) OVER w, lead(v, 3) OVER w, lead(v, 4) OVER w) AS a FROM b WINDOW w AS (PARTITION BY r ORDER BY i)),
+h4 AS (SELECT r, i, v, hash(a, lead(a, 5) OVER w, lead(a, 10) OVER w, lead(a, 15) OVER w, lead(a, 20) OVER w) AS a FROM h3 WINDOW w AS (PARTITION BY r ORDER BY i)),
+h5 AS (SELECT r, i, v, hash(a, lead(a, 25) OVER w, lead(a, 50) OVER w, lead(a, 75) OVER w, lead(a, 100) OVER w, lead(a, 125) OVER w, lead(a, 150) OVER w, lead(a, 175) OVER w) AS a,
+  lead(i, 199) OVER w IS NOT NULL AS whole FROM h4 WINDOW w AS (PARTITION BY r ORDER BY i)),
+rep AS (SELECT a FROM h5 WHERE whole GROUP BY a HAVING count(*) > 1),
+m AS (SELECT r, i, v, max(CASE WHEN whole AND a IN (SELECT a FROM rep) THEN i END) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM h5),
+e AS (SELECT r, i, v, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS start FROM m),
+s AS (SELECT r, count(*) AS n_bytes, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE start) AS n_spans, string_agg(v, '' ORDER BY i) FILTER (WHERE NOT gone) AS k FROM e GROUP BY r)
+SELECT doc_id, coalesce(n_bytes, 0)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256 FROM d LEFT JOIN s USING (r)
+"""
