@@ -15,10 +15,12 @@ from .common import crc_of, table
 
 LETTERS = K.byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 BUCKETS = 1 << 16
-#: Words labelled together by one chain; a text is as many chains as it needs.
-CHAIN = 256
+#: Words of a text labelled together by one chain, and words beyond its ends that it takes in so that these do not show.
+CHAIN, MARGIN = 256, 24
 #: Labelled documents (per language) the model is fitted on, chosen by a hash of the id.
 TRAIN_DOCS = 250
+#: ... and bytes of their texts, about, per language.
+TRAIN_BYTES = 4 << 20
 LEXICON = 2000
 STEPS = 40
 MIN_SCORE = 0.5
@@ -193,7 +195,11 @@ def predict(model: Model, s: K.Slice) -> pa.RecordBatch:
         chains = -(-count // CHAIN)
         start = K.ragged(np.zeros(n, np.int64), chains) * CHAIN + np.repeat(w.off[:-1], chains)
         length = np.minimum(CHAIN, np.repeat(w.off[1:], chains) - start)
-        post, _ = model.posteriors(score[back], start, length)
+        a = np.maximum(start - MARGIN, np.repeat(w.off[:-1], chains))
+        wide = np.minimum(start + length + MARGIN, np.repeat(w.off[1:], chains)) - a
+        begin = np.cumsum(wide) - wide
+        post, _ = model.posteriors(score[back[K.ragged(a, wide)]], begin, wide)
+        post = post[K.ragged(begin + start - a, length)]
         c = np.concatenate([np.zeros((1, labels)), np.cumsum(post, axis=0)])
         sums = c[w.off[1:]] - c[w.off[:-1]]
     share = np.clip(sums / np.maximum(count, 1)[:, None], 0, 1)
@@ -206,11 +212,12 @@ def predict(model: Model, s: K.Slice) -> pa.RecordBatch:
     )
 
 
-def train(labelled: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
-    """labelled: doc_id, text, lang. At most about per_language texts of each language are collected, chosen by a hash of
-    the id: one scan counts, one collects."""
+def train(labelled: DataFrame, per_language: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """labelled: doc_id, text, lang. At most about per_language texts, or train_bytes of texts, of each language are
+    collected, chosen by a hash of the id: one scan counts, one collects."""
     mine = labelled.where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in mine.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = mine.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    counts = {r["lang"]: max(r["n"], per_language * r["bytes"] / train_bytes) for r in sizes}
     if not counts:
         return fit([])
     share = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(int(min(1.0, per_language / n) * 1e9)))])
