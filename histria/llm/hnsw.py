@@ -12,7 +12,7 @@ from .common import materialize, table
 #: Distinct vectors a graph holds on average.
 SHARD_ROWS = 12_288
 #: Queries that meet a graph in one task.
-QUERY_ROWS = 4096
+QUERY_ROWS = 16_384
 M, M0 = 16, 32
 EF_BUILD, EF_SEARCH = 64, 160
 BATCH = 512
@@ -231,7 +231,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int = S
     bounded; the shards' best k are merged. Scores are inner products of the original vectors in double precision, ties go to the
     smaller id, a query's own id is no answer. Null, zero and non-finite vectors (or with null components) take no part
     on either side, nor do ids that are null; a vector meets only those of its own dimension; repeated (id, vector)
-    rows count once; no rows give no rows.
+    rows count once; query rows of one id but different vectors are one query with the best of their answers; no rows
+    give no rows; extra columns are ignored.
     """
     index = build_index(rows, k, shard_rows)
     asked = materialize(usable(queries).distinct().withColumn("dim", F.size("embedding")), "queries")
