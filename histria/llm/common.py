@@ -27,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. The cluster names it in spark.checkpoint.dir; only an unset one (tests) gets a local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='histria-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
