@@ -201,6 +201,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BL
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of which the benchmark's passages make up a twentieth or more go. Each is judged by its own text: null and
+    empty ones stay, repeated rows fare alike, ids do not matter; no rows, or no benchmark, change nothing."""
     return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
