@@ -47,7 +47,7 @@ EDGES = ["", None, "  \n ", "one two", "ONE two", "one two three four five", "a
 
 def test_components_against_brute_force(spark):
     texts = corpus(1) + EDGES
-    rows = [(i * 3, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, "alone in the world of words here"), (0, texts[0]), (0, texts[-1])]
+    rows = [(i * 3, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, "alone in the world of words here"), (None, texts[0] + " one more"), (None, "z " + texts[5]), (0, texts[0]), (0, texts[-1])]
     df = spark.createDataFrame([(d, t, "k", 1) for d, t in rows], "doc_id long, text string, key string, n int")
     for tile, long_list in ((1200, 32), (4, 2)):
         got = sorted((tuple(r) for r in J.jaccard_components(df, tile=tile, long_list=long_list).collect()), key=str)

@@ -56,13 +56,15 @@ def test_link_lines_finds_every_component():
     assert len({*zip(root.tolist(), want)}) == len(set(root.tolist())) == len(set(want))
 
 
-def brute(rows, tau=2, least=24):
-    """rows: (doc_id, text_hash rank, text); the kept text of each."""
-    lines = {}
+def brute(rows, tau=2, least=24, short=False):
+    """rows: (doc_id, text); the kept text of each. short: of equal lines under `least`, blank ones aside, the first stays."""
+    lines, little = {}, {}
     for d, t in sorted(((d, t) for d, t in rows if t is not None), key=lambda x: (x[0] is not None, x[0] or 0)):
         for n, x in enumerate(t.split("\n")):
             if len(x) >= least:
                 lines.setdefault(x, (d, n))
+            elif x.strip():
+                little.setdefault(x, (d, n))
     names = list(lines)
     root = components(len(names), lambda i, j: abs(len(names[i]) - len(names[j])) <= tau and distance(names[i], names[j]) <= tau)
     best = {}
@@ -75,7 +77,8 @@ def brute(rows, tau=2, least=24):
         if t is None:
             out.append((d, None))
             continue
-        keep = [x for n, x in enumerate(t.split("\n")) if len(x) < least or best[of[x]] == (d is not None, d or 0, n)]
+        stays = lambda x, n: not short or not x.strip() or little[x] == (d, n)  # noqa: B023, E731
+        keep = [x for n, x in enumerate(t.split("\n")) if (stays(x, n) if len(x) < least else best[of[x]] == (d is not None, d or 0, n))]
         out.append((d, "\n".join(keep)))
     return out
 

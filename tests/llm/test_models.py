@@ -1,11 +1,14 @@
 """Language identification, quality and nearest neighbours: contracts, edges and held-out accuracy."""
 
+import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from histria.llm import hnsw, langid, quality
+from histria.llm import kernels as K
 
 from ..compare import has_data
 
@@ -36,10 +39,6 @@ def test_language_edges(spark):
 
 def test_code_switched_words_change_label():
     model = langid.fit([("der und die das ist nicht " * 20, "de"), ("the and of to in is " * 20, "en")] * 3)
-    import pyarrow as pa
-
-    from histria.llm import kernels as K
-
     b = pa.record_batch([pa.array([1]), pa.array([False]), pa.array(["the of and to in is der und die das ist nicht"])], ["doc_id", "held_out", "text"])
     (s,) = K.text_slices(iter([b]), "text")
     shares = langid.predict(model, s).column("shares")[0].as_py()
@@ -64,6 +63,58 @@ def test_forward_backward_is_exact():
         assert got[a : a + n] == pytest.approx(p / p.sum(1, keepdims=True))
 
 
+def test_long_texts_are_labelled_as_by_one_chain():
+    r = np.random.default_rng(3)
+    model = langid.fit([("der und die das ist nicht ein auf " * 20, "de"), ("the and of to in is that on " * 20, "en")] * 3)
+    words = "der und die das ist nicht ein auf the and of to in is that on xyz qq".split()
+    text = " ".join(words[i] for i in r.integers(0, len(words), 1500))
+    (s,) = K.text_slices(iter([pa.record_batch([pa.array([1]), pa.array([False]), pa.array([text])], ["doc_id", "held_out", "text"])]), "text")
+    w = K.words(s.data, s.off, langid.LETTERS)
+    score, back = model.emissions(s.data, w)
+    whole, _ = model.posteriors(score[back], np.array([0]), np.array([1500]))
+    assert langid.predict(model, s).column("shares")[0].as_py() == pytest.approx(whole.mean(0).tolist(), abs=1e-6)
+
+
+def test_features_of_words():
+    """Affixes of one to three bytes, bigrams, trigrams and the word, from their definition."""
+    (s,) = K.text_slices(iter([pa.record_batch([pa.array(["Haus am Käse x"])], ["t"])]), "t")
+    w = K.words(s.data, s.off, langid.LETTERS)
+    f, off = langid.features(s.data, w)
+    bucket = lambda tag, value: int(K.mix(np.array([value], np.uint64) * np.uint64(16) + np.uint64(tag))[0] % np.uint64(langid.BUCKETS))
+    number = lambda b: int.from_bytes(bytes(b), "big")
+    for i, word in enumerate(["haus", "am", "käse", "x"]):
+        b = word.encode()
+        want = [bucket(0, int(w.h[i]))]
+        for k in (1, 2, 3):
+            pad = b + b"\0\0"
+            want += [bucket(k, number(pad[:k])), bucket(3 + k, number(b[::-1].ljust(3, b"\0")[:k]))]
+        want += [bucket(7, number(b[j : j + 2])) for j in range(len(b) - 1)] + [bucket(8, number(b[j : j + 3])) for j in range(len(b) - 2)]
+        assert sorted(f[off[i] : off[i + 1]].tolist()) == sorted(want), word
+
+
+def test_quality_scores_one_text_at_a_time():
+    """The batched forward pass against the formula, passage by passage in plain loops."""
+    r = np.random.default_rng(2)
+    texts = ["", "One short text, of few words.", " ".join(f"w{i % 37}" for i in range(300)), "x!! 12 ÉÉ\n" * 50]
+    (s,) = K.text_slices(iter([pa.record_batch([pa.array(texts)], ["t"])]), "t")
+    x, off = quality.passages(s.data, s.off)
+    m = quality.Model(x.mean(0), x.std(0) + 0.1, 0.2)
+    m.p["c"] = r.normal(size=quality.HIDDEN)
+    sigmoid = lambda a: 1 / (1 + math.exp(-a))
+    p = m.p
+    for k in range(len(texts)):
+        hs, scores = [], []
+        for row in x[off[k] : off[k + 1]]:
+            a = [(float(v) - float(u)) / float(w) for v, u, w in zip(row, m.mean, m.std)]
+            h = [math.tanh(sum(a[i] * p["W"][i, j] for i in range(len(a))) + p["b"][j]) for j in range(quality.HIDDEN)]
+            gate = [math.tanh(sum(h[i] * p["V"][i, j] for i in range(len(h)))) * sigmoid(sum(h[i] * p["U"][i, j] for i in range(len(h)))) for j in range(quality.GATE)]
+            hs.append(h)
+            scores.append(sum(g * w for g, w in zip(gate, p["w"])))
+        weight = [math.exp(v - max(scores)) for v in scores]
+        z = [sum(w * h[j] for w, h in zip(weight, hs)) / sum(weight) for j in range(quality.HIDDEN)]
+        assert m.score(x, off)[k] == pytest.approx(sigmoid(sum(a * b for a, b in zip(z, p["c"])) + p["d"]), abs=1e-6)
+
+
 @pytest.mark.skipif(not has_data(), reason="no test tables")
 def test_quality_of_held_out_documents(spark):
     want = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
@@ -131,3 +182,9 @@ def test_fewer_candidates_than_k(spark):
     got = hnsw.search(df, df.where("vec_id % 20 = 0")).collect()
     assert [x["vec_id"] for x in sorted(got, key=lambda x: x["rank"])] == [4, 3, 2, 1]
     assert hnsw.search(df.where("false"), df.where("false")).count() == 0
+
+
+def test_query_rows_of_one_id_are_one_query(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [5.0, 0.0]), (2, [0.0, 4.0])], "vec_id long, embedding array<float>")
+    got = hnsw.search(df, df.where("vec_id = 20"), 2).collect()
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 1, 5.0), (2, 2, 4.0)]
