@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import saved
+
 
 def runs(spark: SparkSession, root: str) -> DataFrame:
     """path, config (map of texts), metrics (map of numbers), data, model, phase, seed from meta.json files below root."""
@@ -93,12 +95,11 @@ def resolve_aliases(entries: DataFrame, max_steps: int | None = None) -> DataFra
     Pointer doubling until no target changes (cycles: until the steps reach the number of entries): a join a round."""
     now = entries.select("name", F.coalesce("alias", "name").alias("target"))
     most = entries.count() if max_steps is None else max_steps
-    shared = entries.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
     steps = 1
     while steps < most:
         hop = now.select(F.col("name").alias("target"), F.col("target").alias("next"))
         both = now.join(hop, "target", "left").select("name", F.coalesce("next", "target").alias("target"), F.coalesce(F.col("next") != F.col("target"), F.lit(False)).alias("moved"))
-        both = both.checkpoint() if shared else both.localCheckpoint()
+        both = saved(both)
         now = both.drop("moved")
         if both.where("moved").isEmpty():
             break

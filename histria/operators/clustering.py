@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequences import saved
-from .vectors import l2_normalize
+from .shared import saved
+from .vectors import dot, l2_normalize
 
 
 def pca(vectors: DataFrame, dims: int) -> tuple[DataFrame, list[float]]:
@@ -100,10 +103,53 @@ def item_vectors(histories: DataFrame, items: DataFrame, dims: int, window: int,
     return items.select("item", F.col("item").cast("string").alias("w")).join(v, "w", "left").select("item", F.coalesce("v", zero).alias("v"))
 
 
+def signs(v: str, planes: list[list[float]]) -> Column:
+    """1 where the vector lies on the positive side of a plane, else 0."""
+    side = lambda p: F.when(dot(F.col(v), F.array(*[F.lit(float(x)) for x in p])) > 0, 1).otherwise(0)
+    return F.array(*[side(p) for p in planes])
+
+
+def hashed_planes(dims: int, bits: int, seed: int = 0) -> list[list[int]]:
+    """+1 and -1 from the last hex digit of sha256("seed:bit:dimension")."""
+    return [[1 - 2 * (int(hashlib.sha256(f"{seed}:{b}:{i}".encode()).hexdigest()[-1], 16) % 2) for i in range(dims)] for b in range(bits)]
+
+
+def dimensions(vectors: DataFrame) -> int:
+    return vectors.agg(F.max(F.size("v"))).first()[0] or 0
+
+
 def sign_codes(vectors: DataFrame, bits: int, seed: int = 0) -> DataFrame:
-    """item, bits: signs of `bits` hashed +-1 projections of the vector."""
-    one = lambda b: F.when(F.aggregate(F.transform("v", lambda x, i: x.cast("double") * (1 - 2 * F.pmod(F.xxhash64(i, F.lit(b), F.lit(seed)), F.lit(2)))), F.lit(0.0), lambda s, x: s + x) > 0, 1).otherwise(0)
-    return vectors.select("item", F.array(*[one(b) for b in range(bits)]).alias("bits"))
+    """item, bits: signs of `bits` hashed projections of the vector."""
+    return vectors.select("item", signs("v", hashed_planes(dimensions(vectors), bits, seed)).alias("bits"))
+
+
+def gaussian_codes(vectors: DataFrame, bits: int, seed: int = 0) -> DataFrame:
+    """item, bits: signs of projections on normally distributed directions."""
+    planes = np.random.default_rng(seed).standard_normal((bits, dimensions(vectors)))
+    return vectors.select("item", signs("v", planes.tolist()).alias("bits"))
+
+
+def pca_codes(vectors: DataFrame, bits: int) -> DataFrame:
+    """item, bits: signs of the centred principal coordinates."""
+    return pca(vectors, bits)[0].select("item", F.transform("v", lambda x: (x > 0).cast("int")).alias("bits"))
+
+
+#: Vectors a rotation is fitted on, chosen by a hash of the item.
+ROTATION_ROWS = 20_000
+
+
+def rotated_codes(vectors: DataFrame, bits: int, rounds: int = 50, seed: int = 0, rows: int = ROTATION_ROWS) -> DataFrame:
+    """item, bits: signs of principal coordinates after the rotation that brings them nearest to their signs (iterative
+    quantization: signs for a fixed rotation, then the orthogonal Procrustes rotation for fixed signs). The rotation is
+    fitted on a bounded sample and applied to all."""
+    coordinates = saved(pca(vectors, bits)[0])
+    sample = coordinates.orderBy(F.xxhash64("item"), "item").limit(rows).select("v").collect()
+    x = np.array([r[0] for r in sample], float).reshape(len(sample), bits)
+    rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))[0]
+    for _ in range(rounds):
+        u, _, v = np.linalg.svd(np.where(x @ rotation > 0, 1.0, -1.0).T @ x)
+        rotation = (u @ v).T
+    return coordinates.select("item", signs("v", rotation.T.tolist()).alias("bits"))
 
 
 def encode_text(items: DataFrame, encode, dims: int, item: str = "item", text: str = "text") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import percentiles, running
+
 
 def window_pairs(long: DataFrame, window: int, user: str = "user") -> DataFrame:
     """left < right, cnt: unordered pairs of different items at most `window` positions apart, counted from both centres.
@@ -83,28 +85,29 @@ def negative_pairs(item_counts: DataFrame, positives: DataFrame, n: int, seed: i
 
 def average_rank(rows: DataFrame, value: str, out: str = "avg_rank") -> DataFrame:
     """Average-method ranks from the table of distinct values."""
-    by = rows.groupBy(value).agg(F.count("*").alias("m_"))
-    before = F.coalesce(F.sum("m_").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(by.select(value, (before + (F.col("m_") + 1) / 2).alias(out)), value)
+    by = running(rows.groupBy(value).agg(F.count("*").alias("m_")), [value], "m_", "before_")
+    return rows.join(by.select(value, (F.col("before_") + (F.col("m_") + 1) / 2).alias(out)), value)
 
 
 def auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
     """Mann-Whitney AUC with average ranks; null if a side is empty. Only the table of distinct scores is ordered."""
-    by = rows.groupBy(score).agg(F.sum(positive.cast("long")).alias("p"), F.count("*").alias("m"))
-    before = F.coalesce(F.sum("m").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = by.select("p", "m", (before + (F.col("m") + 1) / 2).alias("r"))
+    by = running(rows.groupBy(score).agg(F.sum(positive.cast("long")).alias("p"), F.count("*").alias("m")), [score], "m")
+    r = by.select("p", "m", (F.col("before") + (F.col("m") + 1) / 2).alias("r"))
     one = r.agg(F.sum(F.col("p") * F.col("r")).alias("s"), F.sum("p").cast("double").alias("np"), F.sum(F.col("m") - F.col("p")).cast("double").alias("nn"))
     return one.select(F.try_divide(F.col("s") - F.col("np") * (F.col("np") + 1) / 2, F.col("np") * F.col("nn")).alias("auc"))
 
 
 def score_summary(rows: DataFrame, score: str, positive: Column) -> DataFrame:
-    one = rows.agg(*[f(F.when(c, F.col(score))).alias(f"{n}_{side}") for side, c in (("positive", positive), ("negative", ~positive)) for n, f in (("n", F.count), ("mean", F.avg), ("median", lambda x: F.percentile(x, 0.5)))])
+    sides = (("positive", positive), ("negative", ~positive))
+    one = rows.agg(*[f(F.when(c, F.col(score))).alias(f"{n}_{side}") for side, c in sides for n, f in (("n", F.count), ("mean", F.avg))])
+    for side, c in sides:
+        one = one.crossJoin(percentiles(rows, F.when(c, F.col(score)), [0.5]).select(F.get("p", F.lit(0)).alias(f"median_{side}")))
     return one.crossJoin(auc(rows, score, positive))  # one row each
 
 
 def positive_rate_by_quantile(rows: DataFrame, score: str, positive: Column, bins: int) -> DataFrame:
     """bucket, low, high, n, rate: quantile buckets of the score with unique edges, left-closed, the last one closed."""
-    edges = rows.agg(F.array_distinct(F.percentile(score, [i / bins for i in range(bins + 1)])).alias("e"))
+    edges = percentiles(rows, F.col(score), [i / bins for i in range(bins + 1)]).select(F.array_distinct("p").alias("e"))
     r = rows.select(F.col(score).alias("s"), positive.cast("double").alias("y")).crossJoin(F.broadcast(edges))  # one row of edges
     below = F.size(F.filter("e", lambda x: x <= F.col("s")))
     at = F.least(below, F.greatest(F.size("e") - 1, F.lit(1)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
+
 PERCENTS = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 #: History-length buckets of the formatted statistics (fixed values).
 LENGTH_BUCKETS = ((0, 0), (1, 1), (2, 2), (3, 5), (6, 10), (11, 20), (21, 50), (51, 100), (101, 200), (201, 500), (501, None))
@@ -15,7 +17,10 @@ def stage_counts(histories: DataFrame, user: str = "user") -> DataFrame:
 
 
 def describe(rows: DataFrame, value: Column, percents: tuple[float, ...] = PERCENTS) -> DataFrame:
-    """count, sum, mean, population std, min, linear-interpolated percentiles, max."""
+    """count, sum, mean, population std, min, linear-interpolated percentiles, max.
+
+    The percentiles hold one count a distinct value, so this is for lengths, frequencies and the like; order.percentiles
+    serves continuous values."""
     v = value.cast("double")
     return rows.agg(F.count(v).alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("min"), *[F.percentile(v, p).alias(f"p{round(100 * p)}") for p in percents], F.max(v).alias("max"))
 
@@ -82,9 +87,7 @@ def gini(counts: DataFrame, value: str = "cnt") -> DataFrame:
 
     Ranks are arithmetic on the table of distinct counts, which is far smaller than the items: equal values take their
     places' sum at once, so no task sorts all items."""
-    by = counts.groupBy(value).agg(F.count("*").alias("m"))
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    r = by.withColumn("before", F.coalesce(F.sum("m").over(w), F.lit(0)))
+    r = running(counts.groupBy(value).agg(F.count("*").alias("m")), [value], "m")
     places = F.col("m") * F.col("before") + F.col("m") * (F.col("m") + 1) / 2
     one = r.agg(F.sum(places * F.col(value)).alias("weighted"), F.sum("m").cast("double").alias("n"), F.sum(F.col("m") * F.col(value)).cast("double").alias("total"))
     return one.select(F.coalesce(2 * F.try_divide("weighted", F.col("n") * F.col("total")) - F.try_divide(F.col("n") + 1, F.col("n")), F.lit(0.0)).alias("gini"))
@@ -98,9 +101,8 @@ def effective_items(counts: DataFrame, value: str = "cnt") -> DataFrame:
 
 def top_share(counts: DataFrame, ratio: float, value: str = "cnt") -> DataFrame:
     """Share of the ceil(ratio n) largest counts, from the table of distinct counts."""
-    by = counts.groupBy(value).agg(F.count("*").alias("m"))
-    w = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    r = by.select(value, "m", F.coalesce(F.sum("m").over(w), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy()).alias("n"), F.sum(F.col("m") * F.col(value)).over(Window.partitionBy()).alias("total"))
+    r = running(counts.groupBy(value).agg(F.count("*").alias("m")), [value], "m", descending=True)
+    r = r.crossJoin(F.broadcast(r.agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col(value)).alias("total"))))  # one row of totals
     inside = F.greatest(F.lit(0), F.least(F.col("m"), F.ceil(F.col("n") * ratio) - F.col("before")))
     return r.agg(F.try_divide(F.sum(inside * F.col(value)).cast("double"), F.max("total").cast("double")).alias("top_share"))
 

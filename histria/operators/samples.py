@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
 
-def vocabulary(items: DataFrame, item: str = "item", *order: str) -> DataFrame:
-    """items with uid, dense from 0 in the given order (default: the id as text).
 
-    Two levels: counts by range bucket of the first characters, then ranks inside a bucket."""
-    key = F.col(order[0]) if order else F.col(item).cast("string")
-    parts = items.withColumn("k_", key)
-    parts = parts.withColumn("b_", F.substring(F.col("k_").cast("string"), 1, 2)) if not order else parts.withColumn("b_", F.lit(0))
-    counts = parts.groupBy("b_").agg(F.count("*").alias("n_"))
-    base = counts.select("b_", F.coalesce(F.sum("n_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
-    inside = Window.partitionBy("b_").orderBy("k_", *order[1:])
-    return parts.join(F.broadcast(base), "b_").withColumn("uid", F.col("base_") + F.row_number().over(inside) - 1).drop("k_", "b_", "base_")
+def vocabulary(items: DataFrame, item: str = "item", *order: str) -> DataFrame:
+    """items with uid, dense from 0 in the given order (default: the id as text)."""
+    keyed = items.withColumn("k_", F.col(order[0]) if order else F.col(item).cast("string"))
+    return running(keyed, ["k_", *order[1:]], None, "uid").drop("k_")
 
 
 def to_uids(histories: DataFrame, vocab: DataFrame, user: str = "user") -> DataFrame:
@@ -91,6 +86,17 @@ def sample_statistics(samples: DataFrame, count: str, total: str) -> DataFrame:
     return samples.agg(F.count("*").alias("samples"), F.avg(count).alias("mean_items"), F.max(count).alias("max_items"), F.avg(total).alias("mean_length"), F.max(total).alias("max_length"), F.percentile(total, 0.5).alias("median_length"))
 
 
+def roles(samples: DataFrame, user: str = "user") -> DataFrame:
+    """user, position (from 1), item, role: how a sample uses its sequence. Before its history's span items are `skip`,
+    then `hist`, the target `tgt`, what follows `tail`.
+
+    samples: user, history, target_pos (from 0), history_items."""
+    at = samples.select(user, "target_pos", "history_items", F.posexplode("history").alias("p", "item"))
+    first = F.col("target_pos") - F.col("history_items")
+    role = F.when(F.col("p") < first, "skip").when(F.col("p") < F.col("target_pos"), "hist").when(F.col("p") == F.col("target_pos"), "tgt").otherwise("tail")
+    return at.select(user, (F.col("p") + 1).alias("position"), "item", role.alias("role"))
+
+
 def by_length(samples: DataFrame, total: str = "total_input_length", user: str = "user") -> DataFrame:
     """Longest first: a sort for a sink, not for further operators."""
     return samples.orderBy(F.desc(total), user)

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
+from .shared import saved
+
 
 def fold(log: DataFrame, user: str, item: str, *order: str) -> DataFrame:
     """user, history: a user's items in the given order. The item itself is the last tie-break."""
@@ -59,8 +62,7 @@ def segment_records(histories: DataFrame, size: int, shortest: int, name: str, s
     """Pieces with ids `{name}-{split}-{index:08d}`, numbered by (user, segment)."""
     cut = chunks(histories, size, shortest, user)
     counts = cut.groupBy(user).agg(F.count("*").alias("n"))
-    before = Window.orderBy(F.col(user).cast("string")).rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(user, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))  # one row a user
+    first = running(counts.withColumn("name_", F.col(user).cast("string")), ["name_"], "n").select(user, "before")
     place = Window.partitionBy(user).orderBy("segment")
     out = cut.join(first, user).withColumn("global_sequence_index", F.col("before") + F.row_number().over(place) - 1)
     return out.select(
@@ -110,8 +112,8 @@ def item_counts(histories: DataFrame) -> DataFrame:
 def n_core_rounds(histories: DataFrame, n: int, longest: int, shortest: int, rounds: int = 3, user: str = "user") -> DataFrame:
     """Cut to length, then `rounds` times: keep items of frequency n or more in the current histories, cut again.
 
-    A round is one count (partial sums first) and one semi join; every round's result is a written checkpoint if the
-    session names a checkpoint folder, so lineage stays short."""
+    A round is one count (partial sums first) and one semi join; every round's result is a written checkpoint,
+    so lineage stays short."""
     now = length_limits(histories, longest, shortest)
     for _ in range(rounds):
         core = item_counts(now).where(F.col("cnt") >= n).select("item")
@@ -149,11 +151,6 @@ def n_core_chunked(histories: DataFrame, n: int, size: int, shortest: int, round
     return now
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the cluster's shared folder; unchanged where none is set (single-machine tests)."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df
-
-
 def public_items(splits: list[DataFrame], targets: str | None = None) -> DataFrame:
     """item: everything seen in a split's history or, if named, its extra target arrays."""
     seen = [s.select(F.explode("history").alias("item")) for s in splits]

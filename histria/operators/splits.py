@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 def randbelow(seed, upper: int, counter: int) -> int:
     """Unbiased number below `upper`: the first bytes of SHA-256 of `seed:counter:nonce`, big-endian, rejected above the largest multiple."""
-    if upper <= 1:
+    if upper <= 0:
+        raise ValueError("upper must be positive")
+    if upper == 1:
         return 0
     size = (upper.bit_length() + 7) // 8
     limit = (256**size // upper) * upper
@@ -58,8 +60,8 @@ def hash_key(key: str, seed) -> Column:
 def hash_order(rows: DataFrame, key: str, seed, buckets: int = 256) -> DataFrame:
     """rows with idx (from 0): the place in the order of (sha256("seed:key"), key), in two levels.
 
-    The hash's first byte is a range bucket; counts of the buckets (256 rows) are summed, ranks are taken inside each."""
-    h = rows.withColumn("h_", hash_key(key, seed)).withColumn("b_", F.substring("h_", 1, 2))
+    The hash's first four bytes give one of so many range buckets; their counts are summed, ranks are taken inside each."""
+    h = rows.withColumn("h_", hash_key(key, seed)).withColumn("b_", F.expr(f"cast(conv(substring(h_, 1, 8), 16, 10) as bigint) * {buckets} div {1 << 32}"))
     counts = h.groupBy("b_").agg(F.count("*").alias("n_"))
     base = counts.select("b_", F.coalesce(F.sum("n_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
     inside = Window.partitionBy("b_").orderBy("h_", F.col(key).cast("string"))

@@ -34,20 +34,46 @@ def mean_pool(nested: Column) -> Column:
     return F.when(even, F.transform(total, lambda x: x / n)).otherwise(F.transform(F.flatten(nested), lambda x: x.cast("double")))
 
 
-def exact_neighbors(anchors: DataFrame, candidates: DataFrame, k: int, digits: int | None = None, blocks: int = 16) -> DataFrame:
+#: Vectors of a side in one block.
+BLOCK_ROWS = 4096
+
+
+def exact_neighbors(anchors: DataFrame, candidates: DataFrame, k: int, digits: int | None = None, blocks: int | None = None) -> DataFrame:
     """anchor, item, score, rank: the k candidates of largest inner product, the anchor itself left out, ties to the smaller item.
 
-    anchors and candidates: item, v. Anchors in blocks meet candidates in blocks by an equi-join on the block pair; each
-    pair keeps k rows an anchor (a partial top-k) before the merge, so no task sees more than one block of each side.
+    anchors and candidates: item, v. Each side is cut into blocks of about BLOCK_ROWS (or at least `blocks` of them, 4 by
+    default) and meets the other's blocks by an equi-join on the block pair, so a task's share does not grow with the
+    tables. Spark keeps k rows an anchor in each task (a window group limit) before they are shuffled and merged.
     """
-    a = anchors.select(F.col("item").alias("anchor"), F.col("v").alias("a"), F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    c = candidates.select("item", F.col("v").alias("c"), F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int").alias("y")).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    least = blocks or 4
+    m, n = (max(least, -(-side.count() // BLOCK_ROWS)) for side in (anchors, candidates))
+    part = lambda size: F.pmod(F.xxhash64("item"), F.lit(size)).cast("int")
+    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    a = anchors.select(F.col("item").alias("anchor"), F.col("v").alias("a"), part(m).alias("x")).withColumn("y", every(n))
+    c = candidates.select("item", F.col("v").alias("c"), part(n).alias("y")).withColumn("x", every(m))
     score = dot(F.col("a"), F.col("c"))
     s = a.join(c, ["x", "y"]).where("anchor <> item").select("anchor", "item", (F.round(score, digits) if digits is not None else score).alias("score"))
     w = Window.partitionBy("anchor").orderBy(F.desc("score"), "item")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def pool_tokens(hidden: Column, mask: Column, how: str = "mean") -> Column:
+    """A text's vector from its tokens' states (array of arrays) and attention mask (array of 0 and 1): `mean` over the
+    unmasked tokens, `cls` the first token, `last` the unmasked count's token (the first if all are masked). Null where
+    there is no token, or for mean no unmasked one."""
+    if how == "cls":
+        return F.get(hidden, F.lit(0))
+    n = F.aggregate(mask, F.lit(0), lambda s, x: s + x.cast("int"))
+    if how == "last":
+        return F.get(hidden, F.greatest(n - 1, F.lit(0)))
+    if how != "mean":
+        raise ValueError(how)
+    zero = F.transform(F.get(hidden, F.lit(0)), lambda x: F.lit(0.0))
+    kept = F.zip_with(hidden, mask, lambda h, m: F.transform(h, lambda x: x.cast("double") * m))
+    total = F.aggregate(kept, zero, lambda s, h: F.zip_with(s, h, lambda x, y: x + y))
+    return F.when(n > 0, F.transform(total, lambda x: x / n))
+
+
 def neighbor_overlap(reference: DataFrame, target: DataFrame, k: int) -> DataFrame:
     """anchor, overlap: shared neighbours / k (k even where lists are shorter), for anchors of both."""
     both = reference.select("anchor").distinct().join(target.select("anchor").distinct(), "anchor")

@@ -222,6 +222,9 @@ def _codes(spark, d):
     return D.vectors(spark, d).select("item", F.array(F.col("label"), q(1), q(2)).alias("codes"))
 
 
+_M = "cm AS (SELECT *, (SELECT count(*) FROM embeddings) AS m FROM c)"
+
+
 def _bits(spark, d):
     return D.vectors(spark, d).select("item", F.transform(F.slice("embedding", 1, 24), lambda x: (x > 0).cast("int")).alias("bits"))
 
@@ -262,12 +265,12 @@ def hash_view(spark, d):
     return C.hash_view(_bits(spark, d), 24).select("item", text(F.col("value")).alias("value"))
 
 
-@plan("code_prefix_similarity", f"""WITH {_CODES} SELECT a.item AS anchor, b.item AS item, CASE WHEN a.codes[1] <> b.codes[1] THEN 0 WHEN a.codes[2] <> b.codes[2] THEN 1 WHEN a.codes[3] <> b.codes[3] THEN 2 ELSE 3 END AS prefix,
-(a.codes[1] <> b.codes[1])::INT + (a.codes[2] <> b.codes[2])::INT + (a.codes[3] <> b.codes[3])::INT AS hamming FROM c a JOIN c b ON b.item = (a.item * 7 + 3) % 500""")
+@plan("code_prefix_similarity", f"""WITH {_CODES}, {_M} SELECT a.item AS anchor, b.item AS item, CASE WHEN a.codes[1] <> b.codes[1] THEN 0 WHEN a.codes[2] <> b.codes[2] THEN 1 WHEN a.codes[3] <> b.codes[3] THEN 2 ELSE 3 END AS prefix,
+(a.codes[1] <> b.codes[1])::INT + (a.codes[2] <> b.codes[2])::INT + (a.codes[3] <> b.codes[3])::INT AS hamming FROM cm a JOIN c b ON b.item = (a.item * 7 + 3) % a.m""")
 def code_prefix_similarity(spark, d):
     c = _codes(spark, d)
     b = c.select(F.col("item").alias("other"), F.col("codes").alias("theirs"))
-    p = c.withColumn("other", (F.col("item") * 7 + 3) % 500).join(b, "other")
+    p = c.withColumn("other", (F.col("item") * 7 + 3) % D.vectors(spark, d).count()).join(b, "other")
     return p.select(F.col("item").alias("anchor"), F.col("other").alias("item"), C.common_prefix(F.col("codes"), F.col("theirs")).alias("prefix"), C.hamming(F.col("codes"), F.col("theirs")).alias("hamming"))
 
 
@@ -290,28 +293,28 @@ def _score_table(spark, d):
     return _nn(spark, d, 1 << 30).select(F.col("anchor").alias("sample"), F.col("item").alias("uid"), "score")
 
 
-@plan("target_ranks", f"WITH {_S} SELECT sample, (sample + 7) % 500 AS target, rank::INT AS rank FROM (SELECT DISTINCT sample FROM sc) LEFT JOIN rk USING (sample) WHERE uid = (sample + 7) % 500")
+@plan("target_ranks", f"WITH {_S} SELECT sample, uid AS target, rank::INT AS rank FROM rk WHERE uid = (sample + 7) % (SELECT count(*) FROM embeddings)")
 def target_ranks(spark, d):
     s = _score_table(spark, d)
-    t = s.select("sample", ((F.col("sample") + 7) % 500).alias("target")).distinct()
+    t = s.select("sample", ((F.col("sample") + 7) % D.vectors(spark, d).count()).alias("target")).distinct()
     return R.target_rank(s, t, ["score"])
 
 
-@plan("rank_metrics", f"WITH {_S} SELECT round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS hr10, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg10, round(avg(1 / rank), 6) AS mrr FROM rk WHERE uid = (sample + 7) % 500")
+@plan("rank_metrics", f"WITH {_S} SELECT round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS hr10, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg10, round(avg(1 / rank), 6) AS mrr FROM rk WHERE uid = (sample + 7) % (SELECT count(*) FROM embeddings)")
 def rank_metrics(spark, d):
     s = _score_table(spark, d)
-    t = s.select("sample", ((F.col("sample") + 7) % 500).alias("target")).distinct()
+    t = s.select("sample", ((F.col("sample") + 7) % D.vectors(spark, d).count()).alias("target")).distinct()
     hit, ndcg, mrr = Q.rank_metrics(F.col("rank"), 10)
     return R.target_rank(s, t, ["score"]).agg(F.round(F.avg(hit), 6).alias("hr10"), F.round(F.avg(ndcg), 6).alias("ndcg10"), F.round(F.avg(mrr), 6).alias("mrr"))
 
 
-@plan("multi_target_metrics", f"""WITH {_S}, t AS (SELECT DISTINCT sample, unnest([(sample + 7) % 500, (sample + 11) % 500, (sample + 7) % 500, 100000]) AS uid FROM sc), m AS (SELECT t.sample, t.uid, rank FROM t LEFT JOIN rk USING (sample, uid)),
+@plan("multi_target_metrics", f"""WITH {_S}, t AS (SELECT DISTINCT sample, unnest([(sample + 7) % m, (sample + 11) % m, (sample + 7) % m, m + 100000]) AS uid FROM sc, (SELECT count(*) AS m FROM embeddings)), m AS (SELECT t.sample, t.uid, rank FROM t LEFT JOIN rk USING (sample, uid)),
 g AS (SELECT sample, count(*) AS n, min(rank) AS best, {', '.join(f'count(*) FILTER (WHERE rank <= {k}) AS h{k}, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= {k}), 0) AS d{k}' for k in (5, 50))} FROM m GROUP BY sample)
 SELECT count(*) AS samples, {', '.join(f'round(avg((h{k} > 0)::INT), 6) AS hr{k}, round(avg(h{k} / n), 6) AS recall{k}, round(avg(d{k} / (SELECT sum(1 / log2(i + 1)) FROM range(1, 4) z(i))), 6) AS ndcg{k}' for k in (5, 50))}, round(avg(coalesce(1 / best, 0)), 6) AS mrr FROM g""")
 def multi_target_metrics(spark, d):
     s = _score_table(spark, d)
-    a = F.col("sample")
-    t = s.select("sample").distinct().select("sample", F.array((a + 7) % 500, (a + 11) % 500, (a + 7) % 500, F.lit(100000).cast("long")).alias("uids"))
+    a, m = F.col("sample"), D.vectors(spark, d).count()
+    t = s.select("sample").distinct().select("sample", F.array((a + 7) % m, (a + 11) % m, (a + 7) % m, F.lit(m + 100000).cast("long")).alias("uids"))
     out = R.multi_target_metrics(R.ranked(s), t, [5, 50])
     return rounded(out, *[c for c in out.columns if c != "samples"])
 

@@ -14,7 +14,7 @@ from histria.operators import vectors as V
 from histria.sources import driver as D
 from histria.streaming import events as E
 
-from .analytics import _CODES, _codes
+from .analytics import _CODES, _M, _codes
 from .registry import EVENTS, INTER, plan
 
 
@@ -64,7 +64,13 @@ def hash_sample(spark, d):
     return L.hash_sample(D.interactions(spark, d).select("user").distinct(), "user", 40, 7)
 
 
-@plan("exact_shuffle")
+@plan("exact_shuffle", """WITH RECURSIVE k AS (SELECT list(b ORDER BY b) AS names FROM (SELECT DISTINCT p_brand AS b FROM part)),
+u AS (SELECT len(names) - c AS upper, c FROM k, range(0, 255) t(c) WHERE c < len(names) - 1),
+d AS (SELECT c, arg_min(v % upper, nonce) AS j FROM (SELECT c, upper, nonce, ('0x' || substr(sha256('42:' || c || ':' || nonce), 1, 2))::INT AS v FROM u, range(0, 64) t(nonce)) WHERE v < 256 // upper * upper GROUP BY c),
+f AS (SELECT 0::BIGINT AS c, range(0, len(names)) AS perm FROM k UNION ALL
+  SELECT f.c + 1, list_transform(range(0, len(perm)), lambda x: CASE WHEN x = len(perm) - 1 - f.c THEN perm[j + 1] WHEN x = j THEN perm[len(perm) - f.c] ELSE perm[x + 1] END) FROM f JOIN d ON d.c = f.c),
+l AS (SELECT perm FROM f ORDER BY c DESC LIMIT 1)
+SELECT names[perm[i + 1] + 1] AS p_brand, i::BIGINT AS idx FROM k, l, range(0, 256) t(i) WHERE i < len(names)""")
 def exact_shuffle(spark, d):
     """Fisher-Yates over the brands; tests compare it with the plain loop."""
     return L.exact_shuffle(D.items(spark, d).select("p_brand").distinct(), "p_brand", 42)
@@ -153,12 +159,12 @@ def item_text_profile(spark, d):
     return D.items(spark, d).select("item", X.item_text(["p_name", "p_brand", "p_type"]).alias("text"))
 
 
-@plan("experiment_pairs", """WITH e(name, data, repr, parts) AS (SELECT 'run' || p_partkey, 'd' || p_partkey % 7, CASE p_partkey % 4 WHEN 0 THEN 'uid+emb' WHEN 1 THEN 'emb+sid' WHEN 2 THEN 'sid' ELSE 'uid' END, CASE WHEN p_partkey % 4 < 2 THEN 'emb' ELSE '' END FROM part WHERE p_partkey < 100)
+@plan("experiment_pairs", """WITH e(name, data, repr, parts) AS (SELECT 'run' || p_partkey, p_brand || p_type, CASE p_partkey % 4 WHEN 0 THEN 'uid+emb' WHEN 1 THEN 'emb+sid' WHEN 2 THEN 'sid' ELSE 'uid' END, CASE WHEN p_partkey % 4 < 2 THEN 'emb' ELSE '' END FROM part)
 SELECT u.name AS uid_name, s.name AS sid_name FROM e u JOIN e s USING (data, parts) WHERE u.repr LIKE '%uid%' AND s.repr LIKE '%sid%'""")
 def experiment_pairs(spark, d):
     k = F.col("item") % 4
-    e = D.items(spark, d).where("item < 100").select(
-        F.concat(F.lit("run"), "item").alias("name"), F.concat(F.lit("d"), F.col("item") % 7).alias("data"), F.lit("m").alias("model"), F.lit("s").alias("source"),
+    e = D.items(spark, d).select(
+        F.concat(F.lit("run"), "item").alias("name"), F.concat("p_brand", "p_type").alias("data"), F.lit("m").alias("model"), F.lit("s").alias("source"),
         F.when(k == 0, "uid+emb").when(k == 1, "emb+sid").when(k == 2, "sid").otherwise("uid").alias("repr_type"),
     )
     return K.experiment_pairs(e).select("uid_name", "sid_name")
@@ -188,24 +194,25 @@ def chat_export(spark, d):
     return export(samples, codes, "Recommend.", "History: ").select("user", "messages")
 
 
-@plan("numeric_code_targets", f"WITH {_CODES} SELECT count(*) AS pairs, round(avg((a.codes[1] = b.codes[1])::INT + (a.codes[2] = b.codes[2])::INT + (a.codes[3] = b.codes[3])::INT) / 3, 6) AS token_accuracy, round(avg((a.codes = b.codes)::INT), 6) AS sequence_accuracy FROM c a JOIN c b ON b.item = (a.item + 1) % 500")
+@plan("numeric_code_targets", f"WITH {_CODES}, {_M} SELECT count(*) AS pairs, round(avg((a.codes[1] = b.codes[1])::INT + (a.codes[2] = b.codes[2])::INT + (a.codes[3] = b.codes[3])::INT) / 3, 6) AS token_accuracy, round(avg((a.codes = b.codes)::INT), 6) AS sequence_accuracy FROM cm a JOIN c b ON b.item = (a.item + 1) % a.m")
 def numeric_code_targets(spark, d):
     from histria.operators.ranking import accuracy
 
     c = _codes(spark, d)
-    b = c.select(((F.col("item") + 499) % 500).alias("item"), F.col("codes").alias("other"))
+    n = D.vectors(spark, d).count()
+    b = c.select(((F.col("item") + n - 1) % n).alias("item"), F.col("codes").alias("other"))
     p = c.join(b, "item")
     return accuracy(p, "codes", "other").select(F.lit(p.count()).cast("long").alias("pairs"), F.round("token_accuracy", 6).alias("token_accuracy"), F.round("sequence_accuracy", 6).alias("sequence_accuracy"))
 
 
-@plan("quantization_loss", f"""WITH {_CODES}, p AS (SELECT a.item, b.item AS other, list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS s, CASE WHEN a.codes[1] <> b.codes[1] THEN 0 WHEN a.codes[2] <> b.codes[2] THEN 1 WHEN a.codes[3] <> b.codes[3] THEN 2 ELSE 3 END / 3 AS q
-FROM c a JOIN c b ON b.item = (a.item * 7 + 3) % 500 JOIN embeddings x ON x.vec_id = a.item JOIN embeddings y ON y.vec_id = b.item) SELECT item, round(s - q, 6) AS loss FROM p""")
+@plan("quantization_loss", f"""WITH {_CODES}, {_M}, p AS (SELECT a.item, b.item AS other, list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS s, CASE WHEN a.codes[1] <> b.codes[1] THEN 0 WHEN a.codes[2] <> b.codes[2] THEN 1 WHEN a.codes[3] <> b.codes[3] THEN 2 ELSE 3 END / 3 AS q
+FROM cm a JOIN c b ON b.item = (a.item * 7 + 3) % a.m JOIN embeddings x ON x.vec_id = a.item JOIN embeddings y ON y.vec_id = b.item) SELECT item, round(s - q, 6) AS loss FROM p""")
 def quantization_loss(spark, d):
     """Content similarity minus code similarity of fixed pairs."""
     v = D.vectors(spark, d).select("item", F.col("embedding").alias("v"))
     c = _codes(spark, d).join(v, "item")
     o = c.select(F.col("item").alias("other"), F.col("codes").alias("oc"), F.col("v").alias("ov"))
-    p = c.withColumn("other", (F.col("item") * 7 + 3) % 500).join(o, "other")
+    p = c.withColumn("other", (F.col("item") * 7 + 3) % D.vectors(spark, d).count()).join(o, "other")
     return p.select("item", F.round(V.dot(F.col("v"), F.col("ov")) - C.common_prefix(F.col("codes"), F.col("oc")) / 3, 6).alias("loss"))
 
 

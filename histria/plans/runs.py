@@ -40,12 +40,14 @@ def run_reconciliation(spark, d):
     return K.reconcile(r.where("data <> 'data0'"), r.where("model <> 'Model1'"), "path")
 
 
-@plan("alias_targets", """WITH RECURSIVE e AS (SELECT p_partkey AS name, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_partkey - 1 END AS alias FROM part WHERE p_partkey < 120),
+@plan("alias_targets", """WITH RECURSIVE e AS (SELECT p_partkey AS name, CASE WHEN p_partkey % 97 = 0 THEN NULL WHEN p_partkey % 97 = 50 AND p_partkey % 2 = 0 THEN p_partkey + 3 ELSE p_partkey - 1 END AS alias FROM part),
 w AS (SELECT name, name AS pl FROM e UNION SELECT w.name, e.alias FROM w JOIN e ON e.name = w.pl WHERE e.alias IS NOT NULL)
 SELECT name, max(CASE WHEN e.alias IS NULL THEN pl END) AS target FROM (SELECT w.name, w.pl, e.alias FROM w JOIN e ON e.name = w.pl) e GROUP BY name""")
 def alias_targets(spark, d):
+    """Chains of up to 96 entries; every other one runs into a cycle, the first one to a missing entry."""
     k = F.col("item")
-    return K.resolve_aliases(D.items(spark, d).where("item < 120").select(k.alias("name"), F.when(k % 4 != 0, k - 1).alias("alias")))
+    alias = F.when(k % 97 != 0, F.when((k % 97 == 50) & (k % 2 == 0), k + 3).otherwise(k - 1))
+    return K.resolve_aliases(D.items(spark, d).select(k.alias("name"), alias.alias("alias")))
 
 
 _LOG = "lg AS (SELECT o_custkey AS run, o_orderkey AS epoch, o_totalprice AS loss, o_orderkey % 13 + 1 AS batch FROM orders)"
@@ -81,15 +83,16 @@ def leaf_labels(spark, d):
     return v.select(F.col("label").alias("node"), "item", (F.row_number().over(w) - 1).alias("leaf"))
 
 
-_TREE = "tr AS (SELECT 0::BIGINT AS parent, k AS label, k + 1 AS node FROM range(0, 4) t(k)), lv AS (SELECT vec_id % 4 + 1 AS node, vec_id // 4 AS label, vec_id AS uid FROM embeddings WHERE vec_id < 80), lp AS (SELECT s AS sample, n AS node, l AS label, -((s * 7 + n * 5 + l * 3) % 23 + l / 64) AS logp FROM range(0, 5) a(s), range(0, 5) b(n), range(0, 20) c(l))"
+_TREE = "tr AS (SELECT 0::BIGINT AS parent, k AS label, k + 1 AS node FROM range(0, 4) t(k)), lv AS (SELECT vec_id % 4 + 1 AS node, vec_id // 4 AS label, vec_id AS uid FROM embeddings), lp AS (SELECT s AS sample, n AS node, l AS label, -((s * 7 + n * 5 + l * 3) % 23 + l / 64) AS logp FROM range(0, 5) a(s), range(0, 5) b(n), (SELECT DISTINCT vec_id // 4 AS l FROM embeddings))"
 
 
 @plan("tree_search", f"""WITH {_TREE}, t AS (SELECT sample, tr.node, logp AS sc, row_number() OVER (PARTITION BY sample ORDER BY logp DESC, tr.node) AS r FROM tr JOIN lp ON lp.node = tr.parent AND lp.label = tr.label)
 SELECT t.sample, uid, round(max(sc + logp), 6) AS score FROM t JOIN lv USING (node) JOIN lp ON lp.sample = t.sample AND lp.node = lv.node AND lp.label = lv.label WHERE r <= 2 GROUP BY ALL""")
 def tree_search(spark, d):
     children = spark.range(4).select(F.lit(0).cast("long").alias("parent"), F.col("id").alias("label"), (F.col("id") + 1).alias("node"))
-    leaves = D.vectors(spark, d).where("item < 80").select((F.col("item") % 4 + 1).alias("node"), F.expr("item div 4").alias("label"), F.col("item").alias("uid"))
-    at = spark.range(5 * 5 * 20).select(F.expr("id div 100").alias("sample"), F.expr("(id div 20) % 5").alias("node"), (F.col("id") % 20).alias("label"))
+    leaves = D.vectors(spark, d).select((F.col("item") % 4 + 1).alias("node"), F.expr("item div 4").alias("label"), F.col("item").alias("uid"))
+    five = F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda x: x.cast("long")))
+    at = leaves.select("label").distinct().withColumn("sample", five).withColumn("node", five)
     logp = at.withColumn("logp", -((F.col("sample") * 7 + F.col("node") * 5 + F.col("label") * 3) % 23 + F.col("label") / 64))
     return R.tree_search(children, leaves, logp, 1, [2]).withColumn("score", F.round("score", 6))
 
@@ -116,9 +119,10 @@ def core_items(spark, d):
     return common_keys([v.where("item % 2 = 0"), v.where("item % 3 = 0"), D.items(spark, d)], "item")
 
 
-@plan("sign_codes")
+@plan("sign_codes", """WITH s AS (SELECT b, list(1 - 2 * (('0x' || right(sha256('0:' || b || ':' || i), 1))::INT % 2) ORDER BY i) AS p FROM range(0, 16) x(b), range(0, 64) y(i) GROUP BY b)
+SELECT vec_id AS item, string_agg(CASE WHEN list_inner_product(embedding::DOUBLE[], p::DOUBLE[]) > 0 THEN '1' ELSE '0' END, '' ORDER BY b) AS bits FROM embeddings, s GROUP BY vec_id""")
 def sign_codes(spark, d):
-    """Hashed projections' signs; equal vectors have equal codes (tests)."""
+    """Signs of 16 hashed projections of 64-dimensional vectors."""
     return T.sign_codes(D.vectors(spark, d).select("item", F.col("embedding").alias("v")), 16).select("item", F.array_join(F.transform("bits", lambda b: b.cast("string")), "").alias("bits"))
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import threading
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,21 +38,24 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         s.close()
 
 
-def stage(spark: SparkSession, folder: str, manifest: dict, build) -> dict[str, DataFrame]:
+def stage(spark: SparkSession, folder: str, manifest: dict, build, wait_seconds: float = 0.0) -> dict[str, DataFrame]:
     """Tables of a stage: read if the folder's manifest says they were built from the same settings, else build() and write.
 
-    The manifest is written last, so a stage that broke off is built again."""
-    found = read_text(spark, f"{folder}/manifest.json")
-    kept = json.loads(found) if found else {}
-    if {k: kept.get(k) for k in manifest} != json.loads(json.dumps(manifest)):
-        tables = build()
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
-        write_text(spark, f"{folder}/manifest.json", json.dumps({**manifest, "tables": sorted(tables)}, sort_keys=True))
-        names = sorted(tables)
-    else:
-        names = kept["tables"]
-    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+    The manifest is written last, so a stage that broke off is built again; one process builds at a time."""
+    current = lambda: json.loads(read_text(spark, f"{folder}/manifest.json") or "{}")
+    fits = lambda kept: {k: kept.get(k) for k in manifest} == json.loads(json.dumps(manifest))
+    if not fits(current()):
+        with only_writer(spark, folder, wait_seconds=wait_seconds):
+            if not fits(current()):
+                _build_stage(spark, folder, manifest, build)
+    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in current()["tables"]}
+
+
+def _build_stage(spark: SparkSession, folder: str, manifest: dict, build) -> None:
+    tables = build()
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    write_text(spark, f"{folder}/manifest.json", json.dumps({**manifest, "tables": sorted(tables)}, sort_keys=True))
 
 
 def report(df: DataFrame, path: str) -> None:
@@ -90,17 +97,65 @@ def statistics(summary: DataFrame, path: str) -> None:
 
 
 def extend_cache(spark: SparkSession, folder: str, wanted: DataFrame, build, key: str = "item") -> DataFrame:
-    """Rows for the wanted keys from a growing cache. Keys asked for before are covered even if they had no valid row."""
-    covered_path, rows_path = f"{folder}/covered.parquet", f"{folder}/rows.parquet"
-    from .readers import readable
+    """Rows for the wanted keys from a growing cache. Keys asked for before are covered even if they had no valid row.
 
-    has = readable(spark, covered_path)
+    A batch's rows and covered keys are in a folder of their own and count once the list of batches, renamed into place
+    last, names it: a writer that breaks off leaves nothing that is read."""
+    listed = f"{folder}/batches.json"
+    batches = json.loads(read_text(spark, listed) or "[]")
     keys = wanted.select(key).distinct()
-    new = keys.join(spark.read.parquet(covered_path), key, "left_anti") if has else keys
-    if not new.isEmpty():
-        build(new).write.mode("append").parquet(rows_path)
-        new.write.mode("append").parquet(covered_path)
-    return spark.read.parquet(rows_path).join(keys, key, "left_semi")
+    new = keys.join(spark.read.parquet(*[f"{folder}/{b}/covered" for b in batches]), key, "left_anti") if batches else keys
+    if not new.isEmpty() or not batches:
+        batch = f"batch-{uuid.uuid4().hex}"
+        new.write.parquet(f"{folder}/{batch}/covered")
+        build(spark.read.parquet(f"{folder}/{batch}/covered")).write.parquet(f"{folder}/{batch}/rows")
+        batches.append(batch)
+        write_text(spark, listed, json.dumps(batches))
+    return spark.read.parquet(*[f"{folder}/{b}/rows" for b in batches]).join(keys, key, "left_semi")
+
+
+@contextlib.contextmanager
+def only_writer(spark: SparkSession, folder: str, stale_seconds: float = 600.0, wait_seconds: float = 0.0, beat_seconds: float = 30.0):
+    """Holds `folder`/writer.lock, which only one process can create, and touches it while the block runs. A lock that
+    was not touched for stale_seconds is taken over; one that is held raises after wait_seconds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/writer.lock")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    until, done = time.monotonic() + wait_seconds, threading.Event()
+    while True:
+        try:
+            fs.create(path, False).close()
+            break
+        except Exception as e:  # the file systems' exceptions share no type
+            if not fs.exists(path):
+                raise
+            if time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > stale_seconds:
+                fs.delete(path, False)
+            elif time.monotonic() >= until:
+                raise TimeoutError(f"{folder} has another writer") from e
+            else:
+                time.sleep(min(1.0, max(0.05, wait_seconds / 10)))
+
+    def beat() -> None:
+        while not done.wait(beat_seconds):
+            fs.setTimes(path, int(time.time() * 1000), -1)
+
+    thread = threading.Thread(target=beat, daemon=True)
+    thread.start()
+    try:
+        yield
+    finally:
+        done.set()
+        thread.join()
+        fs.delete(path, False)
+
+
+def stage_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """stage, data, files, bytes of root/<stage>/<data>/...: from the files' listing, without reading them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    base = root.rstrip("/").split("://")[-1].lstrip("/")
+    parts = F.split(F.regexp_replace("path", rf"^.*?\Q{base}\E/", ""), "/")
+    named = files.select(F.get(parts, F.lit(0)).alias("stage"), F.get(parts, F.lit(1)).alias("data"), F.size(parts).alias("depth"), "length").where("depth > 2")
+    return named.groupBy("stage", "data").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
 def chat_export(samples: DataFrame, codes: DataFrame, system: str, prompt: str, user: str = "user") -> DataFrame:
@@ -113,5 +168,7 @@ def chat_export(samples: DataFrame, codes: DataFrame, system: str, prompt: str,
     long = samples.select(user, "target", F.posexplode("history").alias("pos", "item")).join(texts, "item", "left")
     checked = F.coalesce("t", F.raise_error(F.concat(F.lit("no codes for "), F.col("item").cast("string"))).cast("string"))
     h = long.groupBy(user, "target").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", checked.alias("t")))), lambda x: x["t"]), "").alias("h"))
-    out = h.join(texts.select(F.col("item").alias("target"), F.col("t").alias("answer")), "target")
+    known = h.join(texts.select(F.col("item").alias("target"), F.col("t").alias("answer")), "target", "left")
+    missing = F.raise_error(F.concat(F.lit("no codes for "), F.col("target").cast("string"))).cast("string")
+    out = known.withColumn("answer", F.coalesce("answer", missing))
     return out.select(user, messages(F.lit(system), F.concat(F.lit(prompt), F.col("h")), F.col("answer")).alias("messages"), F.to_json(F.struct(F.col(user), F.col("target"))).alias("metadata"))

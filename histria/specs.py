@@ -152,3 +152,36 @@ def batch_size(effective: int, limit: int, known: int | None = None) -> int:
     """The largest divisor of the effective size within the limit (and a known fitting size)."""
     top = min(limit, effective, known or effective)
     return next(b for b in range(max(1, top), 0, -1) if effective % b == 0)
+
+
+#: Kinds of which an encoder reads one representation at most.
+SINGLE_KINDS = ("uid", "hash", "text")
+
+
+def representation_graph(kinds: dict[str, str], encoder: list[str], targets: list[str]) -> dict:
+    """The checked graph of named representations: what the encoder reads, what the decoder predicts, and the kinds of
+    those in use (others are left out).
+
+    Targets are not empty, differ from each other and lead the encoder's list in their own order. Several targets are
+    code sequences (`sid`), of which the last may be a `uid`."""
+    low = lambda names: [str(n).strip().lower() for n in names]
+    known, encoder, targets = {n.strip().lower(): k for n, k in kinds.items()}, low(encoder), low(targets)
+    if not known:
+        raise ValueError("no representations")
+    if not targets or not all(targets):
+        raise ValueError("a decoder needs named targets")
+    for what, names in (("encoder", encoder), ("targets", targets)):
+        if len(set(names)) < len(names):
+            raise ValueError(f"repeated names in {what}: {names}")
+    used = {*encoder, *targets}
+    if used - known.keys():
+        raise ValueError(f"unknown representations: {sorted(used - known.keys())}")
+    if encoder[: len(targets)] != targets:
+        raise ValueError("targets must lead the encoder's representations in their order")
+    of = [known[n] for n in targets]
+    if len(of) > 1 and any(k != "sid" for k in of[:-1]) or len(of) > 1 and of[-1] not in ("sid", "uid"):
+        raise ValueError("several targets are code sequences, the last one possibly a uid")
+    for kind in SINGLE_KINDS:
+        if sum(known[n] == kind for n in encoder) > 1:
+            raise ValueError(f"more than one {kind} representation")
+    return {"representations": {n: known[n] for n in sorted(used)}, "encoder": encoder, "targets": targets}

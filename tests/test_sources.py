@@ -81,6 +81,49 @@ def test_cache_covers_keys_without_rows(spark, tmp_path):
     assert asked == [[1, 2], [3]]
 
 
+def test_cache_ignores_a_broken_writer(spark, tmp_path):
+    want = spark.createDataFrame([(1,), (2,)], "item long")
+
+    def broken(keys):
+        raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        sinks.extend_cache(spark, str(tmp_path / "c"), want, broken)
+    rows = lambda keys: keys.withColumn("v", F.lit(1.0))
+    assert sinks.extend_cache(spark, str(tmp_path / "c"), want, rows).count() == 2
+    assert sinks.extend_cache(spark, str(tmp_path / "c"), want, broken).count() == 2
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    folder = str(tmp_path / "w")
+    with sinks.only_writer(spark, folder), pytest.raises(TimeoutError), sinks.only_writer(spark, folder):
+        pass
+    with sinks.only_writer(spark, folder):
+        pass
+    (tmp_path / "w" / "writer.lock").write_text("")
+    with sinks.only_writer(spark, folder, stale_seconds=-1):
+        pass
+    assert not (tmp_path / "w" / "writer.lock").exists()
+
+
+def test_sizes_of_stages(spark, tmp_path):
+    for stage, data, n in (("raw", "a", 3), ("raw", "b", 5), ("done", "a", 7)):
+        p = tmp_path / "root" / stage / data / "deep"
+        p.mkdir(parents=True)
+        (p / "x").write_bytes(b"z" * n)
+        (p.parent / "y").write_bytes(b"z")
+    got = {(r["stage"], r["data"]): (r["files"], r["bytes"]) for r in sinks.stage_sizes(spark, str(tmp_path / "root")).collect()}
+    assert got == {("raw", "a"): (2, 4), ("raw", "b"): (2, 6), ("done", "a"): (2, 8)}
+
+
+def test_chat_export_needs_codes_of_targets(spark):
+    samples = spark.createDataFrame([(1, [1, 2], 3)], "user long, history array<long>, target long")
+    codes = spark.createDataFrame([(i, [i, 0]) for i in (1, 2, 3)], "item long, codes array<int>")
+    assert sinks.chat_export(samples, codes, "s", "p").count() == 1
+    with pytest.raises(Exception, match="no codes for 3"):
+        sinks.chat_export(samples, codes.where("item < 3"), "s", "p").collect()
+
+
 def test_reports_and_statistics(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5)], "name string, x double")
     for kind in ("parquet", "csv", "json"):
