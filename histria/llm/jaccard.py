@@ -34,7 +34,7 @@ FREQUENT = 1 << 16
 HOT_BLOCK = 1 << 20
 FREQUENT_LOCAL = 6
 FLUSH = 2_000_000
-BUCKET_POSTINGS = 1_000_000
+BUCKET_POSTINGS = 256_000
 LIST = 32
 TILE = 1200
 _POSTING = np.dtype([("s", "<u4"), ("k", "<i8"), ("b", "u1")])
