@@ -78,47 +78,46 @@ class Model:
         return score, back
 
     def posteriors(self, scores: np.ndarray, start: np.ndarray, length: np.ndarray, want_pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Forward-backward over chains of words (start, length: longest first is fastest), all chains in step."""
+        """Forward-backward over chains of words (start, length), all chains in step. With the longest chain first, the
+        words of a step lie side by side."""
         order = np.argsort(-length, kind="stable")
         start, length = start[order], length[order]
-        e = np.exp(scores - scores.max(1, keepdims=True, initial=-1e30)).astype(np.float64) + 1e-30
-        t = np.exp(self.transitions - self.transitions.max())
         top = int(length[0]) if len(length) else 0
         alive = np.searchsorted(-length, -np.arange(1, top + 1), "right")
-        alpha, pairs = np.zeros_like(e), np.zeros_like(t)
+        off = np.r_[0, np.cumsum(alive)].astype(np.int64)
+        at = start[K.ragged(np.zeros(top, np.int64), alive)] + np.repeat(np.arange(top), alive)
+        s = scores[at]
+        most = s[:, 0].copy()
+        for k in range(1, s.shape[1]):
+            np.maximum(most, s[:, k], out=most)
+        e = np.exp(s - most[:, None]).astype(np.float64) + 1e-30
+        t = np.exp(self.transitions - self.transitions.max())
+        one = np.ones((e.shape[1], 1))
+        alpha, pairs = np.empty_like(e), np.zeros_like(t)
         a = None
         for k in range(top):
-            at = start[: alive[k]] + k
-            a = e[at] if a is None else (a[: alive[k]] @ t) * e[at]
-            a /= a.sum(1, keepdims=True)
-            alpha[at] = a
-        out, b = alpha, np.ones((alive[-1] if top else 0, e.shape[1]))
+            now = e[off[k] : off[k + 1]]
+            a = now if a is None else (a[: alive[k]] @ t) * now
+            a = a / (a @ one)
+            alpha[off[k] : off[k + 1]] = a
+        b = np.ones((alive[-1] if top else 0, e.shape[1]))
         for k in range(top - 1, 0, -1):
-            at = start[: alive[k]] + k
-            if alive[k] > len(b):
-                b = np.concatenate([b, np.ones((alive[k] - len(b), e.shape[1]))])
-            eb = e[at] * b
-            before = alpha[at - 1]
+            n = alive[k]
+            if n > len(b):
+                b = np.concatenate([b, np.ones((n - len(b), e.shape[1]))])
+            eb = e[off[k] : off[k + 1]] * b
+            before = alpha[off[k - 1] : off[k - 1] + n]
             if want_pairs:
-                joint = before.T @ (eb / ((before @ t) * eb).sum(1, keepdims=True))
-                pairs += joint * t
+                pairs += (before.T @ (eb / (((before @ t) * eb) @ one))) * t
             b = eb @ t.T
-            b /= b.sum(1, keepdims=True)
-            p = before * b
+            b /= b @ one
             # alpha is needed below only at earlier places, so the posterior takes its room
-            out[at - 1] = p / p.sum(1, keepdims=True) if not want_pairs else before
-            if want_pairs:
-                self._post.append((at - 1, p / p.sum(1, keepdims=True)))
+            before *= b
+            before /= before @ one
+        out = np.zeros((len(scores), e.shape[1]))
+        out[at] = alpha
         return out, pairs
 
-    def _fit_posteriors(self, scores, start, length):
-        self._post = []
-        alpha, pairs = self.posteriors(scores, start, length, True)
-        for at, p in self._post:
-            alpha[at] = p
-        del self._post
-        return alpha, pairs
-
 
 def fit(texts: list[tuple[str, str]], steps: int = STEPS, lexicon: int = LEXICON) -> Model:
     """Maximum likelihood with all words of a text labelled by its language; chains join pieces of different texts, so
@@ -169,7 +168,7 @@ def fit(texts: list[tuple[str, str]], steps: int = STEPS, lexicon: int = LEXICON
             break
         scores = np.add.reduceat(model.theta[f], foff[:-1], axis=0)
         scores[lex] += model.lexicon_weight[in_lexicon[lex]]
-        post, pairs = model._fit_posteriors(scores[back].astype(np.float64), chain0, chain_n)
+        post, pairs = model.posteriors(scores[back].astype(np.float64), chain0, chain_n, True)
         expected = np.stack([np.bincount(back, post[:, k], len(values)) for k in range(len(labels))], 1)
         g_word = (counts - expected) / total
         g_theta = np.stack([np.bincount(f, g_word[rows, k], BUCKETS) for k in range(len(labels))], 1)
