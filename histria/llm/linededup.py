@@ -311,17 +311,24 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, lon
     dealt = rows.where("bucket is not null").select("bucket", "blob")
     classes = materialize(seen.groupBy("key", "key2").agg(F.first("chars").alias("chars"), F.min(F.struct("doc_id", "text_hash", "line")).alias("first"), F.count("*").alias("cnt")), "classes")
     near = near_lines(plain, dealt, classes, tau, long_list, tile)
-    named = classes.join(near.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    named = materialize(named, "named")
-    groups = near.select("component").distinct().join(named, "component").groupBy("component").agg(F.min("first").alias("best"))
-    named = named.join(groups, "component", "left").select("key", "key2", F.coalesce("best", "first").alias("best"), "cnt", F.col("best").isNotNull().alias("near"))
+    named = classes.join(near.withColumnRenamed("node", "key"), "key", "left").withColumn("near", F.col("component").isNotNull())
+    named = materialize(named.withColumn("component", F.coalesce("component", "key")), "named")
+    # A hot component is combined in the tasks before its least occurrence is shuffled.
+    groups = named.where("near").groupBy("component").agg(F.min("first").alias("best"))
+    named = named.join(groups, "component", "left").select("key", "key2", F.coalesce("best", "first").alias("best"), "cnt", "near")
     several = materialize(named.where("cnt > 1 or near").select("key", "key2", "best"), "several")
     gone = seen.join(several, ["key", "key2"]).where(~F.struct("doc_id", "text_hash", "line").eqNullSafe(F.col("best")))
     gone = materialize(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone")), "gone")
     gone = small(gone, 40, ("gone",))
-    both = t.join(gone, t["doc_id"].eqNullSafe(gone["doc_id"]) & t["text_hash"].eqNullSafe(gone["text_hash"]), "left").select("row", "text", "gone")
-    lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n"))
+    both = t.drop("text").join(gone, t["doc_id"].eqNullSafe(gone["doc_id"]) & t["text_hash"].eqNullSafe(gone["text_hash"]), "left").select("row", "gone")
+    lines = F.split("row.text", "\n", -1)
+
+    def without(x):
+        places = F.array_except(F.sequence(F.lit(0), F.size(x["lines"]) - 1), x["gone"])
+        return F.array_join(F.transform(places, lambda i: F.get(x["lines"], i)), "\n")
+
+    # The array of one struct splits the text once; the rest is linear in the lines, however many of them go.
+    kept = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.transform(F.array(F.struct(lines.alias("lines"), "gone")), without)[0])
     return both.select("row", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
 
 

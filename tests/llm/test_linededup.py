@@ -116,3 +116,11 @@ def test_exact_copies_of_short_lines_go_from_query_and_stage(spark, tmp_path):
     assert got == {i: (0 if t is None else t.count("\n") - w.count("\n"), len(w or "")) for i, (t, w) in enumerate(zip(texts, want))}
     # Document 3 has nothing but white space left.
     assert {r["doc_id"]: r["text"] for r in L.stage(spark, docs, "").collect()} == {i: w for i, w in enumerate(want) if i != 3}
+
+
+def test_a_document_of_very_many_repeated_lines(spark):
+    line = "a line of more than twenty-four characters"
+    texts = ["\n".join([line, "Menu"] * 150_000 + ["the end of this very long document, said once"]), f"{line}\nMenu\nown"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept"]) for r in L.dedup_lines(df, short=True).select("row.doc_id", "n_lines", "n_removed", "kept").collect()}
+    assert got == {0: (300_001, 299_998, f"{line}\nMenu\nthe end of this very long document, said once"), 1: (3, 2, "own")}
