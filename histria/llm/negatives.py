@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import materialize, parts, small, table
 
 CELLS = 256
-#: Rows the cells' limits are placed by. They decide how tight bounds are, never the result.
-LIMIT_ROWS = 16_384
+#: Components (of rows chosen by a hash) the cells' limits are placed by. They decide how tight bounds are, never the result.
+LIMIT_VALUES = 1 << 20
 #: Largest number of rows, and of anchors, that meet in a task; and rows multiplied at once.
 ROWS_A_TASK, ANCHORS_A_TASK, STEP = 1 << 20, 1024, 4096
 POSITIVES, NEGATIVES = 5, 3
@@ -48,10 +48,10 @@ def matrix(x: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
-def limits(rows: DataFrame, dims: int, sample: int = LIMIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
+def limits(rows: DataFrame, dims: int, values: int = LIMIT_VALUES) -> tuple[np.ndarray, np.ndarray]:
     """(low, high): least and largest value of each cell of each dimension, cells about equally full.
 
-    What lies between comes from at most `sample` rows chosen by a hash; the outer ends are those of all rows.
+    What lies between comes from rows chosen by a hash, of about `values` components in all; the outer ends are those of all rows.
     """
     ends = rows.select(F.posexplode("x").alias("d", "c")).groupBy("d").agg(F.min("c").alias("a"), F.max("c").alias("z"))  # one row a dimension
     least, most = np.zeros(dims, np.int64), np.zeros(dims, np.int64)
@@ -59,7 +59,7 @@ def limits(rows: DataFrame, dims: int, sample: int = LIMIT_ROWS) -> tuple[np.nda
         least[d], most[d] = a, z
     short = rows.agg(F.min(F.size("x"))).first()[0] or 0
     least[short:], most[short:] = np.minimum(least[short:], 0), np.maximum(most[short:], 0)  # what is filled up
-    some = rows.orderBy(F.xxhash64("rid"), "rid").limit(sample).select("x").toArrow()
+    some = rows.orderBy(F.xxhash64("rid"), "rid").limit(max(CELLS, values // dims)).select("x").toArrow()
     got = np.sort(matrix(some.column("x"), dims), axis=0)
     low = np.empty((dims, CELLS), np.int64)
     low[:, 0] = least
