@@ -6,6 +6,8 @@ need one shuffle by user at most; membership tests are semi joins, which Spark b
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +79,12 @@ def synthetic_id(name: str, split: str, index: Column) -> Column:
 
 def latest_valid(histories: DataFrame, items: DataFrame, k: int, shortest: int, user: str = "user") -> DataFrame:
     """The latest k elements among those in items: filtered before the cut, so that older ones fill the places."""
-    valid = unfold(histories, user).join(items.select("item").distinct(), "item", "left_semi")
+    return latest_of_long(unfold(histories, user), items, k, shortest, user)
+
+
+def latest_of_long(long: DataFrame, items: DataFrame, k: int, shortest: int, user: str = "user") -> DataFrame:
+    """latest_valid() from (user, pos, item)."""
+    valid = long.join(items.select("item").distinct(), "item", "left_semi")
     recent = Window.partitionBy(user).orderBy(F.desc("pos"))
     kept = valid.withColumn("rn", F.row_number().over(recent)).where(F.col("rn") <= k)
     return refold(kept, user).where(F.size("history") >= shortest)
@@ -121,21 +128,35 @@ def n_core_rounds(histories: DataFrame, n: int, longest: int, shortest: int, rou
     return now
 
 
-def n_core_fixpoint(histories: DataFrame, n: int, longest: int, shortest: int, max_rounds: int | None = None, user: str = "user") -> DataFrame:
+class Core(NamedTuple):
+    histories: DataFrame
+    items: DataFrame  # the allowed set the histories were built with
+    rounds: int
+
+
+def n_core_fixpoint(histories: DataFrame, n: int, longest: int, shortest: int, max_rounds: int | None = None, user: str = "user", allowed: DataFrame | None = None) -> Core:
     """Rebuild the latest valid histories from the raw ones with the current item set until that set stays the same.
 
-    The set of a round is the items with frequency n or more in the rebuilt histories. Rounds may grow or shrink it;
-    max_rounds ends the loop with one more rebuild."""
-    allowed = saved(histories.select(F.explode("history").alias("item")).distinct())
-    done = 0
+    The first set is allowed(item), or all items. The set of a round is the items with frequency n or more in the rebuilt
+    histories. Rounds may grow or shrink it; max_rounds ends the loop with one more rebuild. The raw (user, pos, item) rows
+    are written once; after the first round only users that have an item which came or went are rebuilt.
+    """
+    long = saved(unfold(histories, user))
+    items = saved((long if allowed is None else allowed).select("item").distinct())
+    now = saved(latest_of_long(long, items, longest, shortest, user))
+    rounds = 0
     while True:
-        now = saved(latest_valid(histories, allowed, longest, shortest, user))
-        if max_rounds is not None and done >= max_rounds:
-            return now
+        rounds += 1
         new = saved(item_counts(now).where(F.col("cnt") >= n).select("item"))
-        if new.join(allowed, "item", "left_anti").isEmpty() and allowed.join(new, "item", "left_anti").isEmpty():
-            return now
-        allowed, done = new, done + 1
+        changed = saved(new.join(items, "item", "left_anti").unionByName(items.join(new, "item", "left_anti")))
+        if changed.isEmpty():
+            return Core(now, items, rounds)
+        items = new
+        touched = saved(long.join(changed, "item", "left_semi").select(user).distinct())
+        rebuilt = latest_of_long(long.join(touched, user, "left_semi"), items, longest, shortest, user)
+        now = saved(now.join(touched, user, "left_anti").unionByName(rebuilt))
+        if max_rounds is not None and rounds >= max_rounds:
+            return Core(now, items, rounds)
 
 
 def n_core_chunked(histories: DataFrame, n: int, size: int, shortest: int, rounds: int = 3, user: str = "user") -> DataFrame:

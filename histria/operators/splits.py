@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .order import running
+from .shared import saved
+
 
 def randbelow(seed, upper: int, counter: int) -> int:
     """Unbiased number below `upper`: the first bytes of SHA-256 of `seed:counter:nonce`, big-endian, rejected above the largest multiple."""
@@ -25,7 +28,7 @@ def randbelow(seed, upper: int, counter: int) -> int:
 
 
 def permutation(n: int, seed) -> list[int]:
-    """Fisher-Yates from the end. Sequential by nature: O(n) on the driver, on positions alone."""
+    """Fisher-Yates from the end by the plain loop: the order that `shuffle_order` gives as a table."""
     out = list(range(n))
     for counter, i in enumerate(range(n - 1, 0, -1)):
         j = randbelow(seed, i + 1, counter)
@@ -33,24 +36,56 @@ def permutation(n: int, seed) -> list[int]:
     return out
 
 
-#: Rows up to which the exact shuffle may be asked for; its order is built on the driver.
-EXACT_ROWS = 2_000_000
+def randbelow_column(seed, upper: Column, counter: Column, tries: int = 64) -> Column:
+    """randbelow() of columns, for an upper bound below 2^56. A draw is rejected with a chance under a half; after `tries` rejections it raises."""
+    size = F.ceil(F.length(F.bin(upper)) / 8).cast("int")
+    limit = F.call_function("div", F.pow(F.lit(256.0), size).cast("long"), upper) * upper
+
+    def draw(nonce: Column) -> Column:
+        digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), counter.cast("string"), nonce.cast("string")), 256)
+        return F.conv(F.substr(digest, F.lit(1), 2 * size), 16, 10).cast("long")
+
+    def unless_found(found: Column, nonce: Column) -> Column:
+        return F.when(found.isNotNull(), found).otherwise(F.when(draw(nonce) < limit, draw(nonce) % upper))
+
+    got = F.reduce(F.sequence(F.lit(0), F.lit(tries - 1)), F.lit(None).cast("long"), unless_found)
+    return F.coalesce(got, F.raise_error(F.lit("no draw was accepted")).cast("long"))
+
+
+def swap_partners(spark: SparkSession, n: int, seed) -> DataFrame:
+    """i, j for i = n - 1 .. 0: the swap of each step, drawn by its own counter n - 1 - i, so in any order and any task."""
+    return spark.range(n).select(F.col("id").alias("i"), randbelow_column(seed, F.col("id") + 1, n - 1 - F.col("id")).alias("j"))
+
+
+def shuffle_order(spark: SparkSession, n: int, seed) -> DataFrame:
+    """idx, pos: the element at place idx after a Fisher-Yates shuffle is the one that was at place pos.
+
+    Place i is settled by step i. What it gets lay at j before: j's own element, or what the last step k > i with the
+    same j put there, which lay at k before step k. So with up(k) = the smallest i > k that has j = k, elements come down
+    from the ends of chains k -> up(k) -> ..., and the chains, a few dozen links long at any n, are followed by
+    pointer doubling: as many joins as their length has binary digits. Groups of equal j hold about ln(n / j) steps.
+    """
+    steps = saved(swap_partners(spark, n, seed))
+    first = steps.where("i > j").groupBy(F.col("j").alias("k")).agg(F.min("i").alias("up"))
+    chains = saved(first)
+    while True:
+        further = chains.select(F.col("k").alias("up"), F.col("up").alias("upper"))
+        jumped = saved(chains.join(further, "up", "left").select("k", F.coalesce("upper", "up").alias("up"), F.col("upper").isNotNull().alias("moved")))
+        chains = jumped.select("k", "up")
+        if jumped.where("moved").isEmpty():
+            break
+    later = steps.select("i", "j", F.lead("i").over(Window.partitionBy("j").orderBy("i")).alias("k"))
+    ends = later.join(chains, "k", "left")
+    return ends.select(F.col("i").alias("idx"), F.coalesce("up", "k", "j").alias("pos"))
 
 
 def exact_shuffle(rows: DataFrame, key: str, seed) -> DataFrame:
-    """rows with idx: the place in the Fisher-Yates order of the distinct keys sorted as text. For small inputs only; hash_order scales."""
-    keys = rows.select(key).distinct()
-    n = keys.count()
-    if n > EXACT_ROWS:
-        raise ValueError("use hash_order for that many rows")
-    perm = permutation(n, seed)
-    place = [0] * n
-    for at, source in enumerate(perm):
-        place[source] = at
-    spark = rows.sparkSession
-    moved = spark.createDataFrame(list(enumerate(place)), "pos long, idx long")
-    pos = keys.select(key, (F.row_number().over(Window.orderBy(F.col(key).cast("string"))) - 1).cast("long").alias("pos"))
-    return rows.join(pos.join(moved, "pos").select(key, "idx"), key)
+    """rows with idx: the place of their key in the Fisher-Yates order of the distinct keys sorted as text. Any number of
+    keys: swaps are composed as tables, nothing is sequential. hash_order is cheaper where that very order is not asked for."""
+    keys = rows.select(F.col(key).alias("key_")).distinct().withColumn("text_", F.col("key_").cast("string"))
+    placed = saved(running(keys, ["text_"]).select("key_", F.col("before").alias("pos")))
+    order = shuffle_order(rows.sparkSession, placed.count(), seed)
+    return rows.join(placed.join(order, "pos").select(F.col("key_").alias(key), "idx"), key)
 
 
 def hash_key(key: str, seed) -> Column:

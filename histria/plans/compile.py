@@ -64,16 +64,26 @@ def hash_sample(spark, d):
     return L.hash_sample(D.interactions(spark, d).select("user").distinct(), "user", 40, 7)
 
 
-@plan("exact_shuffle", """WITH RECURSIVE k AS (SELECT list(b ORDER BY b) AS names FROM (SELECT DISTINCT p_brand AS b FROM part)),
-u AS (SELECT len(names) - c AS upper, c FROM k, range(0, 255) t(c) WHERE c < len(names) - 1),
-d AS (SELECT c, arg_min(v % upper, nonce) AS j FROM (SELECT c, upper, nonce, ('0x' || substr(sha256('42:' || c || ':' || nonce), 1, 2))::INT AS v FROM u, range(0, 64) t(nonce)) WHERE v < 256 // upper * upper GROUP BY c),
-f AS (SELECT 0::BIGINT AS c, range(0, len(names)) AS perm FROM k UNION ALL
-  SELECT f.c + 1, list_transform(range(0, len(perm)), lambda x: CASE WHEN x = len(perm) - 1 - f.c THEN perm[j + 1] WHEN x = j THEN perm[len(perm) - f.c] ELSE perm[x + 1] END) FROM f JOIN d ON d.c = f.c),
-l AS (SELECT perm FROM f ORDER BY c DESC LIMIT 1)
-SELECT names[perm[i + 1] + 1] AS p_brand, i::BIGINT AS idx FROM k, l, range(0, 256) t(i) WHERE i < len(names)""")
+_SHUFFLE = """WITH RECURSIVE n AS (SELECT count(DISTINCT {key}) AS n FROM {table}),
+u AS (SELECT i, n - 1 - i AS c, i + 1 AS upper, CASE WHEN i + 1 < 256 THEN 1 WHEN i + 1 < 65536 THEN 2 WHEN i + 1 < 16777216 THEN 3 ELSE 4 END AS size FROM n, LATERAL (SELECT unnest(range(0, n)) AS i)),
+v AS (SELECT i, upper, nonce, size, ('0x' || substr(sha256('42:' || c || ':' || nonce), 1, (2 * size)::INT))::BIGINT AS v FROM u, range(0, 40) t(nonce)),
+s AS MATERIALIZED (SELECT i, arg_min(v % upper, nonce) AS j FROM v WHERE v < (1::BIGINT << (8 * size)) // upper * upper GROUP BY i),
+up AS MATERIALIZED (SELECT j AS k, min(i) AS up FROM s WHERE i > j GROUP BY j),
+l AS (SELECT i, j, lead(i) OVER (PARTITION BY j ORDER BY i) AS k FROM s),
+f AS (SELECT i, coalesce(k, j) AS pos, k IS NOT NULL AS going FROM l UNION ALL SELECT i, coalesce(up, pos), up IS NOT NULL FROM f LEFT JOIN up ON up.k = f.pos WHERE going),
+k AS (SELECT {key}, row_number() OVER (ORDER BY {key}::VARCHAR) - 1 AS pos FROM (SELECT DISTINCT {key} FROM {table}))
+SELECT {key}, i AS idx FROM f JOIN k USING (pos) WHERE NOT going"""
+
+
+@plan("exact_shuffle", _SHUFFLE.format(key="o_orderkey", table="orders"))
 def exact_shuffle(spark, d):
-    """Fisher-Yates over the brands; tests compare it with the plain loop."""
-    return L.exact_shuffle(D.items(spark, d).select("p_brand").distinct(), "p_brand", 42)
+    """Fisher-Yates over all orders; tests compare it with the plain loop."""
+    return L.exact_shuffle(D.read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 42)
+
+
+@plan("exact_shuffle_parts", _SHUFFLE.format(key="p_partkey", table="part"))
+def exact_shuffle_parts(spark, d):
+    return L.exact_shuffle(D.items(spark, d).select(F.col("item").alias("p_partkey")), "p_partkey", 42)
 
 
 # Samples. An item costs a marker and its uid, a marker and its three codes.

@@ -230,7 +230,7 @@ def test_auc_of_ties_and_empty_side(spark):
 
 def test_n_core_reaches_its_fixed_point(spark):
     df = hist(spark, [(u, [1, 2, 3, 10 + u]) for u in range(5)] + [(9, [50, 51])], "int")
-    got = sequences.n_core_fixpoint(df, 5, 3, 2)
+    got = sequences.n_core_fixpoint(df, 5, 3, 2).histories
     assert {r["user"]: r["history"] for r in got.collect()} == {u: [2, 3] for u in range(5)}
 
 
