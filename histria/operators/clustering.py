@@ -11,7 +11,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running
 from .shared import saved
+from .splits import hash_key
 from .vectors import dot, l2_normalize
 
 
@@ -42,45 +44,96 @@ def relabel(assigned: DataFrame, node: str = "node") -> DataFrame:
     return size.select(node, "cluster", (F.row_number().over(w) - 1).alias("label"))
 
 
-def hierarchy(vectors: DataFrame, freq: DataFrame, sizes: list[int], seed: int = 0) -> tuple[DataFrame, DataFrame]:
+#: Broadcast limit of centroid tables; larger ones are joined by a shuffle that adaptive execution may split.
+CENTROID_BYTES = 16_000_000
+
+
+def _sized(df: DataFrame, rows: int, width: int) -> DataFrame:
+    return F.broadcast(df) if rows * width <= CENTROID_BYTES else df
+
+
+def nearest_centroid(x: Column, centroids: Column) -> Column:
+    """Cluster of the centroid (array of cluster, c) at the least squared distance, ties to the smaller cluster."""
+    far = lambda c: F.aggregate(F.zip_with(x, c["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    return F.array_min(F.transform(centroids, lambda c: F.struct(far(c).alias("d"), c["cluster"].alias("cluster"))))["cluster"]
+
+
+def grouped_kmeans(rows: DataFrame, k: int, iterations: int, dims: int, seed=0) -> DataFrame:
+    """item, node, cluster: Lloyd's iterations in all nodes at once. rows: item, node, x (array<long>, the vector in fixed point).
+
+    A node's first centroids are its first k items in the order of sha256("seed:item"). An iteration is one join by node
+    and one aggregation of partial sums by (node, cluster): the number of jobs does not depend on the number of nodes. Sums
+    are whole numbers, so centroids are the same at any partitioning. A centroid no item is nearest to goes. The loop ends
+    after `iterations`, or when no centroid moves.
+    """
+    order = Window.partitionBy("node").orderBy(hash_key("item", seed), "item")
+    first = rows.withColumn("cluster", (F.row_number().over(order) - 1).cast("int")).where(F.col("cluster") < k)
+    now = saved(first.select("node", "cluster", F.transform("x", lambda a: a.cast("double")).alias("c")))
+
+    def assigned(centroids: DataFrame) -> DataFrame:
+        listed = centroids.groupBy("node").agg(F.collect_list(F.struct("cluster", "c")).alias("cs"))  # at most k a node
+        return rows.join(_sized(listed, centroids.count(), 8 * dims + 32), "node").withColumn("cluster", nearest_centroid(F.col("x"), F.col("cs"))).drop("cs")
+
+    for _ in range(iterations):
+        sums = assigned(now).groupBy("node", "cluster").agg(F.count("*").alias("n"), *[F.sum(F.get("x", F.lit(i))).alias(f"s{i}") for i in range(dims)])
+        new = saved(sums.select("node", "cluster", F.array(*[F.col(f"s{i}").cast("double") / F.col("n") for i in range(dims)]).alias("c")))
+        still = new.join(now.withColumnRenamed("c", "old"), ["node", "cluster"]).where("c = old").count()
+        stop = still == new.count() == now.count()
+        now = new
+        if stop:
+            break
+    return assigned(now).select("item", "node", "cluster")
+
+
+def path_key(path: Column) -> Column:
+    """Text that sorts as the tree is walked: a node before its children, children by label."""
+    return F.array_join(F.transform(path, lambda x: F.lpad(x.cast("string"), 9, "0")), ".")
+
+
+def hierarchy(vectors: DataFrame, freq: DataFrame, sizes: list[int], seed=0, iterations: int = 20, scale: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(nodes: node, level, parent, label, child_count; leaves: item, node, path, leaf_label).
 
-    Each level splits every node by k-means (clusters capped at the node's items; k = 1 and k = n are trivial), labels
-    clusters by (-size, smallest member) and leaves by (-frequency, item). A node's fit is one Spark job on its rows; the
-    loop is over nodes, of which there are as many as clusters above the leaves, never over items."""
-    spark = vectors.sparkSession
-    rows = saved(vectors.select("item", array_to_vector(F.transform("v", lambda a: a.cast("double"))).alias("features")))
-    now = rows.select("item", "features", F.lit(0).cast("long").alias("node"), F.array().cast("array<int>").alias("path"))
-    nodes, next_id = [(0, 0, None, 0)], 1
-    for level, k in enumerate(sizes, 1):
-        counts = {r["node"]: r["n"] for r in now.groupBy("node").agg(F.count("*").alias("n")).collect()}
-        parts = None
-        for node, n in sorted(counts.items()):
-            mine = now.where(F.col("node") == node)
-            kk = min(k, n)
-            if kk == 1:
-                got = mine.withColumn("cluster", F.lit(0))
-            elif kk == n:
-                got = mine.withColumn("cluster", (F.row_number().over(Window.orderBy("item")) - 1).cast("int"))  # n <= k rows
-            else:
-                got = KMeans(k=kk, seed=seed, featuresCol="features", predictionCol="cluster").fit(mine).transform(mine)
-            parts = got if parts is None else parts.unionByName(got)
-        parts = saved(parts.select("item", "features", "node", "path", "cluster"))
-        labels = relabel(parts).collect()
-        ids = {}
-        for r in sorted(labels, key=lambda r: (r["node"], r["label"])):
-            ids[r["node"], r["cluster"]] = (next_id, r["label"])
-            nodes.append((next_id, level, r["node"], r["label"]))
-            next_id += 1
-        table = spark.createDataFrame([(a, b, i, x) for (a, b), (i, x) in ids.items()], "node long, cluster int, child long, label int")
-        now = saved(parts.join(F.broadcast(table), ["node", "cluster"]).select("item", "features", F.col("child").alias("node"), F.array_append("path", F.col("label")).alias("path")))
-    w = Window.partitionBy("node").orderBy(F.desc(F.coalesce("freq", F.lit(0))), "item")
-    leaves = now.join(freq, "item", "left").select("item", "node", "path", (F.row_number().over(w) - 1).alias("leaf_label"))
-    meta = spark.createDataFrame(nodes, "node long, level int, parent long, label int")
-    kids = meta.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("child_count"))
-    under = leaves.groupBy("node").agg(F.count("*").alias("leaf_count"))
-    out = meta.join(kids, "node", "left").join(under, "node", "left").select("node", "level", "parent", "label", F.coalesce("child_count", "leaf_count", F.lit(0)).alias("child_count"))
-    return out, leaves
+    Each level splits every node of it into min(k, items) clusters, all nodes at once. One cluster, or one cluster an item
+    (ordered by -frequency, item), needs no fit; others are labelled by (-size, smallest member). Leaves are labelled by
+    (-frequency, item). Nodes are numbered as the tree is walked, a node before its children. Vectors are used in fixed
+    point, round(v * scale), so |v * scale| has to stay below 2^43. Jobs: levels times iterations.
+    """
+    dims = max(1, dimensions(vectors))
+    weight = freq.select("item", F.col("freq").alias("freq_"))
+    rows = vectors.select("item", F.transform("v", lambda a: F.round(a.cast("double") * scale).cast("long")).alias("x"))
+    rows = saved(rows.join(weight, "item", "left").withColumn("freq_", F.coalesce("freq_", F.lit(0)).cast("long")))
+    now = rows.withColumn("path", F.array().cast("array<int>")).withColumn("node", F.lit(""))
+    seen = now.select("path").limit(1)
+    for k in sizes:
+        counts = saved(now.groupBy("node").agg(F.count("*").alias("n")))  # one row a node
+        sized = now.join(_sized(counts, counts.count(), 64), "node")
+        alone = sized.where((F.col("n") == 1) | F.lit(k <= 1)).select("item", "node", F.lit(0).alias("label"))
+        w = Window.partitionBy("node").orderBy(F.desc("freq_"), "item")
+        each = sized.where((F.col("n") > 1) & (F.col("n") <= k)).select("item", "node", (F.row_number().over(w) - 1).alias("label"))  # k rows a node at most
+        parts = alone.unionByName(each)
+        fit = saved(sized.where(F.col("n") > k).select("item", "node", "x")) if k > 1 else None
+        if fit is not None and not fit.isEmpty():
+            found = saved(grouped_kmeans(fit, k, iterations, dims, seed))
+            labels = relabel(found)
+            parts = parts.unionByName(found.join(_sized(labels, k * counts.count(), 64), ["node", "cluster"]).select("item", "node", "label"))
+        parts = parts.select("item", "label")
+        now = saved(now.join(parts, "item").withColumn("path", F.array_append("path", F.col("label").cast("int"))).withColumn("node", path_key(F.col("path"))).drop("label"))
+        seen = seen.unionByName(now.select("path").distinct())
+    seen = saved(seen)
+    numbered = saved(running(seen.withColumn("key_", path_key(F.col("path"))), ["key_"], out="node"))
+    nodes = numbered.select(F.col("node").cast("long").alias("node"), F.size("path").alias("level"), "key_", "path", F.try_element_at("path", F.lit(-1)).alias("label"))
+    upper = nodes.select(F.col("node").alias("parent"), F.col("key_").alias("parent_key"))
+    nodes = nodes.withColumn("parent_key", F.when(F.col("level") > 0, path_key(F.slice("path", 1, F.greatest(F.col("level") - 1, F.lit(0))))))
+    nodes = saved(nodes.join(upper, "parent_key", "left").select("node", "level", "parent", "label", "key_"))
+    # leaf labels in two levels: places in the order of (leaf, -frequency, item), less the leaf's first place
+    item = F.lpad(F.col("item").cast("string"), 20, "0") if dict(vectors.dtypes)["item"] in ("int", "bigint", "smallint") else F.col("item").cast("string")
+    key = F.concat_ws("|", "node", F.lpad((F.lit(2**62) - F.col("freq_")).cast("string"), 20, "0"), item)
+    placed = saved(running(now.select("item", "path", F.col("node").alias("key_"), key.alias("order_")), ["order_", "item"], out="place"))
+    start = placed.groupBy("key_").agg(F.min("place").alias("start"), F.count("*").alias("leaf_count"))
+    leaves = placed.join(start, "key_").join(nodes.select("key_", "node"), "key_").select("item", "node", "path", (F.col("place") - F.col("start")).alias("leaf_label"))
+    kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children"))
+    out = nodes.join(kids, "node", "left").join(start, "key_", "left")
+    return out.select("node", "level", "parent", "label", F.coalesce("children", "leaf_count", F.lit(0)).alias("child_count")), leaves
 
 
 def residual_codes(vectors: DataFrame, slots: int, size: int, seed: int = 0) -> DataFrame:

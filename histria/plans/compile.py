@@ -267,14 +267,46 @@ def residual_codes(spark, d):
     return build(D.vectors(spark, d).select("item", F.col("embedding").alias("v")), 2, 8).select("item", joined(F.col("codes")).alias("codes"))
 
 
-@plan("cluster_leaves")
-def cluster_leaves(spark, d):
-    """Two-level k-means tree; tests check that it is one tree over all items."""
+def _kmeans_sql(at, k, iterations):
+    """Lloyd's iterations over the nodes of level `at` (table n{at}: item, x, freq, path), unrolled; gives n{at + 1}."""
+    p = f"l{at}"
+    sql = f"""{p}s AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY path) AS n FROM n{at}), {p}f AS MATERIALIZED (SELECT * FROM {p}s WHERE n > {k}),
+{p}c0 AS MATERIALIZED (SELECT path, (row_number() OVER (PARTITION BY path ORDER BY sha256('0:' || item), item) - 1)::INT AS cluster, x::DOUBLE[] AS c FROM {p}f QUALIFY cluster < {k})"""
+    for t in range(iterations + 1):
+        sql += f""", {p}a{t} AS MATERIALIZED (SELECT item, path, arg_min(cluster, (d, cluster)) AS cluster FROM
+  (SELECT item, f.path, cluster, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS d FROM {p}f f JOIN {p}c{t} c ON f.path = c.path) GROUP BY item, path)"""
+        if t < iterations:
+            sql += f""", {p}c{t + 1} AS MATERIALIZED (SELECT path, cluster, list(s / n ORDER BY i) AS c FROM (SELECT path, cluster, i, sum(x[i])::DOUBLE AS s, count(*) AS n
+  FROM (SELECT path, cluster, x, unnest(range(1, len(x) + 1)) AS i FROM {p}f JOIN {p}a{t} USING (item, path)) GROUP BY ALL) GROUP BY path, cluster)"""
+    return sql + f""", {p}z AS (SELECT path, cluster, row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, min(item)) - 1 AS label FROM {p}a{iterations} GROUP BY path, cluster),
+{p}y AS (SELECT item, label FROM {p}a{iterations} JOIN {p}z USING (path, cluster) UNION ALL SELECT item, row_number() OVER (PARTITION BY path ORDER BY freq DESC, item) - 1 FROM {p}s WHERE n <= {k}),
+n{at + 1} AS MATERIALIZED (SELECT item, x, freq, list_append(path, label::INT) AS path FROM n{at} JOIN {p}y USING (item))"""
+
+
+_ITERATIONS, _SIZES = 4, (5, 40)
+_TREE_SQL = f"""WITH {INTER}, q AS (SELECT item, count(*) AS freq FROM inter GROUP BY item),
+n0 AS MATERIALIZED (SELECT vec_id AS item, list_transform(embedding, lambda a: round(a::DOUBLE * 1048576)::BIGINT) AS x, coalesce(freq, 0) AS freq, []::INT[] AS path FROM embeddings LEFT JOIN q ON vec_id = item),
+{', '.join(_kmeans_sql(i, k, _ITERATIONS) for i, k in enumerate(_SIZES))},
+m AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS node FROM (SELECT DISTINCT []::INT[] AS path FROM n0 UNION SELECT path FROM n1 UNION SELECT path FROM n2))"""
+
+
+def _hierarchy(spark, d):
     from histria.operators.clustering import hierarchy
 
     v = D.vectors(spark, d).select("item", F.col("embedding").alias("v"))
-    freq = Q.item_frequency(D.histories(spark, d))
-    return hierarchy(v, freq, [4, 3])[1].select("item", "node", joined(F.col("path")).alias("path"), "leaf_label")
+    return hierarchy(v, Q.item_frequency(D.histories(spark, d)), list(_SIZES), iterations=_ITERATIONS)
+
+
+@plan("cluster_leaves", f"{_TREE_SQL} SELECT item, node, array_to_string(path, ',') AS path, row_number() OVER (PARTITION BY node ORDER BY freq DESC, item) - 1 AS leaf_label FROM n2 JOIN m USING (path)")
+def cluster_leaves(spark, d):
+    """Two-level tree over all vectors: levels of five clusters and of up to forty (small nodes give one an item)."""
+    return _hierarchy(spark, d)[1].select("item", "node", joined(F.col("path")).alias("path"), "leaf_label")
+
+
+@plan("cluster_nodes", f"""{_TREE_SQL} SELECT m.node, len(m.path)::INT AS level, u.node AS parent, m.path[-1] AS label, CASE WHEN len(m.path) = {len(_SIZES)} THEN (SELECT count(*) FROM n2 WHERE n2.path = m.path)
+  ELSE (SELECT count(*) FROM m c WHERE len(c.path) = len(m.path) + 1 AND c.path[:len(m.path)] = m.path) END AS child_count FROM m LEFT JOIN m u ON len(u.path) = len(m.path) - 1 AND u.path = m.path[:-2]""")
+def cluster_nodes(spark, d):
+    return _hierarchy(spark, d)[0]
 
 
 @plan("unmatched_users", f"WITH {INTER} SELECT c_custkey AS user FROM customer ANTI JOIN (SELECT DISTINCT usr FROM inter) ON c_custkey = usr")
