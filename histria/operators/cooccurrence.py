@@ -6,14 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order import percentiles, running
+from .shared import saved
+from .splits import randbelow_column
 
 
-def window_pairs(long: DataFrame, window: int, user: str = "user") -> DataFrame:
+#: Positions of a user's history in one task's frame.
+RANGE = 4096
+
+
+def in_ranges(long: DataFrame, window: int, user: str, behind: bool, size: int) -> DataFrame:
+    """long with range_ and own_: each row in its range of `size` positions, and as a neighbour in the range before (and,
+    with behind, after) where a row within the window stands. A user of any length is cut into ranges."""
+    block, at = F.floor(F.col("pos") / size).cast("long"), F.col("pos") % size
+    places = [F.struct(block.alias("r"), F.lit(True).alias("own")), F.when((at < window) & (block > 0), F.struct((block - 1).alias("r"), F.lit(False).alias("own")))]
+    if behind:
+        places.append(F.when(at >= size - window, F.struct((block + 1).alias("r"), F.lit(False).alias("own"))))
+    placed = long.withColumn("x_", F.explode(F.filter(F.array(*places), lambda p: p.isNotNull())))
+    return placed.select(user, "pos", "item", F.col("x_.r").alias("range_"), F.col("x_.own").alias("own_"))
+
+
+def window_pairs(long: DataFrame, window: int, user: str = "user", size: int = RANGE) -> DataFrame:
     """left < right, cnt: unordered pairs of different items at most `window` positions apart, counted from both centres.
 
-    A frame over the next `window` rows (one shuffle by user) instead of a self join by position."""
-    ahead = Window.partitionBy(user).orderBy("pos").rowsBetween(1, window)
-    near = long.select("item", F.collect_list("item").over(ahead).alias("near")).select("item", F.explode("near").alias("other")).where("item <> other")
+    long: user, pos (from 0, without gaps), item. A frame over the next `window` rows inside ranges of positions that
+    overlap by the window: one shuffle by (user, range), no self join, and no user is too long."""
+    cut = in_ranges(long, window, user, False, max(size, window))
+    ahead = Window.partitionBy(user, "range_").orderBy("pos").rowsBetween(1, window)
+    near = cut.select("item", "own_", F.collect_list("item").over(ahead).alias("near")).where("own_")
+    near = near.select("item", F.explode("near").alias("other")).where("item <> other")
     return near.groupBy(F.least("item", "other").alias("left"), F.greatest("item", "other").alias("right")).agg((2 * F.count("*")).alias("cnt"))
 
 
@@ -24,11 +44,12 @@ def skipgram_count(histories: DataFrame, window: int) -> DataFrame:
     return histories.where(n > 0).agg(F.coalesce(F.sum(per), F.lit(0)).alias("pairs"))
 
 
-def skipgram_pairs(long: DataFrame, window: int, user: str = "user") -> DataFrame:
-    """center, context: every ordered pair, repeats and equal items included."""
-    w = Window.partitionBy(user).orderBy("pos")
+def skipgram_pairs(long: DataFrame, window: int, user: str = "user", size: int = RANGE) -> DataFrame:
+    """center, context: every ordered pair, repeats and equal items included. In ranges, as window_pairs()."""
+    cut = in_ranges(long, window, user, True, max(size, 2 * window))
+    w = Window.partitionBy(user, "range_").orderBy("pos")
     near = F.concat(F.collect_list("item").over(w.rowsBetween(-window, -1)), F.collect_list("item").over(w.rowsBetween(1, window)))
-    return long.select(F.col("item").alias("center"), near.alias("near")).select("center", F.explode("near").alias("context"))
+    return cut.select(F.col("item").alias("center"), "own_", near.alias("near")).where("own_").select("center", F.explode("near").alias("context"))
 
 
 def ppmi(pairs: DataFrame, item_counts: DataFrame, min_freq: int) -> DataFrame:
@@ -55,32 +76,52 @@ def top_k(rows: DataFrame, group: str, score: str, k: int, tie: str = "item") ->
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def negative_pairs(item_counts: DataFrame, positives: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """left, right: n draws by frequency on both sides, without equal items and positive pairs (so fewer than n rows).
-
-    A draw is a hashed number below the total, found in the cumulative counts of its range block: no join is a cross
-    product, and the same seed gives the same draws at any partitioning."""
-    total = item_counts.agg(F.sum("cnt")).first()[0] or 0
-    spark = item_counts.sparkSession
-    if not total:
-        return spark.createDataFrame([], "left long, right long")
-    blocks = max(1, min(4096, total // 1000))
-    width = -(-total // blocks)
-    group = F.pmod(F.xxhash64("item"), F.lit(256))
-    c = item_counts.withColumn("g", group)
-    per = c.groupBy("g").agg(F.sum("cnt").alias("t"))
-    base = per.select("g", F.coalesce(F.sum("t").over(Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # 256 rows
-    upto = F.sum("cnt").over(Window.partitionBy("g").orderBy("item").rowsBetween(Window.unboundedPreceding, 0))
-    cum = c.join(F.broadcast(base), "g").select("item", (F.col("base") + upto - F.col("cnt")).alias("lo"), (F.col("base") + upto).alias("hi"))
-    cum = cum.withColumn("block", F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))))
-    draws = spark.range(n).select("id", *[F.pmod(F.xxhash64("id", F.lit(seed), F.lit(side)), F.lit(total)).alias(side) for side in ("l", "r")])
-
-    def found(side: str, name: str) -> DataFrame:
-        x = draws.select("id", F.col(side).alias("x"), F.expr(f"{side} div {width}").alias("block"))
-        return x.join(cum, "block").where("lo <= x and x < hi").select("id", F.col("item").alias(name))
-
-    both = found("l", "a").join(found("r", "b"), "id").where("a <> b").select(F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"))
-    return both.join(positives.select("left", "right"), ["left", "right"], "left_anti")
+#: Cells of the cumulative weights that one row is opened into at a time.
+OPENED = 4096
+
+
+def weight_cells(item_counts: DataFrame) -> tuple[DataFrame, int, int]:
+    """(cell, lo, hi, item; total; width): the items' weights laid end to end in item order, cut into as many equal cells as
+    there are items. A number below the total lies in one cell, whose items it is compared with: as many as their
+    weights go into the mean weight. A heavy item fills many cells, so numbers drawn for it meet many keys."""
+    kept = saved(item_counts.select("item", F.col("cnt").cast("long").alias("cnt")))
+    total, items = kept.agg(F.coalesce(F.sum("cnt"), F.lit(0)), F.count("*")).first()
+    if not total:  # all weights 0: all items alike
+        kept, total = kept.withColumn("cnt", F.lit(1).cast("long")), items
+    width = max(1, -(-total // max(1, items)))
+    laid = running(kept.where("cnt > 0"), ["item"], "cnt", "lo").select("item", "lo", (F.col("lo") + F.col("cnt")).alias("hi"))
+    laid = laid.withColumn("first", F.expr(f"lo div {width}")).withColumn("last", F.expr(f"(hi - 1) div {width}"))
+    some = laid.withColumn("part", F.explode(F.sequence(F.expr(f"first div {OPENED}"), F.expr(f"last div {OPENED}"))))
+    cell = F.explode(F.sequence(F.greatest("first", F.col("part") * OPENED), F.least("last", F.col("part") * OPENED + OPENED - 1)))
+    return saved(some.select(cell.alias("cell"), "lo", "hi", "item")), total, width
+
+
+def negative_pairs(item_counts: DataFrame, positives: DataFrame, n: int, seed=0, attempts: int | None = None) -> DataFrame:
+    """left, right: n pairs drawn by weight on both sides that are neither equal items nor positive pairs; pairs may repeat.
+
+    Attempt a draws its sides by the unbiased numbers of counters 2 a and 2 a + 1. The first n attempts that stand are the
+    result, whatever the partitioning; rounds of further attempts follow until there are n or `attempts` (default: 50 n, at
+    least 1,000) are used up, and then fewer come back."""
+    spark, limit = item_counts.sparkSession, attempts or max(50 * n, 1000)
+    cells, total, width = weight_cells(item_counts)
+    known = positives.select("left", "right").distinct()
+    found, start = None, 0
+    got = 0
+    while got < n and start < limit and total:
+        size = min(limit - start, int((n - got) * max(1.0, start / max(got, 1)) * 1.1) + 64)
+
+        def side(name: str, which: int, start=start, size=size) -> DataFrame:
+            x = spark.range(start, start + size).withColumn("x", randbelow_column(seed, F.lit(total), 2 * F.col("id") + which))
+            met = x.withColumn("cell", F.expr(f"x div {width}")).join(cells, "cell").where("lo <= x AND x < hi")
+            return met.select("id", F.col("item").alias(name))
+
+        both = side("a", 0).join(side("b", 1), "id").where("a <> b").select("id", F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"))
+        round_ = saved(both.join(known, ["left", "right"], "left_anti").select("id", "left", "right"))
+        found = round_ if found is None else found.unionByName(round_)
+        start, got = start + size, got + round_.count()
+    if found is None:
+        return item_counts.select(F.col("item").alias("left"), F.col("item").alias("right")).limit(0)
+    return running(found, ["id"]).where(F.col("before") < n).select("left", "right")
 
 
 def average_rank(rows: DataFrame, value: str, out: str = "avg_rank") -> DataFrame:

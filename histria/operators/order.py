@@ -21,7 +21,7 @@ def bounds(rows: DataFrame, key: str, buckets: int = BUCKETS, sample: int = SAMP
     """At most buckets - 1 ascending values of key, about equally many rows apart."""
     some = rows.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(sample)
     values = sorted(r[0] for r in some.collect() if r[0] == r[0])
-    step = max(1, math.ceil(len(values) / buckets))
+    step = max(1, math.ceil(len(values) / buckets), min(32, len(values) // 8))  # few rows need few buckets
     return sorted(set(values[step::step]))
 
 

@@ -27,34 +27,15 @@ def is_complete(v: Column) -> Column:
 
 
 def mean_pool(nested: Column) -> Column:
-    """Rows of equal length: their mean; otherwise all numbers one after the other."""
-    n, d = F.size(nested), F.size(F.get(nested, F.lit(0)))
-    total = F.aggregate(nested, F.transform(F.get(nested, F.lit(0)), lambda x: F.lit(0.0)), lambda s, r: F.zip_with(s, r, lambda x, y: x + y))
-    even = F.forall(nested, lambda r: F.size(r) == d)
-    return F.when(even, F.transform(total, lambda x: x / n)).otherwise(F.transform(F.flatten(nested), lambda x: x.cast("double")))
-
-
-#: Vectors of a side in one block.
-BLOCK_ROWS = 4096
-
-
-def exact_neighbors(anchors: DataFrame, candidates: DataFrame, k: int, digits: int | None = None, blocks: int | None = None) -> DataFrame:
-    """anchor, item, score, rank: the k candidates of largest inner product, the anchor itself left out, ties to the smaller item.
-
-    anchors and candidates: item, v. Each side is cut into blocks of about BLOCK_ROWS (or at least `blocks` of them, 4 by
-    default) and meets the other's blocks by an equi-join on the block pair, so a task's share does not grow with the
-    tables. Spark keeps k rows an anchor in each task (a window group limit) before they are shuffled and merged.
-    """
-    least = blocks or 4
-    m, n = (max(least, -(-side.count() // BLOCK_ROWS)) for side in (anchors, candidates))
-    part = lambda size: F.pmod(F.xxhash64("item"), F.lit(size)).cast("int")
-    every = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
-    a = anchors.select(F.col("item").alias("anchor"), F.col("v").alias("a"), part(m).alias("x")).withColumn("y", every(n))
-    c = candidates.select("item", F.col("v").alias("c"), part(n).alias("y")).withColumn("x", every(m))
-    score = dot(F.col("a"), F.col("c"))
-    s = a.join(c, ["x", "y"]).where("anchor <> item").select("anchor", "item", (F.round(score, digits) if digits is not None else score).alias("score"))
-    w = Window.partitionBy("anchor").orderBy(F.desc("score"), "item")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    """Null rows left out, then: rows of equal length give their mean, others all their numbers one after the other; null
+    where no row or no number is left."""
+    rows = F.filter(nested, lambda r: r.isNotNull())
+    n, first = F.size(rows), F.transform(F.get(rows, F.lit(0)), lambda x: x.cast("double"))
+    total = F.aggregate(F.slice(rows, 2, F.greatest(n, F.lit(1))), first, lambda s, r: F.zip_with(s, r, lambda x, y: x + y))
+    even = F.forall(rows, lambda r: F.size(r) == F.size(first))
+    flat = F.filter(F.transform(F.flatten(rows), lambda x: x.cast("double")), lambda x: x.isNotNull())
+    pooled = F.when(even, F.transform(total, lambda x: x / n)).otherwise(flat)
+    return F.when((n > 0) & (F.size(pooled) > 0), pooled)
 
 
 def pool_tokens(hidden: Column, mask: Column, how: str = "mean") -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from histria.operators import blocks as B
 from histria.operators import codes as C
 from histria.operators import cooccurrence as O
 from histria.operators import frequency as Q
@@ -125,7 +126,7 @@ nn AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, ite
 
 def _nn(spark, d, k, where="true"):
     v = _vec(spark, d).select("item", "v")
-    return V.exact_neighbors(v.where("item % 20 = 0"), v.where(where), k, 6, 4)
+    return B.exact_neighbors(v.where("item % 20 = 0"), v.where(where), k, 6, 4)
 
 
 @plan("l2_normalize", "SELECT vec_id AS item, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(embedding[1]::DOUBLE / greatest(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 1e-12), 6) AS first FROM embeddings")
@@ -145,7 +146,7 @@ n2 AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, ite
 
 def _nn_half(spark, d, k):
     v = _vec(spark, d).select("item", F.slice("v", 1, 32).alias("v"))
-    return V.exact_neighbors(v.where("item % 20 = 0"), v, k, 6, 4)
+    return B.exact_neighbors(v.where("item % 20 = 0"), v, k, 6, 4)
 
 
 @plan("neighbor_overlap", f"WITH {_NN2} SELECT a.anchor, round(count(b.item) / 10, 6) AS overlap FROM nn a LEFT JOIN n2 b ON a.anchor = b.anchor AND a.item = b.item AND b.rank <= 10 WHERE a.rank <= 10 GROUP BY a.anchor")
@@ -184,11 +185,15 @@ def vector_fusion(spark, d):
     return out.select("item", F.size("v").cast("long").alias("dim"), F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.element_at("v", -1), 6).alias("last"))
 
 
-@plan("vector_mean_pool", "SELECT vec_id AS item, 32::BIGINT AS dim, round((embedding[1]::DOUBLE + embedding[33]::DOUBLE) / 2, 6) AS first FROM embeddings")
+@plan("vector_mean_pool", """SELECT vec_id AS item, CASE WHEN vec_id % 6 = 5 THEN NULL WHEN vec_id % 6 = 4 THEN 48 ELSE 32 END::BIGINT AS dim, round(CASE vec_id % 6 WHEN 5 THEN NULL WHEN 1 THEN embedding[33]::DOUBLE WHEN 4 THEN embedding[1]::DOUBLE
+  ELSE (embedding[1]::DOUBLE + embedding[33]::DOUBLE) / 2 END, 6) AS first FROM embeddings""")
 def vector_mean_pool(spark, d):
-    nested = F.array(F.slice("v", 1, 32), F.slice("v", 33, 32))
+    """Two halves pooled; of some items one is null (1, and 2 with a third row that is null), of uneven length (4), or all are null (5)."""
+    at, none = F.col("item") % 6, F.lit(None).cast("array<float>")
+    a, b = F.slice("v", 1, 32), F.slice("v", 33, 32)
+    nested = F.when(at == 1, F.array(none, b)).when(at == 2, F.array(a, none, b)).when(at == 4, F.array(a, F.slice("v", 33, 16))).when(at == 5, F.array(none, none)).otherwise(F.array(a, b))
     pooled = V.mean_pool(nested)
-    return _vec(spark, d).select("item", F.size(pooled).cast("long").alias("dim"), F.round(F.get(pooled, F.lit(0)), 6).alias("first"))
+    return _vec(spark, d).select("item", F.when(pooled.isNotNull(), F.size(pooled)).cast("long").alias("dim"), F.round(F.get(pooled, F.lit(0)), 6).alias("first"))
 
 
 @plan("complete_vectors", "SELECT label, count(*) AS n FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 GROUP BY label")
@@ -295,27 +300,30 @@ def _score_table(spark, d):
 
 @plan("target_ranks", f"WITH {_S} SELECT sample, uid AS target, rank::INT AS rank FROM rk WHERE uid = (sample + 7) % (SELECT count(*) FROM embeddings)")
 def target_ranks(spark, d):
-    s = _score_table(spark, d)
-    t = s.select("sample", ((F.col("sample") + 7) % D.vectors(spark, d).count()).alias("target")).distinct()
-    return R.target_rank(s, t, ["score"])
+    return _ranks(spark, d, 7)
+
+
+def _ranks(spark, d, *steps):
+    """Ranks of the items so many places on, by counting."""
+    v = _vec(spark, d)
+    samples, m = v.where("item % 20 = 0"), v.count()
+    t = samples.select(F.col("item").alias("sample"), F.explode(F.array(*[(F.col("item") + x) % m for x in steps])).alias("target"))
+    return B.ranks(samples, t, v, 6)
 
 
 @plan("rank_metrics", f"WITH {_S} SELECT round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 6) AS hr10, round(avg(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END), 6) AS ndcg10, round(avg(1 / rank), 6) AS mrr FROM rk WHERE uid = (sample + 7) % (SELECT count(*) FROM embeddings)")
 def rank_metrics(spark, d):
-    s = _score_table(spark, d)
-    t = s.select("sample", ((F.col("sample") + 7) % D.vectors(spark, d).count()).alias("target")).distinct()
     hit, ndcg, mrr = Q.rank_metrics(F.col("rank"), 10)
-    return R.target_rank(s, t, ["score"]).agg(F.round(F.avg(hit), 6).alias("hr10"), F.round(F.avg(ndcg), 6).alias("ndcg10"), F.round(F.avg(mrr), 6).alias("mrr"))
+    return _ranks(spark, d, 7).agg(F.round(F.avg(hit), 6).alias("hr10"), F.round(F.avg(ndcg), 6).alias("ndcg10"), F.round(F.avg(mrr), 6).alias("mrr"))
 
 
 @plan("multi_target_metrics", f"""WITH {_S}, t AS (SELECT DISTINCT sample, unnest([(sample + 7) % m, (sample + 11) % m, (sample + 7) % m, m + 100000]) AS uid FROM sc, (SELECT count(*) AS m FROM embeddings)), m AS (SELECT t.sample, t.uid, rank FROM t LEFT JOIN rk USING (sample, uid)),
 g AS (SELECT sample, count(*) AS n, min(rank) AS best, {', '.join(f'count(*) FILTER (WHERE rank <= {k}) AS h{k}, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= {k}), 0) AS d{k}' for k in (5, 50))} FROM m GROUP BY sample)
 SELECT count(*) AS samples, {', '.join(f'round(avg((h{k} > 0)::INT), 6) AS hr{k}, round(avg(h{k} / n), 6) AS recall{k}, round(avg(d{k} / (SELECT sum(1 / log2(i + 1)) FROM range(1, 4) z(i))), 6) AS ndcg{k}' for k in (5, 50))}, round(avg(coalesce(1 / best, 0)), 6) AS mrr FROM g""")
 def multi_target_metrics(spark, d):
-    s = _score_table(spark, d)
-    a, m = F.col("sample"), D.vectors(spark, d).count()
-    t = s.select("sample").distinct().select("sample", F.array((a + 7) % m, (a + 11) % m, (a + 7) % m, F.lit(m + 100000).cast("long")).alias("uids"))
-    out = R.multi_target_metrics(R.ranked(s), t, [5, 50])
+    a, m = F.col("item"), D.vectors(spark, d).count()
+    t = _vec(spark, d).where("item % 20 = 0").select(a.alias("sample"), F.array((a + 7) % m, (a + 11) % m, (a + 7) % m, F.lit(m + 100000).cast("long")).alias("uids"))
+    out = R.multi_target_metrics(_ranks(spark, d, 7, 11).withColumnRenamed("target", "uid").where("rank is not null"), t, [5, 50])
     return rounded(out, *[c for c in out.columns if c != "samples"])
 
 
@@ -331,24 +339,52 @@ def frequency_gate(spark, d):
     return f.select("item", "freq", F.round(R.frequency_gate(F.col("freq"), 20, 0.5), 6).alias("gate"))
 
 
-@plan("fused_ranking", f"""WITH {_S}, u AS (SELECT sample, uid, score FROM sc WHERE uid % 3 <> 0), i AS (SELECT sample, uid, 1 - score AS score FROM sc WHERE uid % 4 <> 0),
-un AS (SELECT sample, uid, (score - avg(score) OVER w) / greatest(stddev_pop(score) OVER w, 1e-6) AS us FROM u WINDOW w AS (PARTITION BY sample)), sn AS (SELECT sample, uid, (score - avg(score) OVER w) / greatest(stddev_pop(score) OVER w, 1e-6) AS ss FROM i WINDOW w AS (PARTITION BY sample)),
-b AS (SELECT sample, uid, coalesce(us, min(us) OVER w - 1) AS us, coalesce(ss, min(ss) OVER w - 1) AS ss, 1 / (1 + exp(-(ln(1 + uid % 9) - ln(6.0)) / 0.5)) AS g FROM un FULL JOIN sn USING (sample, uid) WINDOW w AS (PARTITION BY sample))
-SELECT sample, round(sum(g * us + (1 - g) * ss), 4) AS total, count(*) AS n FROM b GROUP BY sample""")
+_Z = "(score - avg(score) OVER w) / greatest(stddev_pop(score) OVER w, 1e-6)"
+_FUSED = f"""u AS (SELECT sample, uid, score FROM {{full}}), i AS (SELECT sample, uid, score FROM {{other}}), uz AS (SELECT sample, uid, {_Z} AS us FROM u WINDOW w AS (PARTITION BY sample)), sz AS (SELECT sample, uid, {_Z} AS ss FROM i WINDOW w AS (PARTITION BY sample)),
+b AS (SELECT sample, uid, coalesce(us, coalesce(min(us) OVER w, 0) - 1) AS us, coalesce(ss, coalesce(min(ss) OVER w, 0) - 1) AS ss, 1 / (1 + exp(-(ln(1 + uid % 9) - ln(6.0)) / 0.5)) AS g FROM uz FULL JOIN sz USING (sample, uid) WINDOW w AS (PARTITION BY sample)),
+fused AS (SELECT sample, uid, g, g * us + (1 - g) * ss AS score FROM b)"""
+
+
+@plan("fused_ranking", f"""WITH {_S}, {_FUSED.format(full="sc WHERE uid % 3 <> 0 AND sample % 60 <> 20", other="(SELECT sample, uid, 1 - score AS score FROM sc WHERE uid % 4 <> 0 AND sample % 60 <> 0)")}
+SELECT sample, round(sum(score), 4) AS total, count(*) AS n FROM fused GROUP BY sample""")
 def fused_ranking(spark, d):
+    """Some samples have one side only."""
     s = _score_table(spark, d)
     freq = s.select("uid", (F.col("uid") % 9).alias("freq")).distinct()
-    out = R.fuse_two(s.where("uid % 3 <> 0"), s.where("uid % 4 <> 0").withColumn("score", 1 - F.col("score")), freq)
+    other = s.where("uid % 4 <> 0 AND sample % 60 <> 0").withColumn("score", 1 - F.col("score"))
+    out = R.fuse_two(s.where("uid % 3 <> 0 AND sample % 60 <> 20"), other, freq)
     return out.groupBy("sample").agg(F.round(F.sum("score"), 4).alias("total"), F.count("*").alias("n"))
 
 
-@plan("multi_list_fusion", f"""WITH {_S}, li AS (SELECT sample, 0 AS k, uid, score FROM sc WHERE uid % 2 = 0 UNION ALL SELECT sample, 1, uid, score * score FROM sc WHERE uid % 3 = 0),
-z AS (SELECT sample, k, uid, (score - min(score) OVER w) / greatest(max(score) OVER w - min(score) OVER w, 1e-6) AS s FROM li WINDOW w AS (PARTITION BY sample, k)), fl AS (SELECT sample, k, min(s) - 1 AS f FROM z GROUP BY ALL),
-un AS (SELECT DISTINCT sample, uid FROM z) SELECT sample, uid, round(avg(coalesce(s, f)), 5) AS score FROM un JOIN fl USING (sample) LEFT JOIN z USING (sample, k, uid) GROUP BY sample, uid""")
+_LISTS = """li AS (SELECT sample, 0 AS k, uid, score FROM sc WHERE uid % 2 = 0 AND sample % 60 <> 0 UNION ALL SELECT sample, 1, uid, score * score FROM sc WHERE uid % 3 = 0 UNION ALL SELECT sample, 2, uid, -score FROM sc WHERE uid % 5 = 0 AND sample % 40 = 0)"""
+_MEANS = """fl AS (SELECT sample, k, coalesce(min(s), 0) - 1 AS f FROM (SELECT sample, k FROM (SELECT DISTINCT sample FROM z) y, range(0, 3) x(k)) LEFT JOIN z USING (sample, k) GROUP BY ALL),
+un AS (SELECT DISTINCT sample, uid FROM z), mean AS (SELECT sample, uid, avg(coalesce(s, f)) AS score FROM un JOIN fl USING (sample) LEFT JOIN z USING (sample, k, uid) GROUP BY sample, uid)"""
+
+
+def _lists(s):
+    a = s.where("uid % 2 = 0 AND sample % 60 <> 0").withColumn("list", F.lit(0))
+    b = s.where("uid % 3 = 0").select("sample", "uid", (F.col("score") * F.col("score")).alias("score"), F.lit(1).alias("list"))
+    return a.unionByName(b).unionByName(s.where("uid % 5 = 0 AND sample % 40 = 0").select("sample", "uid", (-F.col("score")).alias("score"), F.lit(2).alias("list")))
+
+
+@plan("multi_list_fusion", f"""WITH {_S}, {_LISTS}, z AS (SELECT sample, k, uid, (score - min(score) OVER w) / greatest(max(score) OVER w - min(score) OVER w, 1e-6) AS s FROM li WINDOW w AS (PARTITION BY sample, k)), {_MEANS}
+SELECT sample, uid, round(score, 5) AS score FROM mean""")
 def multi_list_fusion(spark, d):
+    """Three lists, of which two are empty for some samples."""
+    return R.fuse_lists(_lists(_score_table(spark, d)), "minmax").withColumn("score", F.round("score", 5))
+
+
+@plan("representation_fusion", f"""WITH {_S}, {_LISTS}, lt AS (SELECT * FROM li QUALIFY row_number() OVER (PARTITION BY sample, k ORDER BY score DESC, uid) <= 12), z AS (SELECT sample, k, uid, {_Z} AS s FROM lt WINDOW w AS (PARTITION BY sample, k)), {_MEANS},
+tp AS (SELECT sample, uid, score FROM rk JOIN sc USING (sample, uid) WHERE rank <= 12), fu AS (SELECT * FROM tp UNION SELECT sample, uid, score FROM sc SEMI JOIN mean USING (sample, uid)), {_FUSED.format(full="fu", other="mean")},
+o AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY sample ORDER BY round(score, 9) DESC, uid) <= 20)
+SELECT sample, count(*) AS candidates, round(avg(g), 5) AS gate_mean, round(sum(score), 4) AS total FROM o GROUP BY sample""")
+def representation_fusion(spark, d):
     s = _score_table(spark, d)
-    lists = s.where("uid % 2 = 0").withColumn("list", F.lit(0)).unionByName(s.where("uid % 3 = 0").select("sample", "uid", (F.col("score") * F.col("score")).alias("score"), F.lit(1).alias("list")))
-    return R.fuse_lists(lists, "minmax").withColumn("score", F.round("score", 5))
+    freq = s.select("uid", (F.col("uid") % 9).alias("freq")).distinct()
+    fused = R.fuse_representations(s, _lists(s), freq, 12)
+    top = R.ranked(fused.withColumn("score", F.round("score", 9))).where("rank <= 20")
+    total = top.groupBy("sample").agg(F.round(F.sum("score"), 4).alias("total"))
+    return R.fusion_summary(top).withColumn("gate_mean", F.round("gate_mean", 5)).join(total, "sample")
 
 
 _LOGP = f"{_CODES}, lp AS (SELECT sample, slot, code, -round(((sample * 31 + slot * 17 + code * 13) % 101) / 10, 1) AS logp FROM range(0, 6) a(sample), range(0, 3) b(slot), range(0, 10) e(code))"

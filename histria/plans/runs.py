@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from histria.operators import blocks as B
 from histria.operators import catalog as K
 from histria.operators import clustering as T
 from histria.operators import frequency as Q
@@ -134,6 +135,6 @@ def neighbor_stability(spark, d):
 
     v = D.vectors(spark, d).select("item", F.col("embedding").alias("v"))
     part = v.select("item", F.slice("v", 1, 40).alias("v"))
-    a, b = (V.exact_neighbors(x.where("item % 25 = 0"), x, 20, 6, 4) for x in (v, part))
+    a, b = (B.exact_neighbors(x.where("item % 25 = 0"), x, 20, 6, 4) for x in (v, part))
     out = describe(V.neighbor_overlap(a, b, 20), F.col("overlap"), (0.5, 0.9))
     return out.select(F.col("count").alias("anchors"), *[F.round(c, 6).alias(c) for c in ("mean", "std", "p50", "p90")], "min", "max")

@@ -111,6 +111,33 @@ def test_fusion_floors_a_missing_side(spark):
     assert got == {0: -1.0, 1: 0.0, 2: -1.0}
 
 
+def test_fusion_of_a_sample_with_one_side(spark):
+    uid = spark.createDataFrame([("s", 0, 1.0), ("s", 1, 3.0)], "sample string, uid int, score double")
+    none = uid.limit(0)
+    freq = spark.createDataFrame([(1, 500)], "uid int, freq int")
+    g = 1 / (1 + math.exp(-(math.log1p(500) - math.log1p(5)) / 0.5))
+    got = {r["uid"]: r["score"] for r in ranking.fuse_two(uid, none, freq).collect()}
+    assert got[1] == pytest.approx(g * 1.0 - (1 - g)) and got[0] < got[1]
+    assert [r["uid"] for r in ranking.fuse_two(uid, none, freq, limit=1).collect()] == [1]
+    assert {r["uid"]: r["score"] for r in ranking.fuse_two(none, uid, freq, weight=0.5).collect()} == {0: -1.0, 1: 0.0}
+
+
+def test_fusion_of_lists_of_which_one_is_empty(spark):
+    lists = spark.createDataFrame([("s", 0, 1, 4.0), ("s", 0, 2, 8.0), ("t", 0, 1, 1.0), ("t", 1, 2, 1.0)], "sample string, list int, uid int, score double")
+    got = {(r["sample"], r["uid"]): r["score"] for r in ranking.fuse_lists(lists, "minmax").collect()}
+    assert got == {("s", 1): -0.5, ("s", 2): 0.0, ("t", 1): -0.5, ("t", 2): -0.5}
+    assert {r["uid"]: r["score"] for r in ranking.fuse_lists(lists.where("sample = 's'"), "none", n_lists=1).collect()} == {1: 4.0, 2: 8.0}
+    assert {r["uid"]: r["score"] for r in ranking.fuse_lists(lists.where("sample = 's'"), "none", n_lists=2).collect()} == {1: 1.5, 2: 3.5}
+
+
+def test_candidates_of_lists_take_their_full_score(spark):
+    full = spark.createDataFrame([("s", u, float(10 - u)) for u in range(6)], "sample string, uid int, score double")
+    lists = spark.createDataFrame([("s", 0, 5, 2.0), ("s", 0, 4, 1.0), ("s", 0, 3, 0.0)], "sample string, list int, uid int, score double")
+    freq = spark.createDataFrame([], "uid int, freq int")
+    got = {r["uid"]: r["score"] for r in ranking.fuse_representations(full, lists, freq, 2, how="none", weight=0.5).collect()}
+    assert got == {0: 5.0, 1: 4.5, 4: 3.5, 5: 3.5}  # the lists' floor is 0: the two best of the list, less 1
+
+
 def neighbours(spark, items):
     return spark.createDataFrame([("q", x, i) for i, x in enumerate(items, 1)], "anchor string, item string, rank int")
 
@@ -184,6 +211,10 @@ def test_mean_pool_and_flatten(spark):
     df = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0]]), (2, [[1.0], [2.0, 3.0]])], "i int, v array<array<double>>")
     got = {r["i"]: r["p"] for r in df.select("i", vectors.mean_pool(F.col("v")).alias("p")).collect()}
     assert got == {1: [2.0, 3.0], 2: [1.0, 2.0, 3.0]}
+    rows = [(1, [None, [1.0, 2.0], [3.0, 4.0]]), (2, [None, [1.0], None, [2.0, None]]), (3, [None, None]), (4, None), (5, [[7.0], None]), (6, [[]]), (7, [])]
+    df = spark.createDataFrame(rows, "i int, v array<array<double>>")
+    got = {r["i"]: r["p"] for r in df.select("i", vectors.mean_pool(F.col("v")).alias("p")).collect()}
+    assert got == {1: [2.0, 3.0], 2: [1.0, 2.0], 3: None, 4: None, 5: [7.0], 6: None, 7: None}
 
 
 def test_zero_vector_normalises_to_zero(spark):

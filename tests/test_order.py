@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from histria import specs
-from histria.operators import clustering, cooccurrence, order, samples, sequences, splits, vectors
+from histria.operators import blocks, clustering, cooccurrence, order, samples, sequences, splits, vectors
 from pyspark.sql import functions as F
 
 
@@ -95,11 +95,11 @@ def test_pooling_edges(spark):
 
 
 def test_neighbours_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 9)
     x = np.random.default_rng(6).normal(size=(60, 4)).round(1)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item long, v array<double>")
     got = {}
-    for r in vectors.exact_neighbors(df.where("item < 20"), df, 5, 6).orderBy("anchor", "rank").collect():
+    for r in blocks.exact_neighbors(df.where("item < 20"), df, 5, 6).orderBy("anchor", "rank").collect():
         got.setdefault(r["anchor"], []).append(r["item"])
     s = (x @ x.T).round(6)
     assert got == {i: sorted((j for j in range(60) if j != i), key=lambda j: (-s[i, j], j))[:5] for i in range(20)}
