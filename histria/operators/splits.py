@@ -150,11 +150,14 @@ def hash_sample(rows: DataFrame, key: str, n: int, seed) -> DataFrame:
 
 
 def random_pairs(rows: DataFrame, key: str, n: int, seed) -> DataFrame:
-    """a, b: n ordered pairs of different rows, by hashed places in the hash order."""
-    o = hash_order(rows.select(key), key, seed)
+    """id, a, b: n ordered pairs of different rows. Pair i takes places of the hash order: an unbiased draw below the number
+    of rows by counter 2 i, and a step from it, drawn below that number less one by counter 2 i + 1."""
+    o = saved(hash_order(rows.select(F.col(key).alias("key_")), "key_", seed).select("key_", "idx"))
     total = o.count()
     if total < 2:
-        return o.select(F.col(key).alias("a"), F.col(key).alias("b")).limit(0)
-    draws = rows.sparkSession.range(n).select("id", F.pmod(F.xxhash64("id", F.lit(str(seed)), F.lit("a")), F.lit(total)).alias("i"), (1 + F.pmod(F.xxhash64("id", F.lit(str(seed)), F.lit("b")), F.lit(total - 1))).alias("step"))
-    draws = draws.withColumn("j", (F.col("i") + F.col("step")) % total)
-    return draws.join(o.select(F.col("idx").alias("i"), F.col(key).alias("a")), "i").join(o.select(F.col("idx").alias("j"), F.col(key).alias("b")), "j").select("a", "b")
+        return o.select(F.col("idx").alias("id"), F.col("key_").alias("a"), F.col("key_").alias("b")).limit(0)
+    i = randbelow_column(seed, F.lit(total), 2 * F.col("id"))
+    step = randbelow_column(seed, F.lit(total - 1), 2 * F.col("id") + 1)
+    draws = rows.sparkSession.range(n).select("id", i.alias("i"), step.alias("step")).withColumn("j", (F.col("i") + 1 + F.col("step")) % total)
+    left, right = o.select(F.col("idx").alias("i"), F.col("key_").alias("a")), o.select(F.col("idx").alias("j"), F.col("key_").alias("b"))
+    return draws.join(left, "i").join(right, "j").select("id", "a", "b")
