@@ -17,6 +17,26 @@ def hamming(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda x: x))
 
 
+def prefix_neighbors(anchors: DataFrame, candidates: DataFrame, slots: int, k: int) -> DataFrame:
+    """anchor, item, score, rank: the k candidates with the longest common code prefix, ties to the smaller item.
+
+    anchors, candidates: item, codes (of `slots` codes each). An anchor takes at most k items from each length of prefix. Of
+    the items under a prefix the 2 k smallest serve all its anchors, with at most k of each next code: whichever next code
+    is the anchor's own (and so counts for a longer prefix), k others are left. One join a length, no pairs of items."""
+    out = None
+    for d in range(slots, -1, -1):
+        key, deeper = F.slice("codes", 1, d).alias("prefix"), F.slice("codes", 1, min(d + 1, slots)).alias("deeper")
+        c = candidates.select("item", key, deeper)
+        child, whole = Window.partitionBy("deeper").orderBy("item"), Window.partitionBy("prefix").orderBy("item")
+        c = c.withColumn("r", F.row_number().over(child)).where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(whole)).where(F.col("r") <= 2 * k + 2)
+        a = anchors.select(F.col("item").alias("anchor"), key, F.slice("codes", 1, min(d + 1, slots)).alias("own"))
+        met = a.join(c, "prefix").where(F.col("anchor") != F.col("item"))
+        met = (met if d == slots else met.where("own <> deeper")).select("anchor", "item", F.lit(d).alias("score"))
+        out = met if out is None else out.unionByName(met)
+    w = Window.partitionBy("anchor").orderBy(F.desc("score"), "item")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def pack_bits(bits: Column, n_bits: int, groups: int = 3) -> Column:
     """`groups` numbers of ceil(n_bits / groups) bits, most significant first, zeros filling the tail."""
     w = -(-n_bits // groups)

@@ -189,6 +189,13 @@ def targets(histories: DataFrame, answers: str | None = None, user: str = "user"
     return histories.where(F.size("history") > 0).select(user, F.explode(wanted).alias("item"))
 
 
+def restricted(long: DataFrame, items: DataFrame, user: str = "user") -> DataFrame:
+    """user, pos, item over the given items only, positions counted anew."""
+    place = Window.partitionBy(user).orderBy("pos")
+    kept = long.join(items.select("item").distinct(), "item", "left_semi")
+    return kept.select(user, (F.row_number().over(place) - 1).alias("pos"), "item")
+
+
 def require_all(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """rows restricted to keys; raises if a key is missing (total alignment)."""
     missing = keys.join(rows.select(key), key, "left_anti").limit(1).count()

@@ -1,4 +1,4 @@
 """Queries over the driver's tables. Importing this package registers them all."""
 
-from . import analytics, compile, files, formatting, profile, reach, runs, sequences  # noqa: F401
+from . import analytics, compile, files, formatting, profile, reach, report, runs, sequences  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
