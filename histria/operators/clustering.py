@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -147,6 +148,86 @@ def residual_codes(vectors: DataFrame, slots: int, size: int, seed: int = 0) ->
     return now.select("item", "codes")
 
 
+def product_codes(vectors: DataFrame, slots: int, size: int, iterations: int = 20, seed=0, scale: int = 1 << 20) -> DataFrame:
+    """item, codes: the vector cut into `slots` equal parts (filled up with zeros), each part's nearest of `size` centroids.
+
+    The codebooks of all parts are fitted together: a part is a node of grouped_kmeans(), so an iteration is one pass."""
+    width = -(-max(1, dimensions(vectors)) // slots)
+    x = F.transform("v", lambda a: F.round(a.cast("double") * scale).cast("long"))
+    padded = F.concat(x, F.array_repeat(F.lit(0).cast("long"), slots * width - F.size("v")))
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.slice(padded, i * width + 1, F.lit(width)))
+    rows = saved(vectors.select("item", F.posexplode(pieces).alias("node", "x")))
+    found = grouped_kmeans(rows, size, iterations, width, seed)
+    return found.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("node", "cluster"))), lambda p: p["cluster"]).alias("codes"))
+
+
+def product_codebook(vectors: DataFrame, codes: DataFrame, slots: int) -> DataFrame:
+    """slot, code, center: the mean of each code's parts."""
+    width = -(-max(1, dimensions(vectors)) // slots)
+    both = vectors.join(codes, "item").select(F.posexplode("codes").alias("slot", "code"), "v")
+    parts = both.select("slot", "code", F.posexplode(F.slice("v", F.col("slot") * width + 1, F.lit(width))).alias("i", "a"))
+    means = parts.groupBy("slot", "code", "i").agg(F.avg(F.col("a").cast("double")).alias("m"))
+    return means.groupBy("slot", "code").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("center"))
+
+
+def decode_product(codes: DataFrame, codebook: DataFrame) -> DataFrame:
+    """item, v: the centers of an item's codes one after the other."""
+    long = codes.select("item", F.posexplode("codes").alias("slot", "code")).join(codebook, ["slot", "code"])
+    return long.groupBy("item").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slot", "center"))), lambda p: p["center"])).alias("v"))
+
+
+def turned(vectors: DataFrame, rotation: np.ndarray) -> DataFrame:
+    """item, v: vectors times a matrix, one product an Arrow batch."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) @ rotation
+                v = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("item"), v], ["item", "v"])
+
+    doubles = vectors.select("item", F.transform("v", lambda a: a.cast("double")).alias("v"))
+    return doubles.mapInArrow(run, f"item {dict(vectors.dtypes)['item']}, v array<double>")
+
+
+def cross_products(pairs: DataFrame, rows: int, columns: int) -> np.ndarray:
+    """Sum over rows of the outer products of arrays x and y: a matrix a task, added up by cell."""
+
+    def run(batches):
+        total = np.zeros((rows, columns))
+        for b in batches:
+            if b.num_rows:
+                x, y = (b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for c in ("x", "y"))
+                total += x.T @ y
+        i, j = np.divmod(np.arange(rows * columns), columns)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "a"])
+
+    out = np.zeros((rows, columns))
+    for r in pairs.select("x", "y").mapInArrow(run, "i long, j long, a double").groupBy("i", "j").agg(F.sum("a").alias("a")).collect():  # rows x columns numbers
+        out[r["i"], r["j"]] = r["a"]
+    return out
+
+
+def rotated_product_codes(vectors: DataFrame, slots: int, size: int, rounds: int = 4, iterations: int = 10, seed=0) -> tuple[DataFrame, np.ndarray]:
+    """(item, codes; rotation): product codes after the rotation that suits them.
+
+    By turns: codes and codebooks of the turned vectors, then the orthogonal matrix that brings the vectors nearest to what
+    the codes give back (Procrustes over the sums of outer products of all vectors). The number of dimensions has to be a
+    multiple of the slots."""
+    dims = dimensions(vectors)
+    if dims % slots:
+        raise ValueError("slots must divide the dimensions")
+    plain = saved(vectors.select("item", F.transform("v", lambda a: a.cast("double")).alias("v")))
+    rotation = np.eye(dims)
+    for _ in range(rounds):
+        x = saved(turned(plain, rotation))
+        codes = saved(product_codes(x, slots, size, iterations, seed))
+        back = decode_product(codes, product_codebook(x, codes, slots)).withColumnRenamed("v", "y")
+        u, _, v = np.linalg.svd(cross_products(plain.select("item", F.col("v").alias("x")).join(back, "item"), dims, dims))
+        rotation = u @ v
+    return product_codes(turned(plain, rotation), slots, size, iterations, seed), rotation
+
+
 def item_vectors(histories: DataFrame, items: DataFrame, dims: int, window: int, min_count: int = 1, seed: int = 0) -> DataFrame:
     """item, v from skip-grams over histories; items never seen get zeros."""
     words = histories.select(F.transform("history", lambda x: x.cast("string")).alias("h"))

@@ -315,6 +315,19 @@ def cluster_nodes(spark, d):
     return _hierarchy(spark, d)[0]
 
 
+_PRODUCT_SQL = f"""WITH n0 AS MATERIALIZED (SELECT vec_id AS item, 0 AS freq, [s::INT] AS path, list_transform(embedding[s * 16 + 1:s * 16 + 16], lambda a: round(a::DOUBLE * 1048576)::BIGINT) AS x FROM embeddings, range(0, 4) t(s)),
+{_kmeans_sql(0, 16, 4)} SELECT item, string_agg(cluster, ',' ORDER BY path) AS codes FROM l0a4 GROUP BY item"""
+
+
+@plan("product_codes", _PRODUCT_SQL)
+def product_codes(spark, d):
+    """Four codes of sixteen, one for each quarter of the vector."""
+    from histria.operators.clustering import product_codes as build
+
+    v = D.vectors(spark, d).select("item", F.col("embedding").alias("v"))
+    return build(v, 4, 16, 4).select("item", joined(F.col("codes")).alias("codes"))
+
+
 @plan("unmatched_users", f"WITH {INTER} SELECT c_custkey AS user FROM customer ANTI JOIN (SELECT DISTINCT usr FROM inter) ON c_custkey = usr")
 def unmatched_users(spark, d):
     c = D.read(spark, d, "customer").select(F.col("c_custkey").alias("user"))

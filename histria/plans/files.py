@@ -167,3 +167,21 @@ def sample_roles(spark, d):
     h = D.histories(spark, d).where(F.size("history") >= 2)
     n = F.size("history")
     return M.roles(h.withColumn("target_pos", n - 2).withColumn("history_items", F.least(F.lit(5), n - 2)))
+
+
+@plan("first_lines_csv", """SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS place, p_partkey::VARCHAR AS item, p_brand AS brand, p_size::VARCHAR AS size FROM part QUALIFY place < 150""")
+def first_lines_csv(spark, d):
+    """The first rows in the order of the files and their lines; each file has a header, lines have more fields than are read."""
+    path = own_folder(spark, "first-lines")
+    i = D.items(spark, d).select("item", "p_brand", "p_size", "p_type").repartitionByRange(4, "item").sortWithinPartitions("item")
+    i.write.option("header", True).csv(path)
+    out = R.capped_fields(spark, path, ["item", "brand", "size"], 150)
+    return out
+
+
+@plan("first_lines_json", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS place, p_partkey AS item, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS brand FROM part QUALIFY place < 120")
+def first_lines_json(spark, d):
+    path = own_folder(spark, "first-json")
+    i = D.items(spark, d).select("item", F.when(F.col("item") % 2 == 0, F.col("p_brand")).alias("brand")).repartitionByRange(4, "item").sortWithinPartitions("item")
+    i.write.json(path)
+    return R.capped_json(spark, path, "item BIGINT, brand STRING", 120)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,37 @@ def behaviours(spark: SparkSession, path: str, time_format: str = "M/d/yyyy h:mm
     return rows.select("uid", F.try_to_timestamp("time", F.lit(time_format)).alias("time"), F.coalesce(words(F.col("history")), F.array().cast("array<string>")).alias("history"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, line (from 0 in its file), place (from 0 over all files in the order of their names).
+
+    Spark reads a file in blocks; lines of a block are read in order into one task. So a line's number is what the blocks
+    before it hold and its own place in the block: one pass that counts (a row a block) and one that reads."""
+    meta = F.col("_metadata")
+    text = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id_"))
+    per = text.groupBy("file", "block").agg(F.min("id_").alias("first_"), F.count("*").alias("n_"))
+    before = lambda w: F.coalesce(F.sum("n_").over(w.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = per.select("file", "block", "first_", before(Window.partitionBy("file")).alias("l_"), before(Window.partitionBy(F.lit(1))).alias("p_"))
+    at = F.col("id_") - F.col("first_")
+    return text.join(per, ["file", "block"]).select("value", "file", (F.col("l_") + at).alias("line"), (F.col("p_") + at).alias("place"))
+
+
+def capped_fields(spark: SparkSession, path: str, columns: list[str], rows: int, sep: str = ",", header: bool = True) -> DataFrame:
+    """The first `rows` lines of the files, cut at every separator (no quoting), as text columns: the first fields only.
+    With header, each file's first line goes and does not count."""
+    lines = numbered_lines(spark, path)
+    if header:
+        files = lines.select("file").distinct()
+        earlier = files.select("file", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("file")).alias("headers"))  # a row a file
+        lines = lines.join(earlier, "file").where("line > 0").withColumn("place", F.col("place") - F.col("headers"))
+    parts = F.split("value", re.escape(sep))
+    return lines.where(F.col("place") < rows).select("place", *[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
+
+
+def capped_json(spark: SparkSession, path: str, schema: str, rows: int) -> DataFrame:
+    """The first `rows` lines of the files as JSON objects, with their place. A line that is none gives nulls."""
+    return numbered_lines(spark, path).where(F.col("place") < rows).select("place", F.from_json("value", schema).alias("r")).select("place", "r.*")
+
+
 def union_all(*frames: DataFrame) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

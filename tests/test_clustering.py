@@ -83,3 +83,47 @@ def test_equal_vectors_and_an_empty_table(spark):
     assert {tuple(r["path"]) for r in leaves} == {(0,)} and sorted(r["leaf_label"] for r in leaves) == list(range(9))
     nodes, leaves = clustering.hierarchy(df.limit(0), none, [3, 2])
     assert nodes.count() == 0 and leaves.count() == 0
+
+
+def squared_error(x, back):
+    return sum(float(((x[i] - np.array(back[i])) ** 2).sum()) for i in x)
+
+
+def test_product_codes_beat_residual_codes_at_equal_bits(spark):
+    """Parts of a vector that are independent: a code for each part says more than codes of the whole one after the other."""
+    g = np.random.default_rng(5)
+    centers = g.normal(size=(3, 4, 2)) * 4
+    x = {i: np.concatenate([centers[p, g.integers(0, 4)] for p in range(3)]) + g.normal(size=6) * 0.1 for i in range(240)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "item long, v array<double>")
+    codes = clustering.product_codes(df, 3, 8, 12).cache()
+    assert {len(r["codes"]) for r in codes.collect()} == {3} and all(0 <= c < 8 for r in codes.collect() for c in r["codes"])
+    back = {r["item"]: r["v"] for r in clustering.decode_product(codes, clustering.product_codebook(df, codes, 3)).collect()}
+    residual = {r["item"]: r["codes"] for r in clustering.residual_codes(df, 3, 8).collect()}
+    groups, left = {}, dict(x)
+    for s in range(3):  # what residual codes give back: the means of what each slot's codes meet, added up
+        groups = {c: np.mean([left[i] for i in left if residual[i][s] == c], axis=0) for c in {residual[i][s] for i in left}}
+        left = {i: left[i] - groups[residual[i][s]] for i in left}
+    assert squared_error(x, back) < sum(float((v**2).sum()) for v in left.values())
+
+
+def test_rotation_lowers_the_error_and_is_orthogonal(spark):
+    g = np.random.default_rng(6)
+    turn = np.linalg.qr(g.normal(size=(4, 4)))[0]
+    x = {i: (g.normal(size=4) * [5, 5, 0.2, 0.2]) @ turn for i in range(200)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "item long, v array<double>")
+
+    def error(codes, rotation):
+        there = clustering.turned(df, rotation)
+        back = {r["item"]: np.array(r["v"]) @ rotation.T for r in clustering.decode_product(codes, clustering.product_codebook(there, codes, 2)).collect()}
+        return squared_error(x, back)
+
+    codes, rotation = clustering.rotated_product_codes(df, 2, 6, rounds=3, iterations=6)
+    assert np.allclose(rotation @ rotation.T, np.eye(4), atol=1e-9)
+    assert error(codes, rotation) < error(clustering.product_codes(df, 2, 6, 6), np.eye(4))
+
+
+def test_cross_products_are_sums_over_all_rows(spark):
+    g = np.random.default_rng(7)
+    x, y = g.normal(size=(50, 3)), g.normal(size=(50, 2))
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y, strict=True)], "x array<double>, y array<double>").repartition(5)
+    assert np.allclose(clustering.cross_products(df, 3, 2), x.T @ y)
