@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import json
+import re
 import threading
 import time
 import uuid
@@ -12,17 +13,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _step(what: str) -> None:
+    """Called before each operation on shared files; tests put other writers' work here."""
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Through Spark's file systems, so any store works; written aside and then renamed."""
-    jvm = spark._jvm
-    target, aside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".tmp")
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    """Through Spark's file systems, so any store works: written aside under a name of its own, then renamed over the old
+    file in one operation, so a reader sees the old text or the new one."""
+    target, fs = _path(spark, path)
+    aside, _ = _path(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(aside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(aside, target):
-        raise OSError(path)
+    _step("replace")
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(aside), fs.makeQualified(target), how)
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Whether this call made the file: of several that try, one does."""
+    p, fs = _path(spark, path)
+    _step("create")
+    try:
+        out = fs.create(p, False)
+    except Exception:  # the file systems' exceptions share no type
+        if not fs.exists(p):
+            raise
+        return False
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -96,48 +123,80 @@ def statistics(summary: DataFrame, path: str) -> None:
     write_text(summary.sparkSession, path, text)
 
 
-def extend_cache(spark: SparkSession, folder: str, wanted: DataFrame, build, key: str = "item") -> DataFrame:
+def _batches(spark: SparkSession, folder: str) -> tuple[int, list[str]]:
+    """(number of the newest list, batches of the newest whole one)."""
+    p, fs = _path(spark, folder)
+    if not fs.exists(p):
+        return 0, []
+    names = [f.getPath().getName() for f in fs.listStatus(p)]
+    numbers = sorted((int(n[8:-5]) for n in names if re.fullmatch(r"batches-\d{9}\.json", n)), reverse=True)
+    for n in numbers:
+        _step("read")
+        with contextlib.suppress(ValueError):  # broken off while it was written
+            return numbers[0], json.loads(read_text(spark, f"{folder}/batches-{n:09d}.json") or "")
+    return (numbers[0] if numbers else 0), []
+
+
+def extend_cache(spark: SparkSession, folder: str, wanted: DataFrame, build, key: str = "item", wait_seconds: float = 600.0, stale_seconds: float = 600.0) -> DataFrame:
     """Rows for the wanted keys from a growing cache. Keys asked for before are covered even if they had no valid row.
 
-    A batch's rows and covered keys are in a folder of their own and count once the list of batches, renamed into place
-    last, names it: a writer that breaks off leaves nothing that is read."""
-    listed = f"{folder}/batches.json"
-    batches = json.loads(read_text(spark, listed) or "[]")
+    A batch's rows and covered keys are in a folder of their own and count once a list of batches names it. Lists are
+    numbered and never change; the newest holds. A number can be taken once only: a writer that finds its number taken, by
+    one that took over its lock, begins again from what is there. So no batch is lost and no key is written twice, and a
+    writer that breaks off leaves nothing that is read. Who finds all keys covered takes no lock."""
     keys = wanted.select(key).distinct()
-    new = keys.join(spark.read.parquet(*[f"{folder}/{b}/covered" for b in batches]), key, "left_anti") if batches else keys
-    if not new.isEmpty() or not batches:
-        batch = f"batch-{uuid.uuid4().hex}"
-        new.write.parquet(f"{folder}/{batch}/covered")
-        build(spark.read.parquet(f"{folder}/{batch}/covered")).write.parquet(f"{folder}/{batch}/rows")
-        batches.append(batch)
-        write_text(spark, listed, json.dumps(batches))
+
+    def missing(batches: list[str]) -> DataFrame:
+        return keys.join(spark.read.parquet(*[f"{folder}/{b}/covered" for b in batches]), key, "left_anti") if batches else keys
+
+    _, batches = _batches(spark, folder)
+    if not batches or not missing(batches).isEmpty():
+        with only_writer(spark, folder, stale_seconds, wait_seconds):
+            while True:
+                number, batches = _batches(spark, folder)
+                new = missing(batches)
+                if batches and new.isEmpty():
+                    break
+                batch = f"batch-{uuid.uuid4().hex}"
+                new.write.parquet(f"{folder}/{batch}/covered")
+                build(spark.read.parquet(f"{folder}/{batch}/covered")).write.parquet(f"{folder}/{batch}/rows")
+                create_text(spark, f"{folder}/batches-{number + 1:09d}.json", json.dumps([*batches, batch]))
     return spark.read.parquet(*[f"{folder}/{b}/rows" for b in batches]).join(keys, key, "left_semi")
 
 
 @contextlib.contextmanager
 def only_writer(spark: SparkSession, folder: str, stale_seconds: float = 600.0, wait_seconds: float = 0.0, beat_seconds: float = 30.0):
-    """Holds `folder`/writer.lock, which only one process can create, and touches it while the block runs. A lock that
-    was not touched for stale_seconds is taken over; one that is held raises after wait_seconds."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/writer.lock")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    until, done = time.monotonic() + wait_seconds, threading.Event()
-    while True:
-        try:
-            fs.create(path, False).close()
-            break
-        except Exception as e:  # the file systems' exceptions share no type
-            if not fs.exists(path):
-                raise
-            if time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > stale_seconds:
-                fs.delete(path, False)
-            elif time.monotonic() >= until:
-                raise TimeoutError(f"{folder} has another writer") from e
-            else:
-                time.sleep(min(1.0, max(0.05, wait_seconds / 10)))
+    """Holds `folder`/writer.lock, which only one process can create, and touches it while the block runs. One that is held
+    raises after wait_seconds. A lock not touched for stale_seconds is moved aside, which one of several can do; if what was
+    moved is not the lock that was found stale, it goes back. A lock holds its owner's token and only the owner deletes it.
+
+    A process that slept through stale_seconds can still run beside the one that took over: what must not be lost is
+    published by create_text()."""
+    path, fs = _path(spark, f"{folder}/writer.lock")
+    token, until, done = uuid.uuid4().hex, time.monotonic() + wait_seconds, threading.Event()
+    while not create_text(spark, f"{folder}/writer.lock", token):
+        with contextlib.suppress(Exception):  # it may go meanwhile
+            found, touched = read_text(spark, f"{folder}/writer.lock"), fs.getFileStatus(path).getModificationTime() / 1000
+            if time.time() - touched > stale_seconds:
+                aside, _ = _path(spark, f"{folder}/writer.lock.{token}")
+                _step("take over")
+                if fs.rename(path, aside):
+                    if read_text(spark, f"{folder}/writer.lock.{token}") != found:
+                        fs.rename(aside, path)
+                    else:
+                        fs.delete(aside, False)
+                continue
+        if time.monotonic() >= until:
+            raise TimeoutError(f"{folder} has another writer")
+        time.sleep(min(1.0, max(0.05, wait_seconds / 10)))
+
+    def mine() -> bool:
+        return read_text(spark, f"{folder}/writer.lock") == token
 
     def beat() -> None:
         while not done.wait(beat_seconds):
-            fs.setTimes(path, int(time.time() * 1000), -1)
+            if mine():
+                fs.setTimes(path, int(time.time() * 1000), -1)
 
     thread = threading.Thread(target=beat, daemon=True)
     thread.start()
@@ -146,7 +205,9 @@ def only_writer(spark: SparkSession, folder: str, stale_seconds: float = 600.0,
     finally:
         done.set()
         thread.join()
-        fs.delete(path, False)
+        _step("release")
+        if mine():
+            fs.delete(path, False)
 
 
 def stage_sizes(spark: SparkSession, root: str) -> DataFrame:
