@@ -144,6 +144,33 @@ def nested_scales(ordered: DataFrame, total: int, scales: list[int], test_ratio:
     return out.where("split is not null").select(*ordered.columns, F.col("x.scale_percent").alias("scale_percent"), "split")
 
 
+POLICIES = ("ratio", "official", "counts")
+
+
+def public_sets(users: DataFrame, policy: str, seed, key: str = "user", official: DataFrame | None = None, ratio: float = 0.8, pool: int = 5000, finetune: int = 40000, valid_ratio: float = 0.2, remaining_as_valid: bool = False) -> DataFrame:
+    """users with split (finetune, valid, test) by a dataset's policy, over the users in exact_shuffle() order.
+
+    `ratio`: the first share of all users is finetune, of the others a fifth valid and the rest test. `counts`: so many users
+    make up valid and test, the next ones finetune. `official`: the test users are given, the first `pool` users are valid,
+    the next ones finetune. With `ratio` the test users may be given too: then they are the test split, and of the users left
+    over the valid part stays, or with remaining_as_valid all of them."""
+    if policy not in POLICIES:
+        raise ValueError(f"no split policy {policy}; there are {', '.join(POLICIES)}")
+    if policy == "official" and official is None:
+        raise ValueError("the policy needs test users")
+    ordered = exact_shuffle(users, key, seed)
+    if policy == "ratio":
+        out = ratio_split(ordered, ordered.count(), ratio, valid_ratio)
+        if official is not None:
+            rest = F.when(F.col("split") == "test", F.lit("valid" if remaining_as_valid else None)).otherwise(F.col("split"))
+            out = out.withColumn("split", rest).where("split is not null")
+    elif policy == "official":
+        out = official_test_split(ordered, pool, finetune)
+    else:
+        return count_split(ordered, pool, finetune, valid_ratio)
+    return out if official is None else out.unionByName(official.withColumn("split", F.lit("test")), allowMissingColumns=True)
+
+
 def hash_sample(rows: DataFrame, key: str, n: int, seed) -> DataFrame:
     """The first n rows of the hash order: a top-k with partial results, no full sort."""
     return rows.withColumn("h_", hash_key(key, seed)).orderBy("h_", key).limit(n).drop("h_")

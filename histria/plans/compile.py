@@ -35,7 +35,7 @@ def _ordered(spark, d):
 
 
 @plan("hash_order_split", f"""WITH {_ORDER}, c AS (SELECT *, greatest(1, least(floor(n * 0.8)::BIGINT, n - 1)) AS ft FROM od)
-SELECT usr AS user, idx, CASE WHEN idx < ft THEN 'finetune' WHEN idx < ft + greatest(1, floor((n - ft) * 0.2)::BIGINT) THEN 'valid' ELSE 'test' END AS split FROM c""")
+SELECT usr AS user, idx, CASE WHEN idx < ft THEN 'finetune' WHEN idx < ft + greatest(1, floor((n - ft) * 0.2::DOUBLE)::BIGINT) THEN 'valid' ELSE 'test' END AS split FROM c""")
 def hash_order_split(spark, d):
     o = _ordered(spark, d)
     return L.ratio_split(o, o.count(), 0.8).withColumn("idx", F.col("idx").cast("long"))
@@ -86,6 +86,31 @@ def exact_shuffle_parts(spark, d):
     return L.exact_shuffle(D.items(spark, d).select(F.col("item").alias("p_partkey")), "p_partkey", 42)
 
 
+_POLICY = _SHUFFLE.format(key="usr", table="us").removeprefix("WITH RECURSIVE ")
+_POLICY_CTES, _POLICY_LAST = _POLICY.rsplit("\nSELECT ", 1)
+
+
+@plan("public_sets", f"""WITH RECURSIVE {INTER}, us AS (SELECT usr FROM inter WHERE usr % 10 <> 0), {_POLICY_CTES}, o AS (SELECT {_POLICY_LAST}), t AS (SELECT count(*) AS n, greatest(1, least(floor(count(*) * 0.7::DOUBLE)::BIGINT, count(*) - 1)) AS ft FROM o),
+te AS (SELECT DISTINCT usr FROM inter WHERE usr % 10 = 0)
+SELECT 'counts' AS policy, usr AS user, CASE WHEN idx < 8 THEN 'valid' WHEN idx < 40 THEN 'test' ELSE 'finetune' END AS split FROM o WHERE idx < 100
+UNION ALL SELECT 'official', usr, CASE WHEN idx < 40 THEN 'valid' ELSE 'finetune' END FROM o WHERE idx < 100 UNION ALL SELECT 'official', usr, 'test' FROM te
+UNION ALL SELECT 'ratio', usr, CASE WHEN idx < ft THEN 'finetune' WHEN idx < ft + greatest(1, floor((n - ft) * 0.2::DOUBLE)::BIGINT) THEN 'valid' ELSE 'test' END FROM o, t
+UNION ALL SELECT 'ratio, given test', usr, CASE WHEN idx < ft THEN 'finetune' ELSE 'valid' END FROM o, t UNION ALL SELECT 'ratio, given test', usr, 'test' FROM te""")
+def public_sets(spark, d):
+    """The three policies over the users of the order log; some have their test users given."""
+    users = D.interactions(spark, d).select("user").distinct()
+    mine, given = users.where("user % 10 <> 0"), users.where("user % 10 = 0")
+    cuts = {
+        "counts": L.public_sets(mine, "counts", 42, pool=40, finetune=60), "official": L.public_sets(mine, "official", 42, official=given, pool=40, finetune=60),
+        "ratio": L.public_sets(mine, "ratio", 42, ratio=0.7), "ratio, given test": L.public_sets(mine, "ratio", 42, official=given, ratio=0.7, remaining_as_valid=True),
+    }
+    out = None
+    for name, cut in cuts.items():
+        one = cut.select(F.lit(name).alias("policy"), "user", "split")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # Samples. An item costs a marker and its uid, a marker and its three codes.
 _LEN = f"""{INTER}, lg AS (SELECT usr, pos, 2 + 1 + 3 + item % 2 AS len, 2 + item % 2 AS last_len, count(*) OVER (PARTITION BY usr) AS n, row_number() OVER (PARTITION BY usr ORDER BY pos DESC) AS rn FROM inter)"""
 

@@ -58,8 +58,8 @@ def _tables_sql(base, last, percent, ratio):
     """The users of table x<last> in Fisher-Yates order, with their split."""
     shuffle = _SHUFFLE.format(key="usr", table=f"x{last}").removeprefix("WITH RECURSIVE ")
     ctes, final = shuffle.rsplit("\nSELECT ", 1)
-    return f"""{base}, {ctes}, o AS (SELECT {final}), c AS (SELECT count(*) AS total, greatest(1, least(floor(count(*) * (1 - {ratio}))::BIGINT, count(*) - 1)) AS start FROM o),
-z AS (SELECT usr, idx, CASE WHEN idx >= start THEN 'test' WHEN idx < least(start, floor(total * {percent} / 100.0)::BIGINT) THEN 'train' END AS split FROM o, c)
+    return f"""{base}, {ctes}, o AS (SELECT {final}), c AS (SELECT count(*) AS total, greatest(1, least(floor(count(*) * (1 - {ratio}::DOUBLE))::BIGINT, count(*) - 1)) AS start FROM o),
+z AS (SELECT usr, idx, CASE WHEN idx >= start THEN 'test' WHEN idx < least(start, floor(total * {percent}::DOUBLE / 100)::BIGINT) THEN 'train' END AS split FROM o, c)
 SELECT usr AS user, idx, split, string_agg(item, ',' ORDER BY pos) AS items FROM z JOIN x{last} USING (usr) WHERE split IS NOT NULL GROUP BY ALL"""
 
 

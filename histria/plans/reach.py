@@ -4,14 +4,17 @@ from pyspark.sql import functions as F
 
 from histria.functions import text as X
 from histria.operators import catalog as K
+from histria.operators import exports as E
 from histria.operators import ranking as R
 from histria.operators import samples as M
 from histria.operators import sequences as S
 from histria.operators import splits as L
+from histria.operators import vocab as N
 from histria.operators.shared import own_folder
 from histria.sources import driver as D
 from histria.sources import readers
 
+from .analytics import _CODES, _codes, rounded
 from .registry import INTER, plan
 from .sequences import shown, text
 
@@ -133,3 +136,54 @@ def level_accuracy(spark, d):
     k, z = F.col("item"), F.col("p_size").cast("long")
     rows = D.items(spark, d).select(F.array(z % 3, z % 5, k % 2).alias("p"), F.when(k % 10 == 0, F.array(z % 3)).otherwise(F.array(z % 3, z % 4, k % 4)).alias("l"))
     return R.level_accuracy(rows, "p", "l", 3).withColumn("accuracy", F.round("accuracy", 6))
+
+
+_GROUPS = "gr AS (SELECT max(n) AS most FROM (SELECT codes, count(*) AS n FROM c GROUP BY codes))"
+
+
+@plan("slot_ranges", f"WITH {_CODES}, {_GROUPS} SELECT s::INT AS slot, (s * 16)::BIGINT AS first, (s * 16 + CASE WHEN s < 3 THEN 16 ELSE most END - 1)::BIGINT AS last FROM gr, range(0, 4) t(s)")
+def slot_ranges(spark, d):
+    return N.slot_ranges(_codes(spark, d), 3, 16)
+
+
+@plan("vocabulary_registry", f"""WITH {_CODES}, {_GROUPS} SELECT 'uid' AS name, 'uid' AS kind, count(*) AS size, NULL::BIGINT AS slots, NULL::BIGINT AS collision_size, NULL::BIGINT AS collision_offset FROM c
+UNION ALL SELECT 'special', 'special', 4, NULL, NULL, NULL UNION ALL SELECT 'codes', 'sid', 48 + most, 4, most, 48 FROM gr""")
+def vocabulary_registry(spark, d):
+    codes = _codes(spark, d)
+    return N.registry(spark, codes, {"codes": (codes, 3, 16)}, N.marker_tokens(["codes", "uid", "title"], ["codes", "uid"]))
+
+
+_UNIT = "list_transform({v}, lambda a: a / greatest(sqrt(list_inner_product({v}, {v})), 1e-12))"
+
+
+def _exports_sql():
+    pairs = f"""{_HASHED.format(key="vec_id", seed=42, table="embeddings")}, t AS (SELECT count(*) AS n FROM o), q AS (SELECT c, n - c % 2 AS upper, CASE WHEN n < 256 THEN 1 WHEN n < 65536 THEN 2 ELSE 3 END AS size FROM t, range(0, 1000) r(c)),
+v AS (SELECT c, upper, nonce, size, ('0x' || substr(sha256('42:' || c || ':' || nonce), 1, (2 * size)::INT))::BIGINT AS v FROM q, range(0, 40) m(nonce)),
+x AS (SELECT c, arg_min(v % upper, nonce) AS x FROM v WHERE v < (1::BIGINT << (8 * size)) // upper * upper GROUP BY c), pl AS (SELECT l.c // 2 AS id, l.x AS i, (l.x + 1 + r.x) % n AS j FROM t, x l JOIN x r ON r.c = l.c + 1 WHERE l.c % 2 = 0),
+pa AS (SELECT id, a.k AS a, b.k AS b FROM pl JOIN o a ON a.idx = i JOIN o b ON b.idx = j), few AS (SELECT k AS item FROM o WHERE idx < 200)"""
+    tables = f"""s0 AS MATERIALIZED (SELECT vec_id AS item, {_UNIT.format(v="embedding::DOUBLE[]")} AS v FROM embeddings), s1 AS (SELECT vec_id AS item, list_transform(embedding, lambda a: CASE WHEN a > 0 THEN 1.0 ELSE -1.0 END::DOUBLE) AS r FROM embeddings),
+s2 AS (SELECT vec_id AS item, list_transform(embedding, lambda a: round(a::DOUBLE * 8) / 8) AS r FROM embeddings), e1 AS MATERIALIZED (SELECT item, {_UNIT.format(v="r")} AS v FROM s1), e2 AS MATERIALIZED (SELECT item, {_UNIT.format(v="r")} AS v FROM s2),
+k1 AS (SELECT item, codes FROM c), k2 AS (SELECT vec_id AS item, [label, label % 3] AS codes FROM embeddings)"""
+    each = []
+    for e in (1, 2):
+        tables += f""", z{e} AS MATERIALIZED (SELECT round(list_inner_product(a.v, b.v), 6) AS s, round(list_inner_product(x.v, y.v), 6) AS e FROM pa JOIN s0 a ON a.item = pa.a JOIN s0 b ON b.item = pa.b JOIN e{e} x ON x.item = pa.a JOIN e{e} y ON y.item = pa.b),
+r{e} AS (SELECT rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS a, rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2 AS b FROM z{e}),
+n{e} AS MATERIALIZED (SELECT a.item AS anchor, b.item, row_number() OVER (PARTITION BY a.item ORDER BY round(list_inner_product(s.v, t.v), 6) DESC, b.item) AS rs, row_number() OVER (PARTITION BY a.item ORDER BY round(list_inner_product(x.v, y.v), 6) DESC, b.item) AS re
+  FROM few a JOIN few b ON a.item <> b.item JOIN s0 s ON s.item = a.item JOIN s0 t ON t.item = b.item JOIN e{e} x ON x.item = a.item JOIN e{e} y ON y.item = b.item),
+g{e} AS (SELECT codes, count(*) AS n FROM k{e} GROUP BY codes), l{e} AS (SELECT unnest(range(0, len(codes))) AS slot, unnest(codes) AS val FROM k{e}), h{e} AS (SELECT slot, val, count(*) / sum(count(*)) OVER (PARTITION BY slot) AS p FROM l{e} GROUP BY slot, val),
+u{e} AS (SELECT slot, -sum(p * ln(p)) / ln(max(val) + 1) AS entropy, 1 - count(*) / (max(val) + 1) AS dead FROM h{e} GROUP BY slot)"""
+        each.append(f"""SELECT '{("signs", "steps")[e - 1]}' AS method, (SELECT sum(n) FROM g{e})::BIGINT AS item_count, (SELECT max(n) FROM g{e}) AS max_collision, (SELECT round(1 - count(*) / sum(n), 6) FROM g{e}) AS collision_rate, (SELECT round(avg(entropy), 6) FROM u{e}) AS slot_entropy,
+(SELECT round(avg(dead), 6) FROM u{e}) AS dead_ratio, (SELECT round(corr(s, e), 6) FROM z{e}) AS pearson, (SELECT round(corr(a, b), 6) FROM r{e}) AS spearman, {", ".join(f"(SELECT round(count(*) FILTER (WHERE rs <= {k} AND re <= {k}) / count(*) FILTER (WHERE rs <= {k}), 6) FROM n{e}) AS recall_{k}" for k in (5, 20))}""")
+    return f"WITH {_CODES}, {pairs}, {tables} " + " UNION ALL ".join(each)
+
+
+@plan("export_comparison", _exports_sql())
+def export_comparison(spark, d):
+    """Two ways of giving vectors back: the signs of their coordinates, and coordinates in steps of an eighth."""
+    v = D.vectors(spark, d)
+    each = lambda f: v.select("item", F.transform("embedding", f).alias("v"))
+    signs, steps = each(lambda a: F.when(a > 0, 1.0).otherwise(-1.0)), each(lambda a: F.round(a.cast("double") * 8) / 8)
+    few = v.select("item", F.array("label", F.col("label") % 3).alias("codes"))
+    out = E.compare_exports(v.select("item", F.col("embedding").alias("v")), {"signs": (_codes(spark, d), signs), "steps": (few, steps)}, 500, 200, (5, 20))
+    names = ["collision_rate", "slot_entropy", "dead_ratio", "pearson", "spearman", "recall_5", "recall_20"]
+    return rounded(out, *names).select("method", "item_count", "max_collision", *names)

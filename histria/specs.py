@@ -185,3 +185,30 @@ def representation_graph(kinds: dict[str, str], encoder: list[str], targets: lis
         if sum(known[n] == kind for n in encoder) > 1:
             raise ValueError(f"more than one {kind} representation")
     return {"representations": {n: known[n] for n in sorted(used)}, "encoder": encoder, "targets": targets}
+
+
+def fusion_spec(value: dict | None = None, model: str | None = None) -> dict:
+    """A checked fusion of vector sources: model, normalize, reduce_dim and weight of each, and whether the whole is normalised.
+
+    A source may be just its name. Without sources the one `model` is taken as it is."""
+    raw = dict(value or {})
+    sources = [{"model": s} if isinstance(s, str) else dict(s) for s in raw.get("sources") or []]
+    if not sources and model:
+        sources = [{"model": model, "normalize": False}]
+    if not sources:
+        raise ValueError("a fusion needs a source")
+    out = []
+    for s in sources:
+        name = str(s.get("model") or "").replace(".", "").lower()
+        if not name:
+            raise ValueError("each source needs a model")
+        reduce_dim, weight = int(s.get("reduce_dim") or 0), float(1.0 if s.get("weight") is None else s["weight"])
+        if reduce_dim < 0 or weight < 0:
+            raise ValueError(f"{name}: reduce_dim and weight are not negative")
+        settings = {k: v for k, v in (s.get("config") or {}).items() if k not in ("seed", "workers")}
+        out.append({"model": name, "normalize": bool(s.get("normalize", True)), "reduce_dim": reduce_dim, "weight": weight, **({"config": settings} if settings else {})})
+    if not any(s["weight"] > 0 for s in out):
+        raise ValueError("a source needs a weight above 0")
+    if str(raw.get("fusion") or "concat").strip().lower() != "concat":
+        raise ValueError("vectors are fused by concat")
+    return {"sources": out, "fusion": "concat", "normalize_output": bool(raw.get("normalize_output", False))}
