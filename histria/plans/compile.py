@@ -277,7 +277,7 @@ def scale_comparison(spark, d):
 
 @plan("negative_pair_sample", f"""WITH {INTER}, f AS (SELECT item, count(*) AS cnt FROM inter GROUP BY item), c AS (SELECT item, sum(cnt) OVER (ORDER BY item) - cnt AS lo, sum(cnt) OVER (ORDER BY item) AS hi FROM f),
 t AS (SELECT sum(cnt)::BIGINT AS total, CASE WHEN sum(cnt) < 256 THEN 1 WHEN sum(cnt) < 65536 THEN 2 WHEN sum(cnt) < 16777216 THEN 3 ELSE 4 END AS size FROM f),
-u AS (SELECT k, total, size, nonce, ('0x' || substr(sha256('0:' || k || ':' || nonce), 1, (2 * size)::INT))::BIGINT AS v FROM t, range(0, 8000) a(k), range(0, 40) b(nonce)),
+u AS (SELECT k, total, size, nonce, ('0x' || substr(sha256('0:' || k || ':' || nonce), 1, (2 * size)::INT))::BIGINT AS v FROM t, range(0, 40000) a(k), range(0, 40) b(nonce)),
 x AS (SELECT k, arg_min(v % total, nonce) AS x FROM u WHERE v < (1::BIGINT << (8 * size)) // total * total GROUP BY k), g AS (SELECT k // 2 AS a, k % 2 AS side, item FROM x JOIN c ON lo <= x AND x < hi),
 p AS (SELECT l.a, least(l.item, r.item) AS "left", greatest(l.item, r.item) AS "right" FROM g l JOIN g r ON l.a = r.a AND l.side = 0 AND r.side = 1 AND l.item <> r.item),
 pos AS (SELECT DISTINCT least(x.item, y.item) AS "left", greatest(x.item, y.item) AS "right" FROM inter x JOIN inter y ON x.usr = y.usr AND y.pos - x.pos BETWEEN 1 AND 5 AND x.item <> y.item)
