@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import wraps
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,31 +107,85 @@ def parts(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Edges that one task closes. A set of no more is closed in one; in a larger one each task first closes what it holds.
+EDGES = 1_000_000
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b) and of each the smallest node of its component. All roots hook to their smallest neighbour
+    at once, then paths are halved to their ends, until no edge joins two roots."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (far := up[up]).tobytes() != up.tobytes():
+            up = far
+        x, y = up[x], up[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, nodes[up]
+
+
+def closed(edges: DataFrame, limit: int, whole: bool = False) -> DataFrame:
+    """(a, b: long) with a > b: for each `limit` edges of a partition, each node and the smallest one it is connected with
+    by them; whole: for all edges of the partition at once, smallest nodes themselves (a = b) included."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            node, root = roots(*(np.concatenate(x) for x in zip(*held)))
+            keep = np.ones(len(node), bool) if whole else node != root
+            return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(root[keep])], ["a", "b"])
+
+        for t in it:
+            held.append((t.column("a").to_numpy(), t.column("b").to_numpy()))
+            size += t.num_rows
+            if size >= limit and not whole:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame, max_rounds: int = 60, limit: int = EDGES) -> DataFrame:
     """Connected components of undirected edges (a, b: long). Returns (node, component), component = smallest node.
 
-    Alternates large-star and small-star steps; each is one aggregation with map-side combine and one join that
-    adaptive execution may split, so a node with millions of neighbours is no hot task. Each round is a written table.
+    Each task replaces the edges it holds by the stars of their components. Up to `limit` counted edges that are left then
+    are closed in one task (16 bytes an edge). More of them take alternate large-star and small-star steps; each is one
+    aggregation with map-side combine and one join that adaptive execution may split, so a node with millions of
+    neighbours is no hot task. Each round is a written table. Edges of a node with itself or with null are left out.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = materialize(closed(edges.where("a <> b"), limit), "edges")
+    count = now.count()
+    if count > limit:
+        one = materialize(now.distinct(), "edges")
+        drop_tables(now)
+        now, count = one, one.count()
     last = None
     for _ in range(max_rounds):
+        if count <= limit:
+            found = materialize(closed(now.coalesce(1), limit, whole=True), "components")
+            drop_tables(now)
+            return found.select(F.col("a").alias("node"), F.col("b").alias("component"))
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         new = large.join(down, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        new = materialize(new.where("a <> b").distinct(), "edges")
+        new = materialize(closed(new.where("a <> b"), limit).distinct(), "edges")
         print_of = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).first()
         drop_tables(now)
-        now = new
+        now, count = new, print_of[0]
         if print_of == last and print_of[0] == print_of[2]:
             break
         last = print_of
     else:
         raise RuntimeError("components: no fixed point")
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots).distinct()
+    ends = now.select(F.col("b").alias("node"), F.col("b").alias("component"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(ends).distinct()
 
 
 def crc_of(key: str):

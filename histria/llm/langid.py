@@ -23,7 +23,8 @@ TRAIN_DOCS = 250
 TRAIN_BYTES = 4 << 20
 LEXICON = 2000
 STEPS = 40
-MIN_SCORE = 0.5
+#: Certainty (mean over the words of the largest posterior) from which the stage keeps a text, whatever mixture it is.
+MIN_CERTAINTY = 0.5
 _LOW = np.arange(256, dtype=np.uint64)
 _LOW[65:91] += 32
 
@@ -180,14 +181,14 @@ def fit(texts: list[tuple[str, str]], steps: int = STEPS, lexicon: int = LEXICON
     return model
 
 
-_OUT = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, shares array<double>"
+_OUT = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, shares array<double>, certainty double"
 
 
 def predict(model: Model, s: K.Slice) -> pa.RecordBatch:
     ids, held, texts = s.rows.column(0), s.rows.column(1), s.rows.column(2)
     n, labels = len(ids), len(model.labels)
     w = K.words(s.data, s.off, LETTERS)
-    sums = np.zeros((n, labels))
+    sums, sure = np.zeros((n, labels)), np.zeros(n)
     count = np.diff(w.off)
     if len(w.h) and labels:
         score, back = model.emissions(s.data, w)
@@ -201,13 +202,15 @@ def predict(model: Model, s: K.Slice) -> pa.RecordBatch:
         post = post[K.ragged(begin + start - a, length)]
         c = np.concatenate([np.zeros((1, labels)), np.cumsum(post, axis=0)])
         sums = c[w.off[1:]] - c[w.off[:-1]]
+        c = np.r_[0, np.cumsum(post.max(1))]
+        sure = c[w.off[1:]] - c[w.off[:-1]]
     share = np.clip(sums / np.maximum(count, 1)[:, None], 0, 1)
     has = np.asarray(pc.match_substring_regex(texts, r"\pL").fill_null(False)) & (count > 0) & (labels > 0)
     best = share.argmax(1) if labels else np.zeros(n, int)
     names = np.array([*model.labels, "und"], object)
     return pa.RecordBatch.from_arrays(
-        [ids.cast(pa.int64()), held, pa.array(names[np.where(has, best, -1)], pa.string()), pa.array(np.where(has, share.max(1, initial=0), 0.0)), pa.array(count), pa.array(share.tolist(), pa.list_(pa.float64()))],
-        ["doc_id", "held_out", "lang_pred", "score", "n_words", "shares"],
+        [ids.cast(pa.int64()), held, pa.array(names[np.where(has, best, -1)], pa.string()), pa.array(np.where(has, share.max(1, initial=0), 0.0)), pa.array(count), pa.array(share.tolist(), pa.list_(pa.float64())), pa.array(np.where(has, np.clip(sure / np.maximum(count, 1), 0, 1), 0.0))],
+        ["doc_id", "held_out", "lang_pred", "score", "n_words", "shares", "certainty"],
     )
 
 
@@ -231,7 +234,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     A word is a run of ASCII letters and bytes of other characters. Each gets a posterior over the languages from
     forward-backward over its chain; `shares` is their mean over the whole text (ordered as model.labels), lang_pred the
-    largest share's language and score that share. `und` with score 0: text null, empty or without a letter, or no
+    largest share's language and score that share; certainty is the mean of each word's largest posterior. `und` with score 0: text null, empty or without a letter, or no
     labelled rows to learn from. Repeated rows get equal results; extra columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -252,8 +255,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, trained_on(docs)).select("doc_id", "held_out", "lang_pred", "score", "n_words")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without letters, or with no language holding MIN_SCORE of the words, go."""
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, min_certainty: float = MIN_CERTAINTY) -> DataFrame:
+    """Documents whose words are clearly of known languages, one or several: rows with the columns of docs.
+
+    Null or empty texts, texts without a letter, and texts with a certainty below min_certainty go; without labelled rows
+    all do. Each row is judged by its text alone, so repeated rows, repeated or null ids and ties change nothing. No rows
+    give no rows; extra columns are kept.
+    """
     shared = spark.sparkContext.broadcast(trained_on(docs))
     schema = docs.schema
 
@@ -262,7 +270,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             n = s.rows.num_rows
             probe = pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, bool)), s.rows.column("text")], ["doc_id", "held_out", "text"])
             got = predict(shared.value, K.Slice(probe, s.data, s.off))
-            keep = np.array([x != "und" for x in got.column("lang_pred").to_pylist()], bool) & (got.column("score").to_numpy() >= MIN_SCORE)
+            keep = np.array([x != "und" for x in got.column("lang_pred").to_pylist()], bool) & (got.column("certainty").to_numpy() >= min_certainty)
             yield s.rows.filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema)

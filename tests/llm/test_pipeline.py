@@ -50,7 +50,7 @@ def test_stages(spark, tmp_path):
         got = Counter((x["doc_id"], x["text"]) for x in after) if name != "pack" else None
         if name == "language_id":
             model = langid.trained_on(now)
-            keep = {x["doc_id"] for x in langid.identify(now, model).collect() if x["lang_pred"] != "und" and x["score"] >= langid.MIN_SCORE}
+            keep = {x["doc_id"] for x in langid.identify(now, model).collect() if x["lang_pred"] != "und" and x["certainty"] >= langid.MIN_CERTAINTY}
             assert got == Counter(x for x in before if x[0] in keep) and not keep & {100, 101, 102}
         elif name == "line_dedup":
             old = dict(before)
