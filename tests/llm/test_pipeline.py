@@ -95,3 +95,18 @@ def test_edges_go_through_all_stages(spark, tmp_path):
     assert {x["doc_id"] for x in now.where("text like 'das ist nicht%'").collect()} == {7}
     for name, f in C.STAGES:
         assert f(spark, df.where("false"), str(tmp_path)).count() == 0, name
+
+
+def test_language_stage_keeps_mixed_texts(spark):
+    """A text of three languages in even shares has none that holds half of it, and stays; one without letters goes."""
+    r = random.Random(8)
+    words = {"de": "der und die das ist nicht ein zu mit auf".split(), "en": "the and of to in is that it was for".split(), "fr": "le et les des est pas une pour dans avec".split()}
+    line = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
+    rows = [(i, line(lang, 20), lang) for i, lang in enumerate(["de", "en", "fr"] * 30)]
+    rows += [(1000, " ".join(line(lang, 30) for lang in words), None), (1001, "12 34", None), (1002, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mixed = langid.identify(docs, langid.trained_on(docs)).where("doc_id = 1000").first()
+    assert mixed["score"] < 0.5 < mixed["certainty"]
+    kept = {x["doc_id"] for x in langid.stage(spark, docs, "").collect()}
+    assert kept == {*range(90), 1000}
+    assert not langid.stage(spark, docs, "", min_certainty=1.1).count()
