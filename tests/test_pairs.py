@@ -50,3 +50,9 @@ def test_pairs_go_through_no_exchange(spark, name):
     assert not re.search(r"Window|Join", above)
     assert "Exchange" not in above or "partial_" in above[above.index("Exchange") :]
 
+
+def test_short_table_for_fusion_is_bounded(spark):
+    from histria.plans import analytics
+
+    t = analytics._short_table(spark, DATA, 12)
+    assert t.groupBy("sample").count().agg(F.max("count")).first()[0] <= 60
