@@ -42,7 +42,7 @@ def test_wide_fusions_are_the_long_ones(spark):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-@pytest.mark.parametrize("name", ["candidate_zscore", "fused_ranking", "multi_list_fusion"])
+@pytest.mark.parametrize("name", ["candidate_zscore", "fused_ranking", "multi_list_fusion", "pair_pearson"])
 def test_pairs_go_through_no_exchange(spark, name):
     """A pair lies above the tiles' cogroup; what follows it takes partial sums before any exchange, windows and joins of pairs are gone."""
     plan = plans.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
