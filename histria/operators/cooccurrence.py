@@ -37,6 +37,25 @@ def window_pairs(long: DataFrame, window: int, user: str = "user", size: int = R
     return near.groupBy(F.least("item", "other").alias("left"), F.greatest("item", "other").alias("right")).agg((2 * F.count("*")).alias("cnt"))
 
 
+def window_ppmi(long: DataFrame, item_counts: DataFrame, window: int, min_freq: int, user: str = "user", size: int = RANGE) -> DataFrame:
+    """left, right, cnt, ppmi: ppmi() of window_pairs().
+
+    Counts come to the log's rows, before pairs are made: only pairs of frequent items are shuffled, once, and no join
+    deals them again. Their total is taken from the same frames, whose exchange is used twice."""
+    ok = item_counts.where(F.col("cnt") >= min_freq).select("item", F.col("cnt").alias("n_"))
+    known = long.select(user, "pos", "item").join(ok, "item", "left").select(user, "pos", F.struct("item", "n_").alias("item"))
+    cut = in_ranges(known, window, user, False, max(size, window))
+    ahead = Window.partitionBy(user, "range_").orderBy("pos").rowsBetween(1, window)
+    near = cut.select("item", "own_", F.collect_list(F.when(F.col("item.n_").isNotNull(), F.col("item"))).over(ahead).alias("near")).where("own_ and item.n_ is not null")
+    near = near.select("item", F.explode("near").alias("other")).where("item.item <> other.item")
+    low, high = F.least("item", "other"), F.greatest("item", "other")  # structs compare by the item first
+    keys = [low["item"].alias("left"), high["item"].alias("right"), low["n_"].alias("ci"), high["n_"].alias("cj")]
+    events, total = item_counts.agg(F.sum("cnt").alias("events")), near.agg((2 * F.count("*")).alias("total"))
+    p = F.ln((F.col("cnt") / F.col("total")) / ((F.col("ci") / F.col("events")) * (F.col("cj") / F.col("events"))))
+    counted = near.groupBy(*keys).agg((2 * F.count("*")).alias("cnt"))
+    return counted.crossJoin(F.broadcast(events.crossJoin(total))).select("left", "right", "cnt", F.greatest(F.lit(0.0), p).alias("ppmi"))  # one row of totals
+
+
 def skipgram_count(histories: DataFrame, window: int) -> DataFrame:
     """Ordered (centre, context) pairs within the window, by arithmetic on lengths alone."""
     n = F.size("history")

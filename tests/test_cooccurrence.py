@@ -1,6 +1,8 @@
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from histria.operators import cooccurrence, splits
 
@@ -75,3 +77,20 @@ def test_draws_follow_the_weights(spark):
     differ = 1 - sum(p * p for p in share.values())
     want = {k: 2 * n * p * (1 - p) / differ for k, p in share.items()}
     assert sum((got[k] - w) ** 2 / w for k, w in want.items()) < 33.7
+
+
+def test_ppmi_of_a_log_deals_pairs_once(spark):
+    from histria import plans
+    from histria.operators import cooccurrence as O
+    from tests.compare import DATA
+
+    rng = np.random.default_rng(9)
+    log = spark.createDataFrame([(u, p, int(i)) for u in range(12) for p, i in enumerate(rng.zipf(1.4, 30) % 15)], "user long, pos int, item long")
+    counts = log.groupBy("item").agg(F.count("*").alias("cnt"))
+    for least in (1, 10, 1000):
+        want = {(r["left"], r["right"]): (r["cnt"], round(r["ppmi"], 9)) for r in O.ppmi(O.window_pairs(log, 3), counts, least).collect()}
+        got = {(r["left"], r["right"]): (r["cnt"], round(r["ppmi"], 9)) for r in O.window_ppmi(log, counts, 3, least, size=7).collect()}
+        assert got == want
+    plan = plans.QUERIES["ppmi"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    # Above the pairs stands the join with one row of totals, and nothing else.
+    assert plan[: plan.index("explode")].count("Join") == 1
