@@ -179,8 +179,11 @@ def retrieval(nearest: DataFrame, rel: DataFrame, k: int) -> DataFrame:
     """anchor, ndcg, recall, hit. nearest: anchor, item, rank (the k best by some score). rel: anchor, item, rel.
 
     An anchor whose relevances are all 0 has an ideal of 0 and so NDCG 0."""
-    ideal = top_k(rel, "anchor", "rel", k)
+    ideal = saved(top_k(rel, "anchor", "rel", k))  # k rows an anchor
     best = ideal.groupBy("anchor").agg(F.sum(F.col("rel") / F.log2(F.col("rank") + 1.0)).alias("ideal"), F.count("*").alias("n"))
-    got = nearest.where(F.col("rank") <= k).join(rel.join(best.select("anchor"), "anchor", "left_semi"), ["anchor", "item"], "left").join(ideal.select("anchor", "item", F.lit(1).alias("top")), ["anchor", "item"], "left")
+    asked = nearest.where(F.col("rank") <= k)
+    # Of rel only what an anchor asks for is shuffled where those items are few.
+    known = asked.select("anchor", "item").join(rel, ["anchor", "item"])
+    got = asked.join(known, ["anchor", "item"], "left").join(ideal.select("anchor", "item", F.lit(1).alias("top")), ["anchor", "item"], "left")
     per = got.groupBy("anchor").agg(F.sum(F.coalesce("rel", F.lit(0.0)) / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.count("top").alias("found"), F.max(F.coalesce("rel", F.lit(0.0))).alias("most"))
     return best.join(per, "anchor", "left").select("anchor", F.coalesce(F.try_divide("dcg", F.nullif("ideal", F.lit(0.0))), F.lit(0.0)).alias("ndcg"), (F.coalesce("found", F.lit(0)) / F.greatest("n", F.lit(1))).alias("recall"), F.when(F.col("most") > 0, 1.0).otherwise(0.0).alias("hit"))
