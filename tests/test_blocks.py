@@ -58,3 +58,12 @@ def test_ranks_by_sorting(spark, monkeypatch, size):
     got = {(r["sample"], r["target"]): r["rank"] for r in blocks.ranks(df.where("item % 13 = 0"), targets, df, 6, size).collect()}
     place = {(i, j): r for (i, r), j in want(x, range(0, len(x), 13), len(x)).items()}
     assert got == {p: place.get(p) for p in pairs}
+
+
+def test_vectors_are_not_written_once_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)], "item long, v array<double>")
+    written, saved = [], blocks.saved
+    monkeypatch.setattr(blocks, "saved", lambda t: (written.append(set(t.columns)), saved(t))[1])
+    assert blocks.neighbors(df, df, 3, 6, 10).rows.count() == 180
+    assert written and not any({"a", "block"} <= columns for columns in written)
