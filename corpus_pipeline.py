@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from histria.llm import decontam, jaccard, langid, linededup, packing
-from histria.llm.common import at_home, scratch, table
+from histria.llm.common import at_home, drop_tables, scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +40,13 @@ STAGES = [(name, at_home(f)) for name, f in STAGES]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     base = f"{scratch(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+        if last is not None:
+            drop_tables(last)  # what the stage read
+        docs = last = spark.read.parquet(f"{base}/{k}-{name}")
     return docs
 
 

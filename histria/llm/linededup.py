@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, materialize, small, table, tiles
+from .common import components, drop_tables, materialize, small, table, tiles
 
 TAU = 2
 #: Shorter lines are no part of the edit join (two edits would make most of them equal); only their exact copies count.
@@ -119,13 +119,30 @@ def entries(lines: Lines, at: np.ndarray, key: np.ndarray, tau: int, buckets: in
     return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), rec
 
 
-_SCAN = "doc_id long, text_hash long, line int, chars int, key long, key2 long, bucket int, blob binary"
-_NAMES = [x.split()[0] for x in _SCAN.split(", ")]
+_LINES = "doc_id long, text_hash long, line int, chars int, key long, key2 long"
+_DEALT = "bucket int, blob binary"
 
 
-def scan(docs: DataFrame, tau: int, min_chars: int, buckets: int, short: bool) -> DataFrame:
-    """Two kinds of rows: every line of at least min_chars code points, and with `short` every shorter one that is not
-    blank (bucket null); and, as blobs, the index and probe entries of the long lines that are new to a task."""
+def scan(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
+    """Every line of at least min_chars code points, and with `short` every shorter one that is not blank."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in K.text_slices(it, "text"):
+            x = Lines(s)
+            key, key2 = x.keys()
+            at = np.flatnonzero(x.n >= min_chars)
+            if short:
+                less = np.flatnonzero(x.n < min_chars)
+                at = np.union1d(at, less[~x.blank(less)])
+            doc = pa.array(x.doc[at])
+            yield pa.RecordBatch.from_arrays([s.rows.column(0).take(doc), s.rows.column(1).take(doc), pa.array(x.number[at].astype(np.int32)), pa.array(x.n[at].astype(np.int32)), pa.array(key[at]), pa.array(key2[at])], [c.split()[0] for c in _LINES.split(", ")])
+
+    return docs.mapInArrow(run, _LINES)
+
+
+def deal(docs: DataFrame, tau: int, min_chars: int, buckets: int) -> DataFrame:
+    """As blobs, the index and probe entries of the lines of at least min_chars code points that are new to a task. They
+    are several times the lines' size, so they are read where they are made and not written as a table."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -136,20 +153,12 @@ def scan(docs: DataFrame, tau: int, min_chars: int, buckets: int, short: bool) -
             order = np.argsort(bucket, kind="stable")
             bucket, rec = bucket[order], rec[order]
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            none, int_ = pa.nulls(len(first), pa.int64()), pa.nulls(len(first), pa.int32())
-            return pa.RecordBatch.from_arrays([none, none, int_, int_, none, none, pa.array(bucket[first].astype(np.int32)), pa.array([r.tobytes() for r in np.split(rec, first[1:])], pa.binary())], _NAMES)
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array([r.tobytes() for r in np.split(rec, first[1:])], pa.binary())], ["bucket", "blob"])
 
         for s in K.text_slices(it, "text"):
             x = Lines(s)
-            key, key2 = x.keys()
-            long = x.n >= min_chars
-            at = np.flatnonzero(long)
-            if short:
-                less = np.flatnonzero(~long)
-                at = np.union1d(at, less[~x.blank(less)])
-            doc = pa.array(x.doc[at])
-            yield pa.RecordBatch.from_arrays([s.rows.column(0).take(doc), s.rows.column(1).take(doc), pa.array(x.number[at].astype(np.int32)), pa.array(x.n[at].astype(np.int32)), pa.array(key[at]), pa.array(key2[at]), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], _NAMES)
-            at = at[long[at]]
+            key, _ = x.keys()
+            at = np.flatnonzero(x.n >= min_chars)
             _, firsts = np.unique(key[at], return_index=True)
             at = at[np.sort(firsts)]
             at = at[np.array([k not in seen for k in key[at].tolist()], bool)]
@@ -163,7 +172,7 @@ def scan(docs: DataFrame, tau: int, min_chars: int, buckets: int, short: bool) -
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, _SCAN)
+    return docs.mapInArrow(run, _DEALT)
 
 
 def meet(dealt: DataFrame, long_list: int) -> DataFrame:
@@ -306,19 +315,21 @@ def dedup_lines(docs: DataFrame, tau: int = TAU, min_chars: int = MIN_CHARS, lon
     plain = t.select("doc_id", "text_hash", "text")
     # About 4 MB of text a bucket.
     buckets = 1 + (plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (4 << 20)
-    rows = materialize(scan(plain, tau, min_chars, int(buckets), short), "lines")
-    seen = rows.where("bucket is null").drop("bucket", "blob")
-    dealt = rows.where("bucket is not null").select("bucket", "blob")
+    seen = materialize(scan(plain, min_chars, short), "lines")
+    dealt = deal(plain, tau, min_chars, int(buckets))
     classes = materialize(seen.groupBy("key", "key2").agg(F.first("chars").alias("chars"), F.min(F.struct("doc_id", "text_hash", "line")).alias("first"), F.count("*").alias("cnt")), "classes")
     near = near_lines(plain, dealt, classes, tau, long_list, tile)
     named = classes.join(near.withColumnRenamed("node", "key"), "key", "left").withColumn("near", F.col("component").isNotNull())
     named = materialize(named.withColumn("component", F.coalesce("component", "key")), "named")
+    drop_tables(classes)
     # A hot component is combined in the tasks before its least occurrence is shuffled.
     groups = named.where("near").groupBy("component").agg(F.min("first").alias("best"))
-    named = named.join(groups, "component", "left").select("key", "key2", F.coalesce("best", "first").alias("best"), "cnt", "near")
-    several = materialize(named.where("cnt > 1 or near").select("key", "key2", "best"), "several")
+    best = named.join(groups, "component", "left").select("key", "key2", F.coalesce("best", "first").alias("best"), "cnt", "near")
+    several = materialize(best.where("cnt > 1 or near").select("key", "key2", "best"), "several")
+    drop_tables(named)
     gone = seen.join(several, ["key", "key2"]).where(~F.struct("doc_id", "text_hash", "line").eqNullSafe(F.col("best")))
     gone = materialize(gone.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("gone")), "gone")
+    drop_tables(seen, several)
     gone = small(gone, 40, ("gone",))
     both = t.drop("text").join(gone, t["doc_id"].eqNullSafe(gone["doc_id"]) & t["text_hash"].eqNullSafe(gone["text_hash"]), "left").select("row", "gone")
     lines = F.split("row.text", "\n", -1)
