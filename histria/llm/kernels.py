@@ -52,7 +52,9 @@ held: dict[str, Callable[[], None]] = {}
 
 
 def let_go(keep: str | None = None) -> None:
-    """Drop what other operators hold, and give freed memory back to the machine."""
+    """Drop what other operators hold and the tables of powers, and give freed memory back to the machine: there may be more
+    workers than cores, and the idle ones count as well."""
+    _powers.clear()
     for name in [n for n in held if n != keep]:
         held.pop(name)()
     pa.default_memory_pool().release_unused()

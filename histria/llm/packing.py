@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ END_ID = 2
 UNIT = 8
 #: Distinct strings kept with their ids by a worker (about 30 bytes each); beyond that the store starts anew.
 CACHE_STRINGS = 1_000_000
+#: Text bytes encoded at once. Working arrays take about 40 bytes for each.
+ENCODED_BYTES = 1 << 18
 _MARKS = np.isin(np.arange(256), list(b".,;:!?"))
 _ALNUM = K.byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A))
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +50,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads keep memory of their own
         self.tokenizer = Tokenizer.from_file(path)
         made = json.loads(self.tokenizer.to_str())
         normal, split = (made.get("normalizer") or {}).get("normalizers", []), (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -143,7 +147,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int, unit: int) -> DataF
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, fulls, ranks = TaskContext.get().partitionId(), 0, np.zeros(capacity // unit + 2, np.int64)
-        for s in K.text_slices(it, "text", keep="encoder"):
+        for s in K.text_slices(it, "text", ENCODED_BYTES, keep="encoder"):
             ids, off = encoder(path).encode(s.data, s.off)
             crcs, cls, rank, full = [], [], [], []
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):

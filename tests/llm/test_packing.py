@@ -74,3 +74,15 @@ def test_numbers_are_stable_and_other_tokenizers_refused(spark, tmp_path):
     other.write_text(open(P.tokenizer_path()).read().replace('"Lowercase"', '"Strip", "strip_left": true, "strip_right": true'))
     with pytest.raises(ValueError):
         P.Encoder(str(other))
+
+
+def test_an_idle_worker_holds_little():
+    """Workers outnumber cores: what waits has no tables of powers and no threads of the tokenizer."""
+    import os
+
+    texts = pa.record_batch([pa.array(["the packed text of a worker"] * 3)], ["text"])
+    sizes = []
+    for s in K.text_slices(iter([texts]), "text", P.ENCODED_BYTES, keep="encoder"):
+        P.encoder(P.tokenizer_path()).encode(s.data, s.off)
+        sizes.append(len(s.data))
+    assert sizes == [81] and not K._powers and os.environ["TOKENIZERS_PARALLELISM"] == "false"
