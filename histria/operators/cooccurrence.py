@@ -97,6 +97,8 @@ def top_k(rows: DataFrame, group: str, score: str, k: int, tie: str = "item") ->
 
 #: Cells of the cumulative weights that one row is opened into at a time.
 OPENED = 4096
+#: Draws of a round, of two ids each, that a broadcast may hold.
+FEW = 250_000
 
 
 def weight_cells(item_counts: DataFrame) -> tuple[DataFrame, int, int]:
@@ -135,7 +137,12 @@ def negative_pairs(item_counts: DataFrame, positives: DataFrame, n: int, seed=0,
             return met.select("id", F.col("item").alias(name))
 
         both = side("a", 0).join(side("b", 1), "id").where("a <> b").select("id", F.least("a", "b").alias("left"), F.greatest("a", "b").alias("right"))
-        round_ = saved(both.join(known, ["left", "right"], "left_anti").select("id", "left", "right"))
+        if size <= FEW:  # then only those positive pairs are shuffled that were drawn
+            both = saved(both)
+            met = positives.select("left", "right").join(F.broadcast(both.select("left", "right").distinct()), ["left", "right"], "left_semi").distinct()
+        else:
+            met = known
+        round_ = saved(both.join(met, ["left", "right"], "left_anti").select("id", "left", "right"))
         found = round_ if found is None else found.unionByName(round_)
         start, got = start + size, got + round_.count()
     if found is None:
