@@ -131,7 +131,7 @@ def suffix_scan(spark, d):
 @plan("ranking_records_scan", f"WITH {INTER} SELECT usr AS target_uid, 'i' || usr AS raw_item_id, count(*) AS frequency, 'all' AS frequency_bucket, (count(*) % 9)::INT AS rank FROM inter GROUP BY usr")
 def ranking_records_scan(spark, d):
     """Reports of per-target records, one JSON document a file."""
-    per = D.interactions(spark, d).groupBy("user").agg(F.count("*").alias("frequency"))
+    per = D.log(spark, d).groupBy("user").agg(F.count("*").alias("frequency"))
     record = F.struct(F.col("user").alias("target_uid"), F.concat(F.lit("i"), "user").alias("raw_item_id"), "frequency", F.lit("all").alias("frequency_bucket"), (F.col("frequency") % 9).cast("int").alias("rank"))
     folder = own_folder(spark, "records")
     docs = per.select((F.col("user") % 16).alias("g"), record.alias("r")).groupBy("g").agg(F.collect_list("r").alias("records")).select("records")

@@ -92,7 +92,7 @@ def dataset_statistics(spark, d):
   FROM inter, (VALUES (1), (10), (50), (99)) s(scale_percent) WHERE usr % 100 < s.scale_percent GROUP BY ALL)
 SELECT data, scale_percent, observed_items, 'scale' AS family, round(100 * observed_items / (SELECT arg_max(observed_items, scale_percent) FROM r), 6) AS retention_percent FROM r""")
 def item_retention(spark, d):
-    i = D.interactions(spark, d).select("user", "item")
+    i = D.log(spark, d).select("user", "item")
     scales = spark.createDataFrame([(1,), (10,), (50,), (99,)], "scale_percent int")
     r = i.join(F.broadcast(scales), F.col("user") % 100 < F.col("scale_percent")).groupBy("scale_percent").agg(F.count_distinct("item").alias("observed_items"))
     return rounded(P.retention(r.withColumn("data", F.concat(F.lit("scale"), F.col("scale_percent").cast("string")))), "retention_percent")
@@ -157,14 +157,14 @@ p(l, r) AS (VALUES ('finetune', 'valid'), ('finetune', 'test'), ('valid', 'test'
 SELECT l AS "left", r AS "right", (SELECT count(*) FROM s WHERE split = l) AS n_left, (SELECT count(*) FROM s WHERE split = r) AS n_right,
   (SELECT count(*) FROM s a JOIN s b USING (item) WHERE a.split = l AND b.split = r) AS n_both FROM p""")
 def split_overlap(spark, d):
-    i = D.interactions(spark, d).select("user", "item")
+    i = D.log(spark, d).select("user", "item")
     m = F.col("user") % 10
     return P.overlaps({"finetune": i.where(m < 6), "valid": i.where((m >= 6) & (m < 8)), "test": i.where(m >= 8)}, "item")
 
 
 @plan("common_items", f"WITH {INTER} SELECT item FROM inter WHERE usr % 10 < 3 INTERSECT SELECT item FROM inter WHERE usr % 10 > 6 INTERSECT SELECT p_partkey FROM part WHERE p_size > 10")
 def common_items(spark, d):
-    i = D.interactions(spark, d).select("user", "item")
+    i = D.log(spark, d).select("user", "item")
     return P.common_keys([i.where("user % 10 < 3"), i.where("user % 10 > 6"), D.items(spark, d).where("p_size > 10")], "item")
 
 
@@ -185,7 +185,7 @@ SELECT 'vectors' AS name, count(*) AS ids, count(*) FILTER (WHERE item IN (SELEC
 UNION ALL SELECT 'captions', count(*), count(*) FILTER (WHERE item IN (SELECT doc_id FROM documents)), round(100 * count(*) FILTER (WHERE item IN (SELECT doc_id FROM documents)) / count(*), 6) FROM i""")
 def id_space_coverage(spark, d):
     docs = D.read(spark, d, "documents").select(F.col("doc_id").alias("item"))
-    return rounded(P.coverage_by(D.interactions(spark, d), {"vectors": D.vectors(spark, d), "captions": docs}, "item"), "percent")
+    return rounded(P.coverage_by(D.log(spark, d), {"vectors": D.vectors(spark, d), "captions": docs}, "item"), "percent")
 
 
 # Frequency breakdowns. The rank of a target is a fixed function of the row, with misses.
