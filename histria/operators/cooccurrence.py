@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order import percentiles, running
-from .shared import saved
+from .shared import dealt, saved
 from .splits import randbelow_column
 
 
@@ -25,34 +25,57 @@ def in_ranges(long: DataFrame, window: int, user: str, behind: bool, size: int)
     return placed.select(user, "pos", "item", F.col("x_.r").alias("range_"), F.col("x_.own").alias("own_"))
 
 
-def window_pairs(long: DataFrame, window: int, user: str = "user", size: int = RANGE) -> DataFrame:
+#: Groups of ranges in a task, so that tasks are about equally long.
+GROUPS = 64
+
+
+def _in_groups(cut: DataFrame, user: str, parts: int | None) -> tuple[DataFrame, list[str]]:
+    """cut dealt by part_, groups of its ranges, into so many tasks; and the keys of its ranges' frames."""
+    if not parts:
+        return cut, [user, "range_"]
+    return dealt(cut.withColumn("part_", F.pmod(F.xxhash64(user, "range_"), F.lit(GROUPS * parts))), parts, "part_"), ["part_", user, "range_"]
+
+
+def _counted(near: DataFrame, keys: list[Column], names: list[str], parts: int | None) -> DataFrame:
+    """names, cnt: the rows of near by the keys, twice. With parts they are counted where they are made, by part_, and then
+    dealt by the first two keys: a frequent pair sends a row a group."""
+    if not parts:
+        return near.groupBy(*[k.alias(n) for k, n in zip(keys, names)]).agg((2 * F.count("*")).alias("cnt"))
+    made = near.select("part_", *[k.alias(n) for k, n in zip(keys, names)]).groupBy("part_", *names).agg(F.count("*").alias("n_"))
+    return dealt(made.drop("part_"), parts, *names[:2]).groupBy(*names).agg((2 * F.sum("n_")).alias("cnt"))
+
+
+def window_pairs(long: DataFrame, window: int, user: str = "user", size: int = RANGE, parts: int | None = None) -> DataFrame:
     """left < right, cnt: unordered pairs of different items at most `window` positions apart, counted from both centres.
 
     long: user, pos (from 0, without gaps), item. A frame over the next `window` rows inside ranges of positions that
-    overlap by the window: one shuffle by (user, range), no self join, and no user is too long."""
-    cut = in_ranges(long, window, user, False, max(size, window))
-    ahead = Window.partitionBy(user, "range_").orderBy("pos").rowsBetween(1, window)
-    near = cut.select("item", "own_", F.collect_list("item").over(ahead).alias("near")).where("own_")
-    near = near.select("item", F.explode("near").alias("other")).where("item <> other")
-    return near.groupBy(F.least("item", "other").alias("left"), F.greatest("item", "other").alias("right")).agg((2 * F.count("*")).alias("cnt"))
+    overlap by the window: one shuffle by (user, range), no self join, and no user is too long. parts: tasks for the pairs,
+    by default as the session has it."""
+    cut, frames = _in_groups(in_ranges(long, window, user, False, max(size, window)), user, parts)
+    ahead = Window.partitionBy(*frames).orderBy("pos").rowsBetween(1, window)
+    group = frames[:-2]
+    near = cut.select(*group, "item", "own_", F.collect_list("item").over(ahead).alias("near")).where("own_")
+    near = near.select(*group, "item", F.explode("near").alias("other")).where("item <> other")
+    return _counted(near, [F.least("item", "other"), F.greatest("item", "other")], ["left", "right"], parts)
 
 
-def window_ppmi(long: DataFrame, item_counts: DataFrame, window: int, min_freq: int, user: str = "user", size: int = RANGE) -> DataFrame:
-    """left, right, cnt, ppmi: ppmi() of window_pairs().
+def window_ppmi(long: DataFrame, item_counts: DataFrame, window: int, min_freq: int, user: str = "user", size: int = RANGE, parts: int | None = None) -> DataFrame:
+    """left, right, cnt, ppmi: ppmi() of window_pairs(), with its parts.
 
     Counts come to the log's rows, before pairs are made: only pairs of frequent items are shuffled, once, and no join
     deals them again. Their total is taken from the same frames, whose exchange is used twice."""
     ok = item_counts.where(F.col("cnt") >= min_freq).select("item", F.col("cnt").alias("n_"))
     known = long.select(user, "pos", "item").join(ok, "item", "left").select(user, "pos", F.struct("item", "n_").alias("item"))
-    cut = in_ranges(known, window, user, False, max(size, window))
-    ahead = Window.partitionBy(user, "range_").orderBy("pos").rowsBetween(1, window)
-    near = cut.select("item", "own_", F.collect_list(F.when(F.col("item.n_").isNotNull(), F.col("item"))).over(ahead).alias("near")).where("own_ and item.n_ is not null")
-    near = near.select("item", F.explode("near").alias("other")).where("item.item <> other.item")
+    cut, frames = _in_groups(in_ranges(known, window, user, False, max(size, window)), user, parts)
+    ahead = Window.partitionBy(*frames).orderBy("pos").rowsBetween(1, window)
+    group = frames[:-2]
+    near = cut.select(*group, "item", "own_", F.collect_list(F.when(F.col("item.n_").isNotNull(), F.col("item"))).over(ahead).alias("near")).where("own_ and item.n_ is not null")
+    near = near.select(*group, "item", F.explode("near").alias("other")).where("item.item <> other.item")
     low, high = F.least("item", "other"), F.greatest("item", "other")  # structs compare by the item first
-    keys = [low["item"].alias("left"), high["item"].alias("right"), low["n_"].alias("ci"), high["n_"].alias("cj")]
+    keys = [low["item"], high["item"], low["n_"], high["n_"]]
     events, total = item_counts.agg(F.sum("cnt").alias("events")), near.agg((2 * F.count("*")).alias("total"))
     p = F.ln((F.col("cnt") / F.col("total")) / ((F.col("ci") / F.col("events")) * (F.col("cj") / F.col("events"))))
-    counted = near.groupBy(*keys).agg((2 * F.count("*")).alias("cnt"))
+    counted = _counted(near, keys, ["left", "right", "ci", "cj"], parts)
     return counted.crossJoin(F.broadcast(events.crossJoin(total))).select("left", "right", "cnt", F.greatest(F.lit(0.0), p).alias("ppmi"))  # one row of totals
 
 
