@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import percentiles, running
+from .order import percentiles, running, running_sums
 from .shared import dealt, saved
 from .splits import randbelow_column
 
@@ -187,12 +187,35 @@ def auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
     return one.select(F.try_divide(F.col("s") - F.col("np") * (F.col("np") + 1) / 2, F.col("np") * F.col("nn")).alias("auc"))
 
 
+def by_score(rows: DataFrame, score: str, positive: Column, *keys: str) -> DataFrame:
+    """keys, score, m, p, q: the rows of each score, its positive and its negative ones. Null counts as a score, as in auc()."""
+    return rows.groupBy(*keys, score).agg(F.count("*").alias("m"), F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
+
+
 def score_summary(rows: DataFrame, score: str, positive: Column) -> DataFrame:
-    sides = (("positive", positive), ("negative", ~positive))
-    one = rows.agg(*[f(F.when(c, F.col(score))).alias(f"{n}_{side}") for side, c in sides for n, f in (("n", F.count), ("mean", F.avg))])
-    for side, c in sides:
-        one = one.crossJoin(percentiles(rows, F.when(c, F.col(score)), [0.5]).select(F.get("p", F.lit(0)).alias(f"median_{side}")))
-    return one.crossJoin(auc(rows, score, positive))  # one row each
+    return summary_of(by_score(rows, score, positive), score)
+
+
+def summary_of(by: DataFrame, score: str) -> DataFrame:
+    """score_summary() from the table of distinct scores: ordered once for both medians and the AUC."""
+    known = F.col(score).isNotNull()
+    some = by.select(F.col(score).cast("double").alias("v_"), "m", "p", "q", *[F.when(known, F.col(c)).otherwise(0).alias(f"{c}_") for c in "pq"])
+    placed = running_sums(some, ["v_"], {"before": "m", "lo_p": "p_", "lo_q": "q_"})
+    placed = placed.crossJoin(F.broadcast(some.agg(*[F.coalesce(F.sum(f"{c}_"), F.lit(0)).alias(f"n_{c}") for c in "pq"])))  # one row of totals
+    rank = F.col("before") + (F.col("m") + 1) / 2
+    total = lambda c: F.sum(c).cast("double")
+    wanted = [F.sum(F.col("p") * rank).alias("s"), total("p").alias("np"), total(F.col("m") - F.col("p")).alias("nn")]
+    shown, medians = [], []
+    for c, side in (("p", "positive"), ("q", "negative")):
+        n, at = F.col(f"{c}_"), F.lit(0.5) * (F.col(f"n_{c}") - 1)
+        holds = lambda place, c=c, n=n: (F.col(f"lo_{c}") <= place) & (place < F.col(f"lo_{c}") + n)
+        wanted += [F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(f"n_{side}"), F.sum(F.when(n > 0, F.col("v_") * n)).alias(f"sum_{side}")]
+        wanted += [F.max(F.when(holds(F.floor(at)), F.col("v_"))).alias(f"low_{side}"), F.max(F.when(holds(F.ceil(at)), F.col("v_"))).alias(f"high_{side}"), F.max(at - F.floor(at)).alias(f"part_{side}")]
+        between = F.col(f"low_{side}") + (F.col(f"high_{side}") - F.col(f"low_{side}")) * F.col(f"part_{side}")
+        shown += [f"n_{side}", F.try_divide(f"sum_{side}", f"n_{side}").alias(f"mean_{side}")]
+        medians.append(between.alias(f"median_{side}"))
+    area = F.try_divide(F.col("s") - F.col("np") * (F.col("np") + 1) / 2, F.col("np") * F.col("nn"))
+    return placed.agg(*wanted).select(*shown, *medians, area.alias("auc"))
 
 
 def positive_rate_by_quantile(rows: DataFrame, score: str, positive: Column, bins: int) -> DataFrame:

@@ -14,6 +14,7 @@ from .sequences import restricted
 from .shared import saved
 from .vectors import dot
 
+SPACES = ("content", "code_prefix", "code_hamming")
 MEASURES = ("ndcg", "recall", "hit")
 
 
@@ -40,13 +41,18 @@ class TransferReport:
         self.slots, self.ks, self.negatives, self.bins, self.seed, self.digits = slots, ks, negatives, bins, seed, digits
         own = restricted(local, self.universe)
         behaviour = own if reference is None else restricted(reference, self.universe)
-        self.behaviour, self.own = saved(behaviour if common is None else restricted(behaviour, common)), saved(own)
+        self.behaviour, self._own = saved(behaviour if common is None else restricted(behaviour, common)), own
         self.counts = saved(_item_counts(self.behaviour))
         self.pairs = saved(O.ppmi(O.window_pairs(self.behaviour, window), self.counts, min_freq))
         self.able = self.counts.where(F.col("cnt") >= min_freq).select("item")
         self.tables = {"content": vectors.select("item", F.col("v").alias("x")), "sid": codes.select("item", F.col("codes").alias("x"))}
         self.tables = {name: saved(t.join(self.universe, "item", "left_semi")) for name, t in self.tables.items()}
 
+    @cached_property
+    def own(self) -> DataFrame:
+        """The local log over the universe, which scores and neighbours do not ask for."""
+        return saved(self._own)
+
     @cached_property
     def overview(self) -> DataFrame:
         """One row of sizes."""
@@ -72,22 +78,24 @@ class TransferReport:
         content = scored(self.tables["content"], content=F.round(dot(a, b), self.digits))
         return saved(content.unionByName(scored(self.tables["sid"], code_prefix=C.common_prefix(a, b), code_hamming=-C.hamming(a, b))))
 
-    def _each_space(self, one) -> DataFrame:
-        out = None
-        for name in ("content", "code_prefix", "code_hamming"):
-            got = one(self.scores.where(F.col("space") == name)).withColumn("space", F.lit(name))
-            out = got if out is None else out.unionByName(got)
-        return out
-
     @cached_property
     def spaces(self) -> DataFrame:
         """space, number, mean and median of positive and negative pairs, auc."""
-        return self._each_space(lambda s: O.score_summary(s, "score", F.col("positive")))
+        by = saved(O.by_score(self.scores, "score", F.col("positive"), "space"))
+        out = None
+        for name in SPACES:
+            got = O.summary_of(by.where(F.col("space") == name), "score").withColumn("space", F.lit(name))
+            out = got if out is None else out.unionByName(got)
+        return out
 
     @cached_property
     def buckets(self) -> DataFrame:
         """space, bucket, low, high, n, rate of positive pairs."""
-        return self._each_space(lambda s: O.positive_rate_by_quantile(s, "score", F.col("positive"), self.bins))
+        out = None
+        for name in SPACES:
+            got = O.positive_rate_by_quantile(self.scores.where(F.col("space") == name), "score", F.col("positive"), self.bins).withColumn("space", F.lit(name))
+            out = got if out is None else out.unionByName(got)
+        return out
 
     @cached_property
     def anchor_metrics(self) -> DataFrame:
