@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from . import shared
+from .shared import dealt, saved
 
 
 def runs(spark: SparkSession, root: str) -> DataFrame:
@@ -69,17 +70,34 @@ def newest(rows: DataFrame, filters: dict[str, str], *order: str) -> DataFrame:
     return search(rows, filters).orderBy(*[F.desc(c) for c in order]).limit(1)
 
 
+#: Entries of a side in a tile of pairs, and pairs of a task.
+SIDE, PAIRS = 1024, 1 << 21
+
+
 def experiment_pairs(entries: DataFrame) -> DataFrame:
     """uid_name, sid_name of experiments with the same data, model, source and add-ons, one with uid, the other with sid.
 
-    entries: name, data, model, source, repr_type. An equi-join on the key, not a product."""
+    entries: name, data, model, source, repr_type. An equi-join on the key, not a product. Pairs of a key are a product all
+    the same: where there are many, each key's sides are cut into blocks by their names, and tiles of two blocks are dealt
+    into as many tasks as their pairs need. No task holds a key, and the tasks are those of the result, not of the entries."""
     from histria.functions.text import add_ons
 
     e = entries.withColumn("extra", add_ons(F.col("repr_type"))).withColumn("kinds", F.split("repr_type", r"\+"))
     key = ["data", "model", "source", "extra"]
     uid = e.where(F.array_contains("kinds", "uid") & ~F.array_contains("kinds", "sid")).select(*key, F.col("name").alias("uid_name"))
     sid = e.where(F.array_contains("kinds", "sid") & ~F.array_contains("kinds", "uid")).select(*key, F.col("name").alias("sid_name"))
-    return uid.join(sid, key)
+    counts = uid.groupBy(*key).agg(F.count("*").alias("u_")).join(sid.groupBy(*key).agg(F.count("*").alias("s_")), key)
+    n = shared.parts(entries.sparkSession, counts.agg(F.coalesce(F.sum(F.col("u_") * F.col("s_")), F.lit(0))).first()[0], PAIRS)
+    if not n:
+        return uid.join(sid, key)
+    blocks = counts.select(*key, *[F.ceil(F.col(c) / SIDE).cast("int").alias(c) for c in ("u_", "s_")])
+    place = lambda name, of: F.pmod(F.xxhash64(name), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = uid.join(blocks, key).select(*key, "uid_name", place("uid_name", "u_").alias("i_"), every("s_").alias("j_"))
+    right = sid.join(blocks, key).select(*key, "sid_name", place("sid_name", "s_").alias("j_"), every("u_").alias("i_"))
+    # One column, as a column of the key may be a constant, by which a join does not deal.
+    left, right = (x.withColumn("tile_", F.to_json(F.struct(*key, "i_", "j_"))) for x in (left, right))
+    return dealt(left, n, "tile_").join(dealt(right.select("tile_", "sid_name"), n, "tile_").hint("merge"), "tile_").select(*key, "uid_name", "sid_name")
 
 
 def deletable(rows: DataFrame, host: str, alive: list[int]) -> DataFrame:
