@@ -31,6 +31,11 @@ def test_fused_ranking_sums_in_tiles(spark, monkeypatch):
     made("fused_ranking", spark, monkeypatch)
 
 
+@needs_data
+def test_multi_list_fusion_makes_its_rows_in_tiles(spark, monkeypatch):
+    made("multi_list_fusion", spark, monkeypatch)
+
+
 @pytest.mark.parametrize("size", [9, 500])
 def test_spread_over_tiles_is_that_of_the_pairs(spark, size):
     """With a list that is empty for some anchors, one far from 0 that hardly differs, and a vector of NaN."""
