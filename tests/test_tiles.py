@@ -61,3 +61,19 @@ def test_spread_over_tiles_is_that_of_the_pairs(spark, size):
 
 def test_tiles_round_half_away_from_zero():
     assert R.tile_round(1)(np.array([0.25, -0.25, 0.35, -0.05, 0.04, np.nan])).tolist()[:5] == [0.3, -0.3, 0.4, -0.1, 0.0]
+
+
+def test_vectors_are_sent_once_a_shelf(spark, monkeypatch):
+    """Far fewer rows meet than pairs of an anchor and a block, where no bound rules a block out; neighbours are the same."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 4)).round(2)
+    x[100:160] = x[5]
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "item long, v array<float>")
+    x, sent, met = x.astype(np.float32).astype(float), [], blocks._met
+    monkeypatch.setattr(blocks, "TILES", 1)
+    monkeypatch.setattr(blocks, "_met", lambda pairs, *more: (sent.append(pairs.count()), met(pairs, *more))[1])
+    got = blocks.neighbors(df, df, 7, 6, 10)
+    s = (x @ x.T).round(6)
+    want = {(i, r + 1): j for i in range(500) for r, j in enumerate(sorted((j for j in range(500) if j != i), key=lambda j: (-s[i, j], j))[:7])}
+    assert {(r["anchor"], r["rank"]): r["item"] for r in got.rows.collect()} == want
+    assert sum(sent) < got.met / 3
