@@ -36,13 +36,13 @@ def _in_groups(cut: DataFrame, user: str, parts: int | None) -> tuple[DataFrame,
     return dealt(cut.withColumn("part_", F.pmod(F.xxhash64(user, "range_"), F.lit(GROUPS * parts))), parts, "part_"), ["part_", user, "range_"]
 
 
-def _counted(near: DataFrame, keys: list[Column], names: list[str], parts: int | None) -> DataFrame:
+def _counted(near: DataFrame, keys: list[Column], names: list[str], parts: int | None, by: int = 2) -> DataFrame:
     """names, cnt: the rows of near by the keys, twice. With parts they are counted where they are made, by part_, and then
-    dealt by the first two keys: a frequent pair sends a row a group."""
+    dealt by the first two keys, or the first `by`: a frequent pair sends a row a group."""
     if not parts:
         return near.groupBy(*[k.alias(n) for k, n in zip(keys, names)]).agg((2 * F.count("*")).alias("cnt"))
     made = near.select("part_", *[k.alias(n) for k, n in zip(keys, names)]).groupBy("part_", *names).agg(F.count("*").alias("n_"))
-    return dealt(made.drop("part_"), parts, *names[:2]).groupBy(*names).agg((2 * F.sum("n_")).alias("cnt"))
+    return dealt(made.drop("part_"), parts, *names[:by]).groupBy(*names).agg((2 * F.sum("n_")).alias("cnt"))
 
 
 def window_pairs(long: DataFrame, window: int, user: str = "user", size: int = RANGE, parts: int | None = None) -> DataFrame:
@@ -59,8 +59,8 @@ def window_pairs(long: DataFrame, window: int, user: str = "user", size: int = R
     return _counted(near, [F.least("item", "other"), F.greatest("item", "other")], ["left", "right"], parts)
 
 
-def window_ppmi(long: DataFrame, item_counts: DataFrame, window: int, min_freq: int, user: str = "user", size: int = RANGE, parts: int | None = None) -> DataFrame:
-    """left, right, cnt, ppmi: ppmi() of window_pairs(), with its parts.
+def window_ppmi(long: DataFrame, item_counts: DataFrame, window: int, min_freq: int, user: str = "user", size: int = RANGE, parts: int | None = None, by: int = 2) -> DataFrame:
+    """left, right, cnt, ppmi: ppmi() of window_pairs(), with its parts. by=1: all pairs of a left item lie in one task.
 
     Counts come to the log's rows, before pairs are made: only pairs of frequent items are shuffled, once, and no join
     deals them again. Their total is taken from the same frames, whose exchange is used twice."""
@@ -75,7 +75,7 @@ def window_ppmi(long: DataFrame, item_counts: DataFrame, window: int, min_freq:
     keys = [low["item"], high["item"], low["n_"], high["n_"]]
     events, total = item_counts.agg(F.sum("cnt").alias("events")), near.agg((2 * F.count("*")).alias("total"))
     p = F.ln((F.col("cnt") / F.col("total")) / ((F.col("ci") / F.col("events")) * (F.col("cj") / F.col("events"))))
-    counted = _counted(near, keys, ["left", "right", "ci", "cj"], parts)
+    counted = _counted(near, keys, ["left", "right", "ci", "cj"], parts, by)
     return counted.crossJoin(F.broadcast(events.crossJoin(total))).select("left", "right", "cnt", F.greatest(F.lit(0.0), p).alias("ppmi"))  # one row of totals
 
 
@@ -228,14 +228,17 @@ def positive_rate_by_quantile(rows: DataFrame, score: str, positive: Column, bin
     return r.groupBy("bucket", "low", "high").agg(F.count("*").alias("n"), F.avg("y").alias("rate"))
 
 
-def retrieval(nearest: DataFrame, rel: DataFrame, k: int) -> DataFrame:
+def retrieval(nearest: DataFrame, rel: DataFrame, k: int, items: DataFrame | None = None) -> DataFrame:
     """anchor, ndcg, recall, hit. nearest: anchor, item, rank (the k best by some score). rel: anchor, item, rel.
+    items: the few items that occur in nearest at all, if so; then rel is cut to them before it is shuffled.
 
     An anchor whose relevances are all 0 has an ideal of 0 and so NDCG 0."""
     ideal = saved(top_k(rel, "anchor", "rel", k))  # k rows an anchor
     best = ideal.groupBy("anchor").agg(F.sum(F.col("rel") / F.log2(F.col("rank") + 1.0)).alias("ideal"), F.count("*").alias("n"))
     asked = nearest.where(F.col("rank") <= k)
     # Of rel only what an anchor asks for is shuffled where those items are few.
+    if items is not None:
+        rel = rel.join(F.broadcast(items), "item", "left_semi")
     known = asked.select("anchor", "item").join(rel, ["anchor", "item"])
     got = asked.join(known, ["anchor", "item"], "left").join(ideal.select("anchor", "item", F.lit(1).alias("top")), ["anchor", "item"], "left")
     per = got.groupBy("anchor").agg(F.sum(F.coalesce("rel", F.lit(0.0)) / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.count("top").alias("found"), F.max(F.coalesce("rel", F.lit(0.0))).alias("most"))

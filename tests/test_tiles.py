@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from histria import plans
-from histria.operators import blocks
+from histria.operators import blocks, cooccurrence
 from histria.operators import ranking as R
 
 from .compare import DATA, assert_same, has_data
@@ -77,3 +77,20 @@ def test_vectors_are_sent_once_a_shelf(spark, monkeypatch):
     want = {(i, r + 1): j for i in range(500) for r, j in enumerate(sorted((j for j in range(500) if j != i), key=lambda j: (-s[i, j], j))[:7])}
     assert {(r["anchor"], r["rank"]): r["item"] for r in got.rows.collect()} == want
     assert sum(sent) < got.met / 3
+
+
+def test_pairs_of_a_left_item_lie_in_one_task(spark):
+    """So that all but the best of them drop out before a shuffle by the item."""
+    long = spark.range(3000).select((F.col("id") / 50).cast("int").alias("user"), (F.col("id") % 50).alias("pos"), (F.col("id") * 7 % 31).alias("item"))
+    counts = long.groupBy("item").agg(F.count("*").alias("cnt"))
+    got = cooccurrence.window_ppmi(long, counts, 5, 1, parts=8, by=1)
+    assert got.withColumn("t", F.spark_partition_id()).groupBy("left").agg(F.count_distinct("t").alias("n")).where("n > 1").count() == 0
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in cooccurrence.window_ppmi(long, counts, 5, 1).collect()}
+
+
+def test_retrieval_of_few_items(spark):
+    rel = spark.createDataFrame([(a, i, float((a * i) % 7)) for a in range(6) for i in range(12) if a != i], "anchor int, item int, rel double")
+    few = spark.createDataFrame([(1,), (4,), (50,)], "item int")
+    near = rel.select("anchor").distinct().crossJoin(few).where("anchor <> item").withColumn("rank", (F.col("item") % 5 + 1))
+    cut = cooccurrence.retrieval(near, rel, 5, few)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, cooccurrence.retrieval(near, rel, 5).collect())) and cut.count() == 6
